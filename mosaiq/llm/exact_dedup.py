@@ -46,9 +46,9 @@ def directory(links: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_D
 
 def _bucket(buckets: list[tuple[int, int]], spark, max_depth: int) -> tuple[DataFrame, Column, int]:
     """The directory as a table of at most 2^global depth entries, and the key that looks it up."""
-    deepest = max((d for d, _ in buckets), default=0)
+    deepest = max((d for d, _ in buckets), default=1) or 1
     rows = [((p << (deepest - d)) + i, k) for k, (d, p) in enumerate(sorted(buckets, key=lambda b: b[1] << (max_depth - b[0]))) for i in range(1 << (deepest - d))]
-    entry = F.shiftrightunsigned("h", 64 - deepest) if deepest else F.lit(0).cast("long")
+    entry = F.shiftrightunsigned("h", 64 - deepest)
     return spark.createDataFrame(rows or [(0, 0)], "_entry long, bucket int"), entry, len(buckets)
 
 

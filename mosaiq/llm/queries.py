@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import exact_dedup, sharding
+from mosaiq.llm import exact_dedup, sharding, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op3_feistel_shards": sharding.op3_feistel_shards,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
+        "op5_simhash_components": simhash.op5_simhash_components,
+        "op7_toxic_passages": toxicity.op7_toxic_passages,
     }
 
 
