@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,7 @@ DRIFT = 1.0
 E_MAX = 0.05
 PREFIXES = (3, 4, 5, 6)
 CACHE = 400_000
+SKETCHES = 4
 
 _WORD = re.compile(r"[^\W_]+")
 
@@ -111,10 +113,21 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(s, e, high - low) for s, e, low, high, _ in stack]
 
 
+def scored(scores: Scores, ws: list[str]) -> np.ndarray:
+    """Scores of a text's words. A word's evidence counts at its first occurrence; repeats are neutral."""
+    s = np.fromiter(map(scores.__getitem__, ws), np.float64, len(ws))
+    met = set()
+    for i in np.flatnonzero(s > 0).tolist():
+        if ws[i] in met:
+            s[i] = -DRIFT
+        met.add(ws[i])
+    return s
+
+
 def passages(model: Model, scores: Scores, text: str | None) -> tuple[int, list[tuple[int, int, float, float]]]:
     """Number of words and the significant passages: (first word, end, score, E-value)."""
     ws = words(text)
-    found = segments(np.fromiter(map(scores.__getitem__, ws), np.float64, len(ws))) if ws else []
+    found = segments(scored(scores, ws)) if ws else []
     return len(ws), [(a, b, s, e) for a, b, s in found if (e := model.evalue(s, len(ws))) <= E_MAX]
 
 
@@ -122,6 +135,14 @@ def evidence(found: list[tuple[int, int, float, float]]) -> float:
     return sum(-math.log(max(e, 1e-300)) for _, _, _, e in found)
 
 
+def sketch(text: str) -> list[int]:
+    """The least hashes of the text's 3-word shingles under SKETCHES hash functions; near copies share most."""
+    ws = words(text)
+    hashes = {xxhash.xxh64_intdigest(" ".join(x)) for x in zip(ws, ws[1:], ws[2:], strict=False)} or {xxhash.xxh64_intdigest(" ".join(ws))}
+    x = np.fromiter(hashes, np.uint64, len(hashes))
+    return [int((x * np.uint64(2 * i + 0x9E3779B97F4A7C15)).min().view(np.int64)) for i in range(SKETCHES)]
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text, toxic of at most FIT_ROWS rows of each class outside the held-out fold.
 
@@ -130,18 +151,31 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     order = F.xxhash64("doc_id")
     picked = [known.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(FIT_ROWS) for t in (0, 1)]
     picked = picked[0].unionByName(picked[1])
-    return docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id").select("text", "toxic")
+    rows = docs.select("doc_id", "text").where(F.col("text").isNotNull()).join(F.broadcast(picked), "doc_id")
+
+    @F.pandas_udf("array<long>")
+    def sketched(texts):
+        return texts.map(sketch)
+
+    rows = rows.select("text", "toxic", sketched("text").alias("sketch"))
+    rows = written(rows.select("text", "toxic", *(F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCHES))), "toxic-sample")
+    for i in range(SKETCHES):  # copies and near copies would pass for independent evidence
+        rows = rows.dropDuplicates(["toxic", f"s{i}"])
+    return rows.select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fit log-odds, Gumbel parameters and calibration on a bounded sample of labelled rows."""
-    rows = written(training_rows(docs, labels), "toxic-fit")
+    """Fit the model on a bounded sample of labelled rows: log-odds on three quarters of it, Gumbel
+    parameters and calibration on the rest."""
+    rows = written(training_rows(docs, labels).withColumn("part", F.pmod(F.xxhash64("text"), F.lit(4))), "toxic-fit")
+    unseen = rows.where("part = 0")  # log-odds look better on the rows that gave them
+    rows = rows.where("part <> 0").drop("part")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen = {0: Counter(), 1: Counter()}
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                seen[toxic].update(words(text))
+                seen[toxic].update(set(words(text)))  # a word counts once a text: its repeats aren't independent
             out: dict[str, list[int]] = {}
             for t, c in seen.items():
                 for w, n in c.items():
@@ -162,7 +196,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     z = (F.log((F.col("y1") + 0.5) / n1) - F.log((F.col("y0") + 0.5) / n0)) / F.sqrt(1 / (F.col("y1") + 0.5) + 1 / (F.col("y0") + 0.5))
     kept = counts.where("token <> '' and y1 + y0 > 1").withColumn("z", F.abs(z)).where(F.col("z") >= 2).orderBy(F.desc("z"), "token").limit(FIT_TOKENS)
     model.counts = {r["token"]: (float(r["y1"]), float(r["y0"])) for r in kept.select("token", "y1", "y0").collect()}
-    return calibrate(rows, model, {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()})
+    return calibrate(unseen, model, {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()})
 
 
 def calibrate(rows: DataFrame, model: Model, classes: dict[int, int]) -> Model:
@@ -177,7 +211,7 @@ def calibrate(rows: DataFrame, model: Model, classes: dict[int, int]) -> Model:
             out: list[list] = [[], [], [], []]
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
                 ws = words(text)
-                s = np.fromiter(map(scores.__getitem__, ws), np.float64, len(ws))
+                s = scored(scores, ws)
                 bins = np.bincount(np.round((s + 3) * 4).astype(int), minlength=48)
                 for x, y in zip(out, (toxic, len(ws), bins.tolist(), [x for _, _, x in segments(s)] if len(ws) else []), strict=True):
                     x.append(y)
