@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import exact_dedup, language, sharding, simhash, toxicity
+from mosaiq.llm import bpe, exact_dedup, language, sharding, simhash, toxicity
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_simhash_components": simhash.op5_simhash_components,
         "op7_toxic_passages": toxicity.op7_toxic_passages,
+        "op8_byte_bpe": bpe.op8_byte_bpe,
         "op10_language_filters": language.op10_language_filters,
     }
 
