@@ -20,7 +20,7 @@ from mosaiq.llm.common import table, written
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 #: White space of the tokenizer's pattern (Unicode White_Space).
-_WS = r"\t-\r \x85\xa0  -     　"
+_WS = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: A word is a run of other characters with the space before it, or white space as the tokenizer's
 #: pattern takes it. No match of that pattern reaches over a word's ends, so words encode on their own.
 _PIECE = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
