@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import bpe, exact_dedup, language, sharding, simhash, toxicity
+from mosaiq.llm import bpe, exact_dedup, language, sharding, simhash, token_file, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_token_file": token_file.op2_token_file,
         "op3_feistel_shards": sharding.op3_feistel_shards,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_simhash_components": simhash.op5_simhash_components,
