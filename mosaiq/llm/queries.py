@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import bpe, exact_dedup, language, sharding, simhash, token_file, toxicity
+from mosaiq.llm import bpe, decontaminate, exact_dedup, language, sharding, simhash, token_file, toxicity
 
 
 def queries() -> dict:
     return {
+        "op1_fm_decontamination": decontaminate.op1_fm_decontamination,
         "op2_token_file": token_file.op2_token_file,
         "op3_feistel_shards": sharding.op3_feistel_shards,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
@@ -18,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": exact_dedup.OP4_SQL}
+    return {"op1_fm_decontamination": decontaminate.OP1_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL}
