@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import bpe, decontaminate, exact_dedup, language, sharding, simhash, token_file, toxicity
+from mosaiq.llm import bpe, decontaminate, exact_dedup, html_text, language, sharding, simhash, token_file, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,8 +12,10 @@ def queries() -> dict:
         "op3_feistel_shards": sharding.op3_feistel_shards,
         "op4_exact_dedup": exact_dedup.op4_exact_dedup,
         "op5_simhash_components": simhash.op5_simhash_components,
+        "op6_warc_derivatives": warc.op6_warc_derivatives,
         "op7_toxic_passages": toxicity.op7_toxic_passages,
         "op8_byte_bpe": bpe.op8_byte_bpe,
+        "op9_html_density": html_text.op9_html_density,
         "op10_language_filters": language.op10_language_filters,
     }
 
