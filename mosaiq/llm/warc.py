@@ -38,7 +38,7 @@ def digest(block: bytes) -> str:
 
 def record_id(*parts: object) -> str:
     """An id that follows from its parts alone: a task that runs again gives its records the same ids."""
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(repr(parts).encode()).digest()[:16], version=8)}>"
+    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.sha256(repr(parts).encode()).digest()[:16], version=5)}>"
 
 
 def serialise(headers: list[tuple[str, str]], block: bytes) -> bytes:
