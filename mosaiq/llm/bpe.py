@@ -176,7 +176,7 @@ def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
 
 
 def digests(encoded: DataFrame, path: str = RANKS) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: decodes the ids again and hashes both sides."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids: decodes the ids again and hashes both sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token = token_bytes(path).__getitem__
@@ -184,10 +184,10 @@ def digests(encoded: DataFrame, path: str = RANKS) -> DataFrame:
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             each = [unpack(x).tolist() for x in b.column("ids").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), pa.array(list(map(len, each)), pa.int64()), pa.array([sha(b"".join(map(decimal, x))[:-1]) for x in each]), pa.array([sha(b"".join(map(token, x))) for x in each])], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            yield pa.record_batch([b.column("doc_id"), pa.array(list(map(len, each)), pa.int64()), pa.array([sha(b"".join(map(decimal, x))[:-1]) for x in each], pa.string()), pa.array([sha(b"".join(map(token, x))) for x in each], pa.string()), b.column("ids")], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
 
 
 def op8_byte_bpe(spark, sf_dir: str) -> DataFrame:
-    return digests(encode(table(spark, sf_dir, "documents")))
+    return digests(encode(table(spark, sf_dir, "documents"))).drop("ids")

@@ -252,6 +252,15 @@ def _scan(docs: DataFrame, phrases: Phrases) -> DataFrame:
     return docs.mapInArrow(run, f"k long, doc_id long, n_words long, spans {_SPANS}, items array<string>")
 
 
+def phrase_blocks(benchmark: DataFrame, block_bytes: int) -> list[Phrases]:
+    """The benchmark's phrases in blocks of about ``block_bytes`` of text, one at least."""
+    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-total // block_bytes))
+    parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i) for i in range(blocks)] if blocks > 1 else [items]
+    return [Phrases.of([(r["item_id"], r["text"]) for r in part.collect()]) for part in parts]
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, spans, items of every row: merged word spans to remove, and the items found there.
 
@@ -262,21 +271,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
     without an id marks words but isn't listed; rows of one item_id count as one item. Repeated rows
     and null doc_ids are searched each on their own. Empty tables give no rows, or no spans. Other
     columns are not read."""
-    items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
     docs = docs.select("doc_id", "text")
-
-    def block(i: int) -> Phrases:
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i) if blocks > 1 else items
-        return Phrases.of([(r["item_id"], r["text"]) for r in part.collect()])
-
-    if blocks == 1:
-        return _scan(docs.select(F.lit(0).cast("long").alias("k"), "doc_id", "text"), block(0)).drop("k")
+    first, *more = phrase_blocks(benchmark, block_bytes)
+    if not more:
+        return _scan(docs.select(F.lit(0).cast("long").alias("k"), "doc_id", "text"), first).drop("k")
     docs = written(docs.withColumn("k", F.monotonically_increasing_id()).select("k", "doc_id", "text"), "to-search")
-    found = written(_scan(docs, block(0)), "found")
-    for i in range(1, blocks):
-        found = found.unionByName(written(_scan(docs, block(i)), "found"))
+    found = written(_scan(docs, first), "found")
+    for phrases in more:
+        found = found.unionByName(written(_scan(docs, phrases), "found"))
     found = found.groupBy("k").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
 
     @F.pandas_udf(_SPANS)
@@ -296,12 +298,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, with all columns, in which no benchmark window occurs."""
-    cols = docs.columns
-    rows = docs.select(F.struct(*cols).alias("row"), "doc_id", F.xxhash64("text").alias("h"), "text")
-    hit = contamination(rows.select(F.col("h").alias("doc_id"), "text"), benchmark, block_bytes).where(F.size("spans") > 0)
-    hit = written(hit.select(F.col("doc_id").alias("bad")).distinct(), "contaminated")
-    return rows.join(hit, rows["h"] == hit["bad"], "left_anti").select("row.*")
+    """The rows of ``docs``, with all columns, in which no benchmark window occurs; no shuffle.
+
+    Whole record batches are gathered into a shard, searched, and passed on without the hit rows."""
+
+    def clean(docs: DataFrame, phrases: Phrases) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(phrases)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held, texts, n = [], [], 0
+            for b in batches:
+                held.append(b)
+                texts += map(words, b.column("text").to_pylist())
+                n = sum(map(len, texts[-b.num_rows :]), n) if b.num_rows else n
+                if n >= SHARD_WORDS:
+                    yield from passed(held, texts)
+                    held, texts, n = [], [], 0
+            yield from passed(held, texts)
+
+        def passed(held: list, texts: list) -> Iterator[pa.RecordBatch]:
+            ok = [not spans for spans, _ in search_shard(sent.value, texts)]
+            for b in held:
+                yield b.filter(pa.array(ok[: b.num_rows], pa.bool_()))
+                ok = ok[b.num_rows :]
+
+        return docs.mapInArrow(run, docs.schema)
+
+    blocks = phrase_blocks(benchmark, block_bytes)
+    for phrases in blocks:
+        docs = clean(docs, phrases)
+    return docs
 
 
 def remove(text: str | None, spans: list[tuple[int, int]]) -> str | None:
