@@ -38,7 +38,7 @@ def directory(links: DataFrame, capacity: int = CAPACITY, max_depth: int = MAX_D
         buckets += [(depth, p) for p in level if p not in over]
         depth += 1
         level = dict.fromkeys((q for p in over for q in (2 * p, 2 * p + 1)), 0)
-        for p, n in counts.items():
+        for p, n in counts.items() if level else ():
             if (q := p >> (max_depth - depth)) in level:
                 level[q] += n
     return buckets
