@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -25,7 +26,7 @@ FILE_IDS = 1 << 23
 #: Control bytes whose values are decoded at a time.
 DECODE_AT_ONCE = 1 << 17
 #: Distinct words whose ids a task remembers.
-CACHE = 300_000
+CACHE = 500_000
 MAGIC = b"MQTF"
 
 # Each control byte holds the lengths, less one, of four values, the first in its lowest bits.
@@ -86,35 +87,62 @@ def tokenizer(path: str):
 
 
 class Words(dict):
-    """Ids of a word as packed 32-bit integers. Words are what lies between spaces; the tokenizer drops
-    white space and matches nothing across it, so a text's ids are its words' ids in a row."""
+    """Ids of a word, packed. Words are what lies between spaces; the tokenizer drops white space and
+    matches nothing across it, so a text's ids are its words' ids in a row.
+
+    A Latin-1 word of letters, with or without punctuation behind it, skips the normaliser and the
+    pattern, which only lower-case it and part the two; the tokenizer's model takes each part as it is."""
+
+    _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = tokenizer(path)
+        self.wide = self.tokenizer.get_vocab_size() > 65536
+        self.plain: dict[str, bytes] = {}
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'I' if self.wide else 'H'}", *ids)
+
+    def __missing__(self, word: str) -> bytes:
+        if m := self._PLAIN.fullmatch(word):
+            out = self.part(m[1].lower()) + (self.part(m[2]) if m[2] else b"")
+        else:
+            out = self.packed(self.tokenizer.encode(word, add_special_tokens=False).ids) if word else b""
+        if len(self) >= CACHE:
+            self.clear()
+        self[word] = out
+        return out
+
+    def part(self, word: str) -> bytes:
+        if (out := self.plain.get(word)) is None:
+            if len(self.plain) >= CACHE:
+                self.plain.clear()
+            out = self.plain[word] = self.packed([t.id for t in self.tokenizer.model.tokenize(word.translate(byte_level()))])
+        return out
 
     def ids(self, text: str | None) -> bytes:
-        words = (text or "").replace("\n", " ").split(" ")
-        new = list({w for w in words if w not in self})
-        if new:
-            if len(self) + len(new) > CACHE:
-                self.clear()
-                new = list(set(words))
-            for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
+
+
+@cache
+def byte_level() -> dict[int, str]:
+    """Characters of two UTF-8 bytes as a byte-level model sees them: bytes that aren't printable in
+    Latin-1 stand as characters from 256 up, in order."""
+    shown = {b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174}
+    sign = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(sorted(set(range(256)) - shown))}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(128, 256)}
 
 
 def tokenise(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
-    """doc_id, ids: the whole text's ids and END, packed as 32-bit integers; null and empty texts: END."""
-    end = np.array([END], "<u4").tobytes()
+    """doc_id, ids: the whole text's ids and END, packed (see unpacked()); null and empty texts: END."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(path)
+        first, end = b"\0" if known.wide else b"", known.packed([END])
         for b in batches:
-            ids = [np.frombuffer(known.ids(t) + end, "<u4") for t in b.column("text").to_pylist()]
-            small = [x.astype("<u2").tobytes() if x.max() < 65536 else b"\0" + x.tobytes() for x in ids]
-            yield pa.record_batch([b.column("doc_id"), pa.array(small, pa.binary())], ["doc_id", "ids"])
+            ids = [first + known.ids(t) + end for t in b.column("text").to_pylist()]
+            yield pa.record_batch([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
 
