@@ -63,12 +63,12 @@ def signed(c: Column) -> Column:
 def green_to_red(px: DataFrame, bits: int = 4) -> DataFrame:
     """Per block the coefficient, of -16 to 16 in steps of 8, that leaves red with the least sum of
     magnitudes; of equals the first. All candidates are summed in one aggregate, without a join."""
-    block = [F.shiftright("x", bits).alias("bx"), F.shiftright("y", bits).alias("by")]
+    block = [F.shiftright("x", bits).alias("block_x"), F.shiftright("y", bits).alias("block_y")]
     grid = (-16, -8, 0, 8, 16)
     cost = lambda k: F.sum(F.abs(signed(F.col("r") - F.shiftright(signed(F.col("g")) * k, 5))))
     sums = px.groupBy("image_id", *block).agg(*(cost(k).cast("long").alias(f"c{i}") for i, k in enumerate(grid)))
     least = F.array_min(F.array(*(F.struct(F.col(f"c{i}").alias("cost"), F.lit(i).alias("i"), F.lit(k).alias("k")) for i, k in enumerate(grid))))
-    return sums.select("image_id", "bx", "by", least["k"].alias("green_to_red"), least["cost"].alias("cost"))
+    return sums.select("image_id", "block_x", "block_y", least["k"].alias("green_to_red"), least["cost"].alias("cost"))
 
 
 def palette(px: DataFrame) -> DataFrame:

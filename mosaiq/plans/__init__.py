@@ -252,9 +252,9 @@ ORACLES = {
         s AS (SELECT image_id, pos, {", ".join(map(_oracle_residual, "rgba"))} FROM m)
         SELECT image_id, {_sums(*"rgba")} FROM s GROUP BY image_id""",
     "color_transform_search": f"""
-        WITH {_PX}, c AS (SELECT image_id, CAST(x // 16 AS INT) AS bx, CAST(y // 16 AS INT) AS by, i, k, sum(abs({_signed(f"r - ({_signed('g')} * k >> 5)")})) AS cost
+        WITH {_PX}, c AS (SELECT image_id, CAST(x // 16 AS INT) AS block_x, CAST(y // 16 AS INT) AS block_y, i, k, sum(abs({_signed(f"r - ({_signed('g')} * k >> 5)")})) AS cost
           FROM px, (VALUES {", ".join(f"({i}, {k})" for i, k in enumerate(_GRID))}) g(i, k) GROUP BY ALL)
-        SELECT image_id, bx, by, CAST(arg_min(k, cost * 10 + i) AS INT) AS green_to_red, CAST(min(cost) AS BIGINT) AS cost FROM c GROUP BY image_id, bx, by""",
+        SELECT image_id, block_x, block_y, CAST(arg_min(k, cost * 10 + i) AS INT) AS green_to_red, CAST(min(cost) AS BIGINT) AS cost FROM c GROUP BY image_id, block_x, block_y""",
     "palette_index": f"WITH {_GREY}, {_PAL} SELECT image_id, count(*) AS colors, CAST(sum(v * (idx + 1)) AS BIGINT) AS sum_r, CAST(CASE WHEN count(*) <= 2 THEN 8 WHEN count(*) <= 4 THEN 4 WHEN count(*) <= 16 THEN 2 ELSE 1 END AS INT) AS per_byte FROM pal GROUP BY image_id",
     "palette_delta": f"WITH {_GREY}, {_PAL}, e AS (SELECT image_id, idx, v, {_mod('v - coalesce(lag(v) OVER (PARTITION BY image_id ORDER BY idx), 0)')} AS d FROM pal) SELECT image_id, CAST(sum(d * (idx + 1)) AS BIGINT) AS sum_delta, CAST(sum(v * (idx + 1)) AS BIGINT) AS sum_back FROM e GROUP BY image_id",
     "symbol_histogram": f"WITH {_PX} SELECT tree, CAST(symbol AS INT) AS symbol, count(*) AS n FROM ({' UNION ALL '.join(f'''SELECT '{c}' AS tree, {c} AS symbol FROM px''' for c in 'rgba')}) GROUP BY tree, symbol",
