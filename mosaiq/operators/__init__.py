@@ -140,8 +140,9 @@ def quantise(value: Column, step: Column) -> Column:
 
 
 def filter_limits(level: Column, sharpness: Column) -> Column:
-    """struct(edge, inner, hev) of a loop filter level."""
+    """struct(edge, inner, hev) of a loop filter level; all 0 for level 0, which is off."""
     level = F.least(F.greatest(level, F.lit(0)), F.lit(63))
     inner = F.when(sharpness > 4, F.shiftright(level, 2)).when(sharpness > 0, F.shiftright(level, 1)).otherwise(level)
     inner = F.greatest(F.when(sharpness > 0, F.least(inner, 9 - sharpness)).otherwise(inner), F.lit(1))
+    inner = F.when(level > 0, inner).otherwise(0)
     return F.struct((2 * level + inner).alias("edge"), inner.alias("inner"), F.when(level >= 40, 2).when(level >= 15, 1).otherwise(0).alias("hev"))

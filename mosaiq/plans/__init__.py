@@ -272,7 +272,7 @@ ORACLES = {
     "quantise": f"WITH {_PX}, p AS (SELECT image_id, pos, (r - 128) * 40 + g AS c, b + 4 AS q FROM px), l AS (SELECT image_id, pos, sign(c) * least((abs(c) + q // 2) // q, 2047) AS level FROM p) SELECT image_id, {_sums('level')} FROM l GROUP BY image_id",
     "filter_limits": f"""
         WITH {_PX}, p AS (SELECT image_id, pos, least(greatest(r - 90, 0), 63) AS level, g % 8 AS s FROM px),
-        i AS (SELECT *, greatest(1, least(level // CASE WHEN s > 4 THEN 4 WHEN s > 0 THEN 2 ELSE 1 END, CASE WHEN s > 0 THEN 9 - s ELSE 64 END)) AS inn FROM p),
+        i AS (SELECT *, CASE WHEN level = 0 THEN 0 ELSE greatest(1, least(level // CASE WHEN s > 4 THEN 4 WHEN s > 0 THEN 2 ELSE 1 END, CASE WHEN s > 0 THEN 9 - s ELSE 64 END)) END AS inn FROM p),
         e AS (SELECT image_id, pos, 2 * level + inn AS edge, inn AS "inner", CASE WHEN level >= 40 THEN 2 WHEN level >= 15 THEN 1 ELSE 0 END AS hev FROM i)
         SELECT image_id, {_sums("edge")}, CAST(sum("inner" * (pos + 1)) AS BIGINT) AS sum_inner, {_sums("hev")} FROM e GROUP BY image_id""",
     "quality_indices": "SELECT doc_id, CAST(floor(127 - least(greatest(CAST(doc_id % 120 - 10 AS DOUBLE), 0), 100) / 100 * 127 + 0.5) AS INT) AS q_index FROM documents",
