@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from functools import cache
 
 import numpy as np
 
-from mosaiq.codec import WebpError, lossless, riff
+from mosaiq.codec import WebpError, lossless, lossy_stream, riff
 from mosaiq.codec.alpha import decode_alpha, encode_alpha
 from mosaiq.codec.lossless import Image, Options
 
@@ -40,18 +41,32 @@ def encode_animation(frames: list[tuple[Image, dict]], width: int, height: int,
     return riff.build_riff(chunks)
 
 
-def decode_chunks(chunks: list[riff.Chunk], max_pixels: int, strict: bool = False) -> Image:
+@cache
+def lossy_tables(path: str) -> lossy_stream.Tables:
+    return lossy_stream.Tables.load(path)
+
+
+def encode_lossy(image: Image, quality: float, tables: str) -> bytes:
+    """A lossy file; translucent images get an extended header and an alpha chunk before the pixels."""
+    chunks = [("VP8 ", lossy_stream.encode(image, quality_index(quality), lossy_tables(tables)))]
+    if has_translucency(image.data):
+        plane = np.frombuffer(image.data, np.uint8)[3 : 4 * image.width * image.height : 4]
+        chunks = [("VP8X", riff.vp8x(image.width, image.height, True)), ("ALPH", encode_alpha(plane, image.width, image.height)), *chunks]
+    return riff.build_riff(chunks)
+
+
+def decode_chunks(chunks: list[riff.Chunk], max_pixels: int, strict: bool = False, tables: str | None = None) -> Image:
     """Lossless data first; else lossy data, with the alpha chunk wherever it stands."""
     first = {c.four_cc: bytes(c.data) for c in reversed(chunks)}
     if "VP8L" in first:
         return lossless.decode(first["VP8L"], max_pixels, strict)
     if "VP8 " in first:
-        from mosaiq.codec import lossy
-
         info = riff.vp8_info(first["VP8 "])
         if info.width * info.height > max_pixels:
             raise WebpError(f"{info.width} x {info.height} is more than {max_pixels} pixels")
-        image = lossy.decode(first["VP8 "])
+        if tables is None:
+            raise WebpError("lossy data need a table file of the format's probabilities")
+        image = lossy_stream.decode(first["VP8 "], lossy_tables(tables))
         if "ALPH" not in first:
             return image
         rgba = np.frombuffer(image.data, np.uint8).reshape(-1, 4).copy()
@@ -60,8 +75,8 @@ def decode_chunks(chunks: list[riff.Chunk], max_pixels: int, strict: bool = Fals
     raise WebpError("no image data")
 
 
-def decode(content: bytes, form: str = "rgba", max_pixels: int = lossless.MAX_SIDE**2, strict: bool = False) -> Image:
-    image = decode_chunks(riff.parse_riff(content), max_pixels, strict)
+def decode(content: bytes, form: str = "rgba", max_pixels: int = lossless.MAX_SIDE**2, strict: bool = False, tables: str | None = None) -> Image:
+    image = decode_chunks(riff.parse_riff(content), max_pixels, strict, tables)
     return image if form == "rgba" else Image(rgb_of(image.data), image.width, image.height, image.has_alpha)
 
 
@@ -69,11 +84,11 @@ def rgb_of(rgba: bytes) -> bytes:
     return np.frombuffer(rgba, np.uint8).reshape(-1, 4)[:, :3].tobytes()
 
 
-def decode_frame(frame: riff.Frame, max_pixels: int = lossless.MAX_SIDE**2) -> Image:
-    image = decode_chunks(frame.chunks, max_pixels)
+def decode_frame(frame: riff.Frame, max_pixels: int = lossless.MAX_SIDE**2, tables: str | None = None) -> Image:
+    image = decode_chunks(frame.chunks, max_pixels, tables=tables)
     if (image.width, image.height) != (frame.width, frame.height):
         raise WebpError("a frame's image has another size than its frame")
     return image
 
 
-__all__ = ["Image", "Options", "decode", "decode_frame", "encode", "encode_alpha", "encode_animation"]
+__all__ = ["Image", "Options", "decode", "decode_frame", "encode", "encode_alpha", "encode_animation", "encode_lossy"]

@@ -36,8 +36,29 @@ def webp_encode(data: Column, width: Column, height: Column, options: lossless.O
     return run(data, width, height)
 
 
-def webp_decode(content: Column, form: str = "rgba", max_pixels: int = MAX_PIXELS, strict: bool = False) -> Column:
-    """struct(data, width, height, has_alpha, error) of a file; what can't be read gives its error."""
+def webp_encode_lossy(data: Column, width: Column, height: Column, quality: float, tables: str, backend: str = "auto", external: str = "cwebp") -> Column:
+    """Lossy file of an RGBA image; null for null. ``backend``: "own", "external", or "auto", which takes the
+    external encoder where the executor has it and it succeeds. ``tables``: see codec.lossy_stream."""
+    if backend not in ("auto", "own", "external"):
+        raise ValueError(f"no backend {backend}")
+
+    @F.pandas_udf("binary")
+    def run(data: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+        def one(d, w, h):
+            if d is None or pd.isna(w) or pd.isna(h):
+                return None
+            image = container.Image(d, int(w), int(h))
+            found = encode_externally(image, quality, path=external) if backend != "own" else None
+            return found if found is not None or backend == "external" else container.encode_lossy(image, quality, tables)
+
+        return pd.Series([one(*x) for x in zip(data, width, height, strict=True)], dtype=object)
+
+    return run(data, width, height)
+
+
+def webp_decode(content: Column, form: str = "rgba", max_pixels: int = MAX_PIXELS, strict: bool = False, tables: str | None = None) -> Column:
+    """struct(data, width, height, has_alpha, error) of a file; what can't be read gives its error.
+    Lossy files need ``tables``, a file of the format's probabilities that every executor has."""
 
     @F.pandas_udf(IMAGE)
     def run(content: pd.Series) -> pd.DataFrame:
@@ -46,7 +67,7 @@ def webp_decode(content: Column, form: str = "rgba", max_pixels: int = MAX_PIXEL
             try:
                 if c is None:
                     raise WebpError("null")
-                i = container.decode(c, form, max_pixels, strict)
+                i = container.decode(c, form, max_pixels, strict, tables)
                 out.append((i.data, i.width, i.height, i.has_alpha, None))
             except (WebpError, IndexError) as e:
                 out.append((None, None, None, None, str(e)))

@@ -69,6 +69,19 @@ def test_files(spark, tmp_path):
     assert spark.table("mosaiq_stream").where("i.width = 16 and i.is_lossless").count() == 5
 
 
+def test_lossy_columns(spark, tmp_path):
+    import json
+
+    rng = np.random.default_rng(5)
+    raw = {"coefficients": rng.integers(1, 256, 1056), "updates": rng.integers(200, 256, 1056), "sub_modes": rng.integers(1, 256, 900), "dc": np.arange(4, 132), "ac": np.arange(4, 132)}
+    (tmp_path / "t.json").write_text(json.dumps({k: v.tolist() for k, v in raw.items()}))
+    images = sources.document_images(spark.read.parquet(f"{SF}/documents.parquet")).limit(3)
+    files = images.select(fn.webp_encode_lossy(F.col("data"), F.col("width"), F.col("height"), 80, str(tmp_path / "t.json"), "auto", "no-such-encoder").alias("content"), "height")
+    back = files.select("height", fn.webp_decode(F.col("content"), tables=str(tmp_path / "t.json")).alias("i")).select("height", "i.height", "i.error")
+    assert all(r[0] == r[1] and r[2] is None for r in back.collect())
+    assert files.select(fn.webp_decode(F.col("content"))["error"].alias("e")).where("e is null").count() == 0
+
+
 def test_bad_rows(spark):
     rows = spark.createDataFrame([(b"junk",), (None,), (container.encode(lossless.Image(bytes(4), 1, 1)),)], "content binary")
     out = rows.select(fn.webp_decode(F.col("content")).alias("i")).select("i.*").collect()
