@@ -5,7 +5,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections import Counter
+import struct
+import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -15,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import table, written
+from mosaiq.llm.common import partitions, table
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -25,11 +27,10 @@ _WS = "".join(map(chr, (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000,
 #: pattern takes it. No match of that pattern reaches over a word's ends, so words encode on their own.
 _PIECE = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
-#: At most so many of the most frequent words, of at most HOT_BYTES each, go to every task; others are joined.
-HOT_WORDS = 1 << 18
-HOT_BYTES = 64
-#: Distinct words that a task holds before it passes them on.
-HELD_WORDS = 1 << 18
+#: Words of a block, about; a longer text still goes in as one.
+BLOCK_WORDS = 1 << 21
+#: Distinct words whose ids an owner remembers: its share of all distinct words, unless partitions are too few.
+HELD_WORDS = 1 << 19
 
 
 @cache
@@ -58,101 +59,177 @@ def unpack(packed: bytes) -> np.ndarray:
     return np.frombuffer(packed, "<u4" if packed[:1] == b"4" else "<u2", offset=1) if packed else np.zeros(0, "<u2")
 
 
-def word_table(docs: DataFrame, path: str) -> DataFrame:
-    """word, n, ids: every distinct word of all texts, how often it occurs, and its ids, encoded once.
+def squeeze(*parts: np.ndarray | bytes) -> bytes:
+    """Arrays or bytes, one after the other, compressed; spread() takes them apart again."""
+    raw = [x if isinstance(x, bytes) else x.tobytes() for x in parts]
+    body = b"".join(raw)
+    return struct.pack(f"<{len(raw) + 1}I", len(raw), *map(len, raw)) + pa.compress(body, codec="zstd", asbytes=True)
 
-    Words are counted in each task before the shuffle, so a word that is everywhere moves once a task."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
-        for b in batches:
-            for text in b.column("text").to_pylist():
-                seen.update(_PIECE.findall(text or ""))
-                if len(seen) > HELD_WORDS:
-                    yield flushed(seen)
-        yield flushed(seen)
-
-    def flushed(seen: Counter) -> pa.RecordBatch:
-        out = pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
-        seen.clear()
-        return out
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoding(path)
-        for b in batches:
-            ids = [np.array(bpe.encode_ordinary(w), "<u4").tobytes() for w in b.column("word").to_pylist()]
-            yield pa.record_batch([b.column("word"), b.column("n"), pa.array(ids, pa.binary())], ["word", "n", "ids"])
-
-    words = docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return written(words.mapInArrow(encode, "word string, n long, ids binary"), "bpe-words")
-
-
-def hot_words(words: DataFrame, most: int = HOT_WORDS) -> dict[str, bytes]:
-    """The ids of the most frequent words, ``most`` at most: what every task may hold."""
-    short = words.where(F.octet_length("word") <= HOT_BYTES)
-    sizes = {r["n"]: r["count"] for r in short.groupBy(F.least("n", F.lit(1000)).alias("n")).count().collect()}
-    least, total = 1001, 0
-    for n in sorted(sizes, reverse=True):
-        total += sizes[n]
-        if total > most:
-            break
-        least = n
-    return {r["word"]: bytes(r["ids"]) for r in short.where(F.col("n") >= least).select("word", "ids").collect()}
+def spread(blob: bytes) -> list[bytes]:
+    (n,) = struct.unpack_from("<I", blob)
+    sizes = struct.unpack_from(f"<{n}I", blob, 4)
+    body, at, out = pa.decompress(blob[4 + 4 * n :], sum(sizes), codec="zstd", asbytes=True), 0, []
+    for size in sizes:
+        out.append(body[at : at + size])
+        at += size
+    return out
 
 
-def encode(docs: DataFrame, path: str = RANKS, most_hot: int = HOT_WORDS) -> DataFrame:
+class Block:
+    """Some consecutive rows of a task: their words by position, and the distinct ones by owner.
+
+    The distinct words are sorted by owner, then by word. Positions hold ranks by frequency, which
+    compress well; ``order`` leads from a rank to the distinct word."""
+
+    def __init__(self, owners: int, places: bool):
+        self.owners, self.places = owners, places
+        self.doc_ids: list[int | None] = []
+        self.chars = 0
+        self.index: dict[str, int] = {}
+        self.at = array("I")
+        self.sizes = array("I")
+
+    def add(self, doc_id: int | None, text: str | None) -> None:
+        """Only numbers are kept of a text, and each distinct word once."""
+        pieces, index = _PIECE.findall(text or ""), self.index
+        self.doc_ids.append(doc_id)
+        self.chars += len(text or "")
+        if self.places:
+            self.at.extend([index.setdefault(w, len(index)) for w in pieces])
+            self.sizes.append(len(pieces))
+        else:
+            index.update(dict.fromkeys(pieces, 0))
+
+    def close(self) -> None:
+        words = sorted(self.index)
+        owner = np.array([zlib.crc32(w.encode()) for w in words], np.int64) % self.owners
+        order = np.argsort(owner, kind="stable")
+        self.words = [words[i] for i in order.tolist()]
+        self.owner = owner[order]
+        self.check = zlib.crc32("\0".join(self.words).encode())
+
+    def requests(self) -> Iterator[tuple[int, bytes]]:
+        """Owner and squeezed words, for each owner that has any."""
+        cuts = np.flatnonzero(np.r_[True, self.owner[1:] != self.owner[:-1], True]) if self.words else [0]
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            raw = [w.encode() for w in self.words[s:e]]
+            yield int(self.owner[s]), squeeze(np.array(list(map(len, raw)), "<u4"), b"".join(raw))
+
+    def positions(self) -> bytes:
+        place = np.empty(len(self.words), "<u4")  # of the words as met, among the sorted
+        place[np.fromiter(map(self.index.__getitem__, self.words), np.int64, len(self.words))] = np.arange(len(self.words))
+        at = np.frombuffer(self.at, "<u4") if len(self.at) else np.zeros(0, "<u4")
+        order = np.lexsort((place, -np.bincount(at, minlength=len(place))))  # equally frequent: as sorted
+        rank = np.empty(len(order), "<u4")
+        rank[order] = np.arange(len(order))
+        ranks = rank[at]
+        planes = [((ranks >> np.uint32(8 * i)) & np.uint32(255)).astype(np.uint8) for i in range(3 if len(order) < 1 << 24 else 4)]
+        return squeeze(np.array(self.sizes, "<u4"), np.diff(place[order].astype(np.int64), prepend=0).astype("<i4"), *planes)
+
+
+def encode(docs: DataFrame, path: str = RANKS, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, ids of every row: the packed ids (see unpack()) of the whole text.
 
-    Distinct words are counted over all texts and encoded once each. Ids of the frequent words, of
-    proven number and size, reach every task; each other occurrence is exploded with its position,
-    joined with the word table, and put back by position.
+    Words are exploded by block: a block's distinct words, each with the block's id, go to the words'
+    owners, who encode each distinct word once and send its ids back to the blocks that have it. The
+    words' positions, as numbers, go to the same task as the ids and the texts' ids are put together by
+    position. Distinct words are combined in each block before the shuffle, so a word that is
+    everywhere moves once a block, and nothing is broadcast.
+
+    Both sides of the exchange read the texts and number blocks alike, by partition and order, as they
+    do from a stored table; a checksum of a block's words makes sure of it, and raises if an input
+    without a stable order gives its rows differently.
 
     Null and empty texts have no ids. Repeated rows and null ids are encoded each on their own; an
     empty table gives an empty result; other columns are not read."""
-    words = word_table(docs, path)
-    sent = docs.sparkSession.sparkContext.broadcast(hot_words(words, most_hot))
+    owners = partitions(docs.sparkSession)
 
-    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        get = sent.value.get
-        rest = pa.list_(pa.struct([("at", pa.int64()), ("word", pa.string())]))
+    def blocks(batches: Iterator[pa.RecordBatch], places: bool) -> Iterator[tuple[int, Block]]:
+        block, number = Block(owners, places), -1
         for b in batches:
-            out, left = [], []
-            for text in b.column("text").to_pylist():
-                pieces = _PIECE.findall(text or "")
-                parts = list(map(get, pieces))
-                open_, at = [], 0
-                if None in parts:
-                    for i, p in enumerate(parts):
-                        if p is None:
-                            open_.append({"at": at, "word": pieces[i]})
-                            parts[i] = b""
-                        else:
-                            at += len(p) // 4
-                out.append(packed(b"".join(parts)))
-                left.append(open_)
-            yield pa.record_batch([b.column("doc_id"), pa.array(out, pa.binary()), pa.array(left, rest)], ["doc_id", "ids", "open"])
-
-    rows = docs.select("doc_id", "text").mapInArrow(known, "doc_id long, ids binary, open array<struct<at:long,word:string>>")
-    rows = written(rows.withColumn("k", F.monotonically_increasing_id()), "bpe-encoded")
-    whole = rows.where(F.size("open") == 0).select("doc_id", "ids")
-    some = rows.where(F.size("open") > 0)
-    found = some.select("k", F.posexplode("open").alias("i", "o")).select("k", "i", F.col("o.at").alias("at"), F.col("o.word").alias("word"))
-    found = found.join(words.select("word", F.col("ids").alias("put")), "word")
-    found = found.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("i", "at", "put"))).alias("parts"))
-
-    def splice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if number < 0 and b.num_rows:
+                number = b.column("part")[0].as_py() << 32
+            for i, t in zip(b.column("doc_id"), b.column("text"), strict=True):
+                block.add(i.as_py(), t.as_py())
+                if block.chars >= 6 * block_words:
+                    block.close()
+                    yield number, block
+                    block, number = Block(owners, places), number + 1
+        if block.doc_ids:
+            block.close()
+            yield number, block
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, block in blocks(batches, False):
+            sent = list(block.requests())
+            yield pa.record_batch([pa.array([p for p, _ in sent], pa.int64()), pa.array([number] * len(sent), pa.int64()), pa.array([block.check] * len(sent), pa.int64()), pa.array([x for _, x in sent], pa.binary())], ["owner", "block", "check", "data"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe, known = encoding(path), {}
+        size, form = (2, "H") if len(token_bytes(path)) <= 65536 else (4, "I")
         for b in batches:
-            ids = []
-            for had, parts in zip(b.column("ids").to_pylist(), b.column("parts").to_pylist(), strict=True):
-                had, at, out = unpack(had).astype("<u4"), 0, []
-                for p in parts:
-                    out += [had[at : p["at"]].tobytes(), p["put"]]
-                    at = p["at"]
-                ids.append(packed(b"".join([*out, had[at:].tobytes()])))
-            yield pa.record_batch([b.column("doc_id"), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    joined = some.select("k", "doc_id", "ids").join(found, "k").select("doc_id", "ids", "parts")
-    return whole.unionByName(joined.mapInArrow(splice, "doc_id long, ids binary"))
+            out = []
+            for blob in b.column("data"):
+                sizes, raw = spread(blob.as_py())
+                ends = np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64).tolist()
+                found = []
+                for s, e in zip([0, *ends[:-1]], ends, strict=True):
+                    if (ids := known.get(raw[s:e])) is None:
+                        if len(known) >= HELD_WORDS:
+                            known.clear()
+                        ids = bpe.encode_ordinary(raw[s:e].decode())
+                        ids = known[raw[s:e]] = struct.pack(f"<{len(ids)}{form}", *ids)
+                    found.append(ids)
+                out.append(squeeze(np.array(list(map(len, found)), "<u4") // size, b"".join(found)))
+            yield pa.record_batch([b.column("block"), b.column("owner"), b.column("check"), pa.array([None] * b.num_rows, pa.list_(pa.int64())), pa.array(out, pa.binary())], ["block", "owner", "check", "doc_ids", "data"])
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, block in blocks(batches, True):
+            yield pa.record_batch([pa.array([number]), pa.array([1 << 40]), pa.array([block.check]), pa.array([block.doc_ids], pa.list_(pa.int64())), pa.array([block.positions()], pa.binary())], ["block", "owner", "check", "doc_ids", "data"])
+
+    def reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes: list[np.ndarray] = []
+        parts: list[np.ndarray] = []
+        checks: set[tuple[int, int]] = set()
+        for b in batches:
+            for number, owner, check, doc_ids, data in ([x.as_py() for x in row] for row in zip(*b.columns, strict=True)):
+                checks.add((number, check))
+                if owner != 1 << 40:
+                    n, ids = spread(data)
+                    sizes.append(np.frombuffer(n, "<u4").astype(np.int64))
+                    parts.append(np.frombuffer(ids, "<u4" if len(ids) == 4 * sizes[-1].sum() else "<u2").astype("<u4"))
+                    continue
+                if len(checks) > 1:
+                    raise ValueError(f"block {number} was read differently")
+                yield from rebuilt(doc_ids, spread(data), np.concatenate([np.zeros(0, np.int64), *sizes]), np.concatenate([np.zeros(0, "<u4"), *parts]))
+                sizes, parts, checks = [], [], set()
+
+    def rebuilt(doc_ids: list, data: list[bytes], size: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n_words, order = np.frombuffer(data[0], "<u4").astype(np.int64), np.cumsum(np.frombuffer(data[1], "<i4"), dtype=np.int64)
+        if len(order) != len(size):
+            raise ValueError("a block's words and their ids differ in number")
+        ranks = np.zeros(len(data[2]), "<u4")
+        for i, x in enumerate(data[2:]):
+            ranks |= np.frombuffer(x, np.uint8).astype("<u4") << np.uint32(8 * i)
+        begin, size = (np.cumsum(size) - size)[order], size[order]
+        ends = np.cumsum(n_words)
+        for s in range(0, len(doc_ids), 256):  # texts at a time
+            e = min(len(doc_ids), s + 256)
+            r = ranks[ends[s] - n_words[s] : ends[e - 1]]
+            k = size[r]
+            stop = np.cumsum(k)
+            flat = ids[np.arange(int(k.sum())) + np.repeat(begin[r] - (stop - k), k)]
+            at = np.r_[0, stop][np.cumsum(np.r_[0, n_words[s:e]])]
+            out = [packed(flat[i:j].tobytes()) for i, j in zip(at[:-1], at[1:], strict=True)]
+            yield pa.record_batch([pa.array(doc_ids[s:e], pa.int64()), pa.array(out, pa.binary())], ["doc_id", "ids"])
+
+    read = docs.select("doc_id", "text", F.spark_partition_id().alias("part"))
+    kind = "block long, owner long, check long, doc_ids array<long>, data binary"
+    asked = read.mapInArrow(ask, "owner long, block long, check long, data binary")
+    answered = asked.repartition(owners, "owner").mapInArrow(answer, kind)
+    both = answered.unionByName(read.mapInArrow(place, kind))
+    return both.repartition(owners, "block").sortWithinPartitions("block", "owner").mapInArrow(reassemble, "doc_id long, ids binary")
 
 
 def packed(ids: bytes) -> bytes:
@@ -183,8 +260,12 @@ def digests(encoded: DataFrame, path: str = RANKS) -> DataFrame:
         decimal = [b"%d," % i for i in range(len(token_bytes(path)))].__getitem__
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
-            each = [unpack(x).tolist() for x in b.column("ids").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), pa.array(list(map(len, each)), pa.int64()), pa.array([sha(b"".join(map(decimal, x))[:-1]) for x in each], pa.string()), pa.array([sha(b"".join(map(token, x))) for x in each], pa.string()), b.column("ids")], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
+            out: list[list] = [[], [], []]
+            for x in b.column("ids"):
+                ids = unpack(x.as_py()).tolist()  # one text's at a time: as Python numbers they are large
+                for held, y in zip(out, (len(ids), sha(b"".join(map(decimal, ids))[:-1]), sha(b"".join(map(token, ids)))), strict=True):
+                    held.append(y)
+            yield pa.record_batch([b.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), b.column("ids")], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids binary")
 

@@ -93,15 +93,15 @@ def test_language(spark, odd, none):
     assert rows(language.identify(none, filters)) == []
 
 
-@pytest.mark.parametrize("hot", [1 << 18, 0])
-def test_bpe(spark, odd, none, hot):
+@pytest.mark.parametrize("words", [1 << 21, 1])
+def test_bpe(spark, odd, none, words):
     reference = bpe.encoding(bpe.RANKS)
-    got = rows(bpe.encode(odd, most_hot=hot))
+    got = rows(bpe.encode(odd, block_words=words))
     want = sorted(str((i, reference.encode_ordinary(t or ""))) for i, t in TEXTS)
     assert sorted(str((r["doc_id"], bpe.unpack(r["ids"]).tolist())) for r in got) == want
-    back = rows(bpe.decode(bpe.encode(odd, most_hot=hot)))
+    back = rows(bpe.decode(bpe.encode(odd, block_words=words)))
     assert sorted(str((r["doc_id"], bytes(r["text_bytes"]))) for r in back) == sorted(str((i, (t or "").encode())) for i, t in TEXTS)
-    assert rows(bpe.encode(none, most_hot=hot)) == []
+    assert rows(bpe.encode(none, block_words=words)) == []
 
 
 def test_token_file(spark, odd, none, tmp_path):
