@@ -11,6 +11,7 @@ from mosaiq.codec.bits import BitReader, BitWriter
 
 # The order in which code-length codes are sent, and the repeat codes (base, extra bits).
 LENGTH_ORDER = (17, 18, 0, 1, 2, 3, 4, 5, 16, 6, 7, 8, 9, 10, 11, 12, 13, 14, 15)
+_REVERSED = sum(((np.arange(1 << 16) >> i & 1) << (15 - i) for i in range(16)), np.zeros(1 << 16, np.int64))
 REPEATS = {16: (3, 2), 17: (3, 3), 18: (11, 7)}
 
 
@@ -45,18 +46,13 @@ def code_lengths(counts: np.ndarray, limit: int = 15) -> np.ndarray:
 def canonical(lengths: np.ndarray) -> np.ndarray:
     """Codes as sent, first bit lowest: canonical codes with their bits reversed."""
     lengths = np.asarray(lengths, np.int64)
-    order = np.lexsort((np.arange(len(lengths)), lengths))
-    order = order[lengths[order] > 0]
-    top = int(lengths.max(initial=0))
-    before = np.cumsum(1 << (top - lengths[order])) - (1 << (top - lengths[order]))
+    used = np.flatnonzero(lengths)
+    order = used[np.argsort(lengths[used], kind="stable")]
+    size = lengths[order]
+    top = int(size[-1]) if len(size) else 0
+    width = 1 << (top - size)
     codes = np.zeros(len(lengths), np.int64)
-    code = before >> (top - lengths[order])
-    flipped = np.zeros_like(code)
-    for _ in range(top):  # shifts the bits over one by one; shorter codes stop early
-        live = lengths[order] > _
-        flipped = np.where(live, flipped << 1 | code & 1, flipped)
-        code = np.where(live, code >> 1, code)
-    codes[order] = flipped
+    codes[order] = _REVERSED[(np.cumsum(width) - width) >> (top - size)] >> (16 - size)
     return codes
 
 

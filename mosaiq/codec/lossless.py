@@ -26,7 +26,7 @@ class Options:
     color_index: bool = True
     lz77: bool = True
     color_cache: bool = True
-    cache_bits: int = 11
+    cache_bits: int = 11  # at most
 
 
 @dataclass(frozen=True)
@@ -70,7 +70,7 @@ def encode(image: Image, options: Options = Options()) -> bytes:
             argb, modes = tf.predictor_forward(argb, w, h, options.predictor_bits, options.predictor_modes)
             _block_transform(out, 0, options.predictor_bits, modes)
     out.put(0, 1)  # no more transforms
-    cache = options.cache_bits if options.color_cache else 0
+    cache = min(options.cache_bits, max(1, len(argb).bit_length() - 3)) if options.color_cache else 0  # no larger than its use
     out.put(int(cache > 0), 1)
     if cache:
         out.put(cache, 4)
