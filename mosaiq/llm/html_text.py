@@ -25,9 +25,12 @@ DROPPED = frozenset("head script style noscript template iframe object embed svg
 #: Words of class, id and role that mark what isn't main text.
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar rail aside footer masthead topbar toolbar header cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall share sharing social related recommended recommendations "
-    "comment comments commentlist respond disqus replies reply discussion pagination pager widget widgets skip copyright complementary contentinfo search disclaimer".split()
+    "comment comments commentlist respond responses feedback disqus replies reply discussion pagination pager widget widgets skip copyright complementary contentinfo search disclaimer".split()
 )
 
+#: With these a header is the text's own, and a name tells what a container has beside it.
+TITLED = frozenset("article post entry content story".split())
+ABOUT = frozenset("has with no without".split())
 #: Part of the threshold density that marks further content beside the best.
 SIBLING = 0.3
 
@@ -56,8 +59,11 @@ def _boilerplate(tag: str, attributes: str, stack: list[Node]) -> bool:
     if tag in ("html", "body", "main", "article"):
         return False
     for m in _NAMED.finditer(attributes) if attributes else ():
-        found = {w.lower() for w in _PART.findall(m[2] or m[3] or m[4] or "")} & DROPPED_WORDS
-        if found and not (inside and found <= {"header"}):
+        named = {w.lower() for w in _PART.findall(m[2] or m[3] or m[4] or "")}
+        found = named & DROPPED_WORDS
+        if found == {"header"} and (inside or named & TITLED) or named & ABOUT:
+            continue  # the text's own header; a container that only tells of a sidebar
+        if found:
             return True
     return False
 

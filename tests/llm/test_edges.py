@@ -131,6 +131,20 @@ def test_decontaminate(spark, odd, none):
     assert decontaminate.remove("One, two; THREE four!", [(1, 3)]) == "One,   four!"
 
 
+def test_boilerplate():
+    page = """<html><body class="page has-sidebar"><div id="cookie-notice">We use cookies. <button>ok</button></div>
+    <header><h1>Site</h1><p>Tag line of the site here</p></header><ul class="menu"><li><a href="/">Home</a></li></ul>
+    <div class="layout with-sidebar"><div class="post-header"><h1>Title</h1></div>
+    <section><p>One two three four five six seven eight nine ten eleven.</p><p>Second paragraph &amp; more text to make
+    it   long enough, really.</p></section><section><h2>Sub</h2><p>Third with <a href=x>a link</a> inside of it and more text.</p>
+    <ul><li>item a<li>item b</ul></section><div class="ad-slot">Buy now, a very long advertisement text, buy, buy it now!</div></div>
+    <div class="sidebar"><p>Related stuff that goes on and on and on and on.</p></div>
+    <section id="comments"><p>Nice article, I liked it very much, thanks for it all!</p></section>
+    <form><input><p>Sign up now</p></form><footer>c</footer></body></html>"""
+    want = "Title One two three four five six seven eight nine ten eleven. Second paragraph & more text to make it long enough, really. Sub Third with a link inside of it and more text. item a item b"
+    assert html_text.extract(page) == want
+
+
 def test_html_and_warc(spark, tmp_path):
     cols = "page_id long, url string, html string, text string, record string"
     data = [(1, "u", "<p>a <b>b</b>&amp;c</p>", None, None), (2, None, None, None, None), (None, "v", "", None, None), (1, "u", "<p>a <b>b</b>&amp;c</p>", None, None), (3, "w", "<div>" * 5000 + "deep", None, None), (4, "x", "<script>never ends", None, None), (5, "y", "<a href='1'>l</a", None, None)]
