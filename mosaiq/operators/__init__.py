@@ -146,3 +146,71 @@ def filter_limits(level: Column, sharpness: Column) -> Column:
     inner = F.greatest(F.when(sharpness > 0, F.least(inner, 9 - sharpness)).otherwise(inner), F.lit(1))
     inner = F.when(level > 0, inner).otherwise(0)
     return F.struct((2 * level + inner).alias("edge"), inner.alias("inner"), F.when(level >= 40, 2).when(level >= 15, 1).otherwise(0).alias("hev"))
+
+
+def prefix_code(value: Column) -> Column:
+    """struct(code, extra, bits) of a copy length or coded distance from 1 up, without a lookup table."""
+    v = value.cast("long") - 1
+    top = F.length(F.bin(F.greatest(v, F.lit(1)))) - 1  # the highest bit's place
+    extra = F.when(v < 4, 0).otherwise(top - 1)
+    code = F.when(v < 4, v.cast("int")).otherwise(2 * top + F.call_function("shiftright", v, top - 1).bitwiseAND(1).cast("int"))
+    bits = v.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), extra) - 1)
+    return F.struct(code.alias("code"), extra.cast("int").alias("extra"), bits.cast("int").alias("bits"))
+
+
+def prefix_value(code: Column, bits: Column) -> Column:
+    """The value again."""
+    extra = F.shiftright(code - 2, 1)
+    base = F.call_function("shiftleft", code.bitwiseAND(1) + 2, F.greatest(extra, F.lit(0)))
+    return F.when(code < 4, code + 1).otherwise(base + bits + 1).cast("int")
+
+
+def near_distances(coded: DataFrame, width: str = "width", code: str = "code") -> DataFrame:
+    """Adds ``distance``: near codes, from 1 to 120, by a join with their table of 120 rows; others less 120."""
+    from mosaiq.codec import lz
+
+    table = coded.sparkSession.createDataFrame([(i, x, y) for i, (x, y) in enumerate(lz.NEAR, 1)], "_code int, _x int, _y int")
+    at = coded.join(F.broadcast(table), F.col(code) == F.col("_code"), "left")
+    near = F.greatest(F.lit(1), F.col("_x") + F.col("_y") * F.col(width))  # of a null it would make 1
+    return at.withColumn("distance", F.when(F.col("_x").isNull(), F.col(code) - lz.NEAR_CODES).otherwise(near).cast("int")).drop("_code", "_x", "_y")
+
+
+def color_inverse(px: DataFrame, elements: DataFrame, bits: int = 4) -> DataFrame:
+    """Undo the colour transform: a join of pixels with (image_id, block_x, block_y, green_to_red, green_to_blue,
+    red_to_blue) on their block."""
+    at = px.withColumns({"block_x": F.shiftright("x", bits), "block_y": F.shiftright("y", bits)}).join(elements, ["image_id", "block_x", "block_y"])
+    move = lambda k, c: F.shiftright(F.col(k) * signed(c), 5)
+    r = F.pmod(F.col("r") + move("green_to_red", F.col("g")), F.lit(256))
+    b = F.pmod(F.col("b") + move("green_to_blue", F.col("g")) + move("red_to_blue", F.col("_r")), F.lit(256))
+    return at.withColumn("_r", r).withColumn("b", b.cast("int")).withColumn("r", F.col("_r").cast("int")).select(px.columns)
+
+
+def color_forward(px: DataFrame, elements: DataFrame, bits: int = 4) -> DataFrame:
+    at = px.withColumns({"block_x": F.shiftright("x", bits), "block_y": F.shiftright("y", bits)}).join(elements, ["image_id", "block_x", "block_y"])
+    move = lambda k, c: F.shiftright(F.col(k) * signed(F.col(c)), 5)
+    b = F.pmod(F.col("b") - move("green_to_blue", "g") - move("red_to_blue", "r"), F.lit(256))
+    r = F.pmod(F.col("r") - move("green_to_red", "g"), F.lit(256))
+    return at.withColumn("b", b.cast("int")).withColumn("r", r.cast("int")).select(px.columns)
+
+
+def palette_lookup(indices: DataFrame, colors: DataFrame) -> DataFrame:
+    """Colours of (image_id, pos, idx); an index that the palette lacks is opaque black."""
+    at = indices.join(colors, ["image_id", "idx"], "left")
+    return at.select("image_id", "pos", *(F.coalesce(F.col(c), F.lit(255 if c == "a" else 0)).alias(c) for c in "rgba"))
+
+
+def chroma_upsample(px: DataFrame, chroma: DataFrame, v: str = "v") -> DataFrame:
+    """image_id, pos, v at every pixel of ``px`` (image_id, pos, x, y, width, height) from samples (image_id, cx, cy, v):
+    9, 3, 3 and 1 sixteenths of the four nearest, edges repeated. Each pixel's four places are rows of one join."""
+    last = {"x": F.expr("cast((width + 1) div 2 as int) - 1"), "y": F.expr("cast((height + 1) div 2 as int) - 1")}
+
+    def near(c: str) -> Column:
+        return F.shiftright(c, 1)
+
+    def far(c: str) -> Column:
+        return F.least(F.greatest(near(c) + F.when(F.col(c) % 2 == 1, 1).otherwise(-1), F.lit(0)), last[c])
+
+    places = [(near("x"), near("y"), 9), (far("x"), near("y"), 3), (near("x"), far("y"), 3), (far("x"), far("y"), 1)]
+    each = px.select("image_id", "pos", F.explode(F.array(*(F.struct(x.alias("cx"), y.alias("cy"), F.lit(w).alias("w")) for x, y, w in places))).alias("p"))
+    joined = each.select("image_id", "pos", "p.cx", "p.cy", "p.w").join(chroma.select("image_id", "cx", "cy", v), ["image_id", "cx", "cy"])
+    return joined.groupBy("image_id", "pos").agg(F.shiftright(F.sum(F.col(v) * F.col("w")) + 8, 4).cast("int").alias(v))

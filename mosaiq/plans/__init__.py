@@ -175,6 +175,47 @@ def quality_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", fn.quality_index(F.col("doc_id") % 120 - 10).alias("q_index"))
 
 
+def prefix_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (F.col("doc_id") * 37 % 4096 + 1).cast("int").alias("value"))
+    coded = docs.select("doc_id", "value", op.prefix_code(F.col("value")).alias("p")).select("doc_id", "value", "p.*")
+    return coded.withColumn("back", op.prefix_value(F.col("code"), F.col("bits")))
+
+
+def near_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (F.col("doc_id") % 400 + 1).cast("int").alias("code"), F.lit(16).alias("width"))
+    return op.near_distances(docs).select("doc_id", "code", "distance")
+
+
+def _elements(px: DataFrame) -> DataFrame:
+    blocks = px.select("image_id", F.shiftright("x", 4).alias("block_x"), F.shiftright("y", 4).alias("block_y")).distinct()
+    coefficient = lambda k: ((F.col("image_id") * k + F.col("block_y")) % 5 * 8 - 16).cast("int")
+    return blocks.select("*", coefficient(1).alias("green_to_red"), coefficient(3).alias("green_to_blue"), coefficient(7).alias("red_to_blue"))
+
+
+def color_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = _pixels(spark, sf_dir)
+    return _weighted(op.color_forward(px, _elements(px)), "r", "g", "b", "a")
+
+
+def color_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = _pixels(spark, sf_dir)
+    elements = _elements(px)
+    return _weighted(op.color_inverse(op.color_forward(px, elements), elements), "r", "g", "b", "a")
+
+
+def palette_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grey = _grey(spark, sf_dir).select("image_id", "pos", *(F.col("v").alias(c) for c in "rgb"), F.lit(255).alias("a"))
+    colors = op.palette(grey)
+    indices = grey.join(colors, ["image_id", "r", "g", "b", "a"]).select("image_id", "pos", F.when(F.col("pos") % 9 == 0, 999).otherwise(F.col("idx")).alias("idx"))
+    return _weighted(op.palette_lookup(indices, colors), "r", "g", "b", "a")
+
+
+def chroma_upsample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    px = _pixels(spark, sf_dir)
+    chroma = px.where("x % 2 = 0 and y % 2 = 0").select("image_id", F.shiftright("x", 1).alias("cx"), F.shiftright("y", 1).alias("cy"), F.col("r").alias("v"))
+    return _weighted(op.chroma_upsample(px, chroma), "v")
+
+
 _HEX = "rpad(hex(encode(text)), CAST(ceil(length(hex(encode(text))) / 128.0) * 128 AS INT), '0')"
 _IMG = f"img AS (SELECT doc_id AS image_id, {_HEX} AS h FROM documents WHERE length(text) > 0)"
 _BYTE = "((instr('0123456789ABCDEF', substr(h, {0}, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, {0} + 1, 1)) - 1)"
@@ -275,6 +316,30 @@ ORACLES = {
         i AS (SELECT *, CASE WHEN level = 0 THEN 0 ELSE greatest(1, least(level // CASE WHEN s > 4 THEN 4 WHEN s > 0 THEN 2 ELSE 1 END, CASE WHEN s > 0 THEN 9 - s ELSE 64 END)) END AS inn FROM p),
         e AS (SELECT image_id, pos, 2 * level + inn AS edge, inn AS "inner", CASE WHEN level >= 40 THEN 2 WHEN level >= 15 THEN 1 ELSE 0 END AS hev FROM i)
         SELECT image_id, {_sums("edge")}, CAST(sum("inner" * (pos + 1)) AS BIGINT) AS sum_inner, {_sums("hev")} FROM e GROUP BY image_id""",
+    "prefix_codes": """
+        WITH d AS (SELECT doc_id, CAST(doc_id * 37 % 4096 + 1 AS INT) AS value FROM documents), v AS (SELECT *, value - 1 AS z FROM d),
+        t AS (SELECT v.*, c.code, c.extra, z - c.low AS bits FROM v JOIN (
+          SELECT code, CASE WHEN code < 4 THEN 0 ELSE (code - 2) // 2 END AS extra, CASE WHEN code < 4 THEN code ELSE (2 + code % 2) << ((code - 2) // 2) END AS low FROM range(0, 24) r(code)) c
+          ON z >= c.low AND z < c.low + (1 << c.extra))
+        SELECT doc_id, value, CAST(code AS INT) AS code, CAST(extra AS INT) AS extra, CAST(bits AS INT) AS bits, value AS back FROM t""",
+    "near_distances": """
+        WITH n AS (SELECT x, y, row_number() OVER (ORDER BY x * x + y * y, abs(x), x < 0) AS code FROM range(-7, 9) a(x), range(0, 8) b(y) WHERE y > 0 OR x > 0),
+        d AS (SELECT doc_id, CAST(doc_id % 400 + 1 AS INT) AS code FROM documents)
+        SELECT doc_id, d.code, CAST(CASE WHEN d.code > 120 THEN d.code - 120 ELSE greatest(1, x + 16 * y) END AS INT) AS distance FROM d LEFT JOIN n ON n.code = d.code""",
+    "color_forward": f"""
+        WITH {_PX}, k AS (SELECT *, (image_id + y // 16) % 5 * 8 - 16 AS gr, (image_id * 3 + y // 16) % 5 * 8 - 16 AS gb, (image_id * 7 + y // 16) % 5 * 8 - 16 AS rb FROM px),
+        s AS (SELECT image_id, pos, {_mod(f"r - (({_signed('g')} * gr) >> 5)")} AS r, g, {_mod(f"b - (({_signed('g')} * gb) >> 5) - (({_signed('r')} * rb) >> 5)")} AS b, a FROM k)
+        SELECT image_id, {_sums(*"rgba")} FROM s GROUP BY image_id""",
+    "color_roundtrip": f"WITH {_PX} SELECT image_id, {_sums(*'rgba')} FROM px GROUP BY image_id",
+    "palette_lookup": f"WITH {_GREY}, s AS (SELECT image_id, pos, CASE WHEN pos % 9 = 0 THEN 0 ELSE v END AS v, 255 AS a FROM grey) SELECT image_id, CAST(sum(v * (pos + 1)) AS BIGINT) AS sum_r, CAST(sum(v * (pos + 1)) AS BIGINT) AS sum_g, CAST(sum(v * (pos + 1)) AS BIGINT) AS sum_b, {_sums('a')} FROM s GROUP BY image_id",
+    "chroma_upsample": f"""
+        WITH {_PX}, c AS (SELECT image_id, x // 2 AS cx, y // 2 AS cy, r AS v, max(y // 2) OVER (PARTITION BY image_id) AS my FROM px WHERE x % 2 = 0 AND y % 2 = 0),
+        m AS (SELECT image_id, max(my) AS my FROM c GROUP BY image_id),
+        p AS (SELECT px.image_id, pos, x // 2 AS nx, y // 2 AS ny, least(greatest(x // 2 + CASE WHEN x % 2 = 1 THEN 1 ELSE -1 END, 0), 7) AS fx, least(greatest(y // 2 + CASE WHEN y % 2 = 1 THEN 1 ELSE -1 END, 0), my) AS fy FROM px JOIN m USING (image_id)),
+        v AS (SELECT p.image_id, pos, (9 * a.v + 3 * b.v + 3 * c1.v + d.v + 8) // 16 AS v FROM p
+          JOIN c a ON a.image_id = p.image_id AND a.cx = nx AND a.cy = ny JOIN c b ON b.image_id = p.image_id AND b.cx = fx AND b.cy = ny
+          JOIN c c1 ON c1.image_id = p.image_id AND c1.cx = nx AND c1.cy = fy JOIN c d ON d.image_id = p.image_id AND d.cx = fx AND d.cy = fy)
+        SELECT image_id, {_sums("v")} FROM v GROUP BY image_id""",
     "quality_indices": "SELECT doc_id, CAST(floor(127 - least(greatest(CAST(doc_id % 120 - 10 AS DOUBLE), 0), 100) / 100 * 127 + 0.5) AS INT) AS q_index FROM documents",
 }
 
