@@ -26,8 +26,23 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+_MADE: list[str] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/mosaiq/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/mosaiq/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete the intermediate tables made so far, once the results that read them are written. Their number."""
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    n = 0
+    while _MADE:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -19,8 +19,9 @@ WINDOW = 10
 SHARD_WORDS = 1 << 20
 #: Every so many text positions one suffix position is kept.
 SAMPLE = 16
-#: Bytes of benchmark text that a task holds at a time; more are searched in blocks, one pass each.
-BLOCK_BYTES = 32 << 20
+#: Bytes of benchmark text that a task holds at a time (some 100 MB as windows); more are searched in
+#: blocks, one pass each.
+BLOCK_BYTES = 4 << 20
 
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 

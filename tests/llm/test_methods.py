@@ -154,3 +154,9 @@ def test_held_out_accuracy(spark):
     lang = language.op10_language_filters(spark, sf).where("held_out").join(docs.select("doc_id", "lang"), "doc_id")
     right = [r["lang"] == r["lang_pred"] for r in lang.collect()]
     assert sum(right) / len(right) > 0.97
+
+
+def test_clean(spark):
+    df = common.written(spark.range(5), "five")
+    assert df.count() == 5 and common.clean(spark) >= 1
+    assert common.clean(spark) == 0
