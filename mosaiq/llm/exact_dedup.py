@@ -125,6 +125,8 @@ def keep(docs: DataFrame) -> DataFrame:
     sha, n_cp = F.sha2(normalised(text).cast("binary"), 256), F.char_length(F.coalesce(text, F.lit("")))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), sha.alias("sha"), n_cp.alias("cp"))
     rows = rows.join(found, F.expr("id <=> doc_id and sha = text_sha256 and cp = n_cp"))
+    if found.where("n > 1").isEmpty():  # no repeated rows: the texts are joined once
+        return rows.select("row.*")
     again = rows.where("n > 1").dropDuplicates(["id", "sha", "cp"])
     return rows.where("n = 1").select("row.*").unionByName(again.select("row.*"))
 

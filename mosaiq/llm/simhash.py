@@ -189,6 +189,8 @@ def keep(docs: DataFrame) -> DataFrame:
     stays = written(stays.groupBy("doc_id", "h").agg(F.count("*").alias("n")), "near-kept")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("x"))
     rows = rows.join(stays, F.expr("id <=> doc_id and x = h"))
+    if stays.where("n > 1").isEmpty():  # no repeated rows: the texts are joined once
+        return rows.select("row.*")
     again = rows.where("n > 1").dropDuplicates(["id", "x"])
     return rows.where("n = 1").select("row.*").unionByName(again.select("row.*"))
 
