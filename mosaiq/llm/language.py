@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.llm.common import crc_mod, table, written
 
-#: At most so many labelled rows of each language fit the filters: those with the least hash of their id.
+#: About so many labelled rows of each language at most fit the filters: those with the least hashes of their ids.
 FIT_ROWS = 2000
 #: At most so many n-grams of each language, those in the most rows, go into its filter.
 FIT_NGRAMS = 40_000
@@ -133,10 +133,10 @@ def fit(docs: DataFrame) -> Filters:
     langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     if not langs:
         return Filters()
-    ids = known.select("lang", "doc_id", F.xxhash64("doc_id").alias("x"))
-    bound = ids.groupBy("lang").agg(F.count("*").alias("n"), F.expr("approx_percentile(x, array(" + ", ".join(f"{i / 1000}" for i in range(1, 1000)) + "), 2000)").alias("q"))
-    # the quantile that leaves somewhat under FIT_ROWS rows of each language
-    cut = bound.select("lang", F.when(F.col("n") <= FIT_ROWS, F.lit((1 << 63) - 1)).otherwise(F.expr(f"element_at(q, greatest(1, cast(floor({FIT_ROWS} * 1000D / n) as int)))")).alias("cut"))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n"))
+    # ids' hashes are spread evenly over 64 bits, so this part of their range holds about FIT_ROWS rows
+    part = F.expr(f"cast(-9223372036854775808D + 18446744073709551616D * {FIT_ROWS} / n as bigint)")
+    cut = sizes.select("lang", F.when(F.col("n") <= FIT_ROWS, F.lit((1 << 63) - 1)).otherwise(part).alias("cut"))
     rows = known.join(F.broadcast(cut), "lang").where(F.xxhash64("doc_id") <= F.col("cut"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
