@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from mosaiq import functions as fn
 from mosaiq import operators as op
 from mosaiq.codec.lossless import Options
-from mosaiq.sources import document_images, embedding_pixels
+from mosaiq.sources import document_images, embedding_pixels, spread
 
 
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_images(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return document_images(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
 
 
 def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:

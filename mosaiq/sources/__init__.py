@@ -36,6 +36,13 @@ def write_webp(files: DataFrame, folder: str) -> DataFrame:
     return files.where(F.col("content").isNotNull()).select("name", put("name", "content").alias("size"))
 
 
+def spread(images: DataFrame) -> DataFrame:
+    """Deal images out to all cores where they lie in fewer files than there are cores: coding an image costs
+    far more than moving it. Larger inputs are left as they are read, without a shuffle."""
+    cores = images.sparkSession.sparkContext.defaultParallelism
+    return images.repartition(4 * cores) if len(images.inputFiles()) < cores else images
+
+
 def text_hex(text: Column) -> Column:
     """A text's bytes as hexadecimal digits, padded with zeros to whole rows of 16 RGBA pixels."""
     digits = F.hex(F.encode(text, "utf-8"))
