@@ -1,8 +1,9 @@
-"""SimHash near-duplicates by segment-popcount embedding, grid range-join and exact verification."""
+"""SimHash near-duplicates by segment-popcount embedding, grid range-join and exact verification; and the
+pipeline's near copies, by prefix join of word shingles and exact verification."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,16 @@ DENSE = 64
 #: Variants that are sorted at a time in a dense cell.
 VARIANTS_AT_ONCE = 1 << 22
 
+#: Near copies share so many in a hundred of their shingles of so many words.
+NEAR_SHINGLE = 5
+NEAR_PERCENT = 80
+#: Bits of a shingle set's parity sketch.
+SKETCH = 512
+#: Shingles that occur so often in one text of SAMPLE come last in the join's order; order changes costs, not links.
+SAMPLE, COMMON, COMMON_SHINGLES = 16, 4, 1 << 18
+#: Members of a bucket that meet all others of it in the first round, and their growth by round.
+HUBS, HUBS_GROW = 8, 4
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BITS = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)])
 
@@ -172,9 +183,14 @@ def label(docs: DataFrame) -> DataFrame:
     null. Repeated rows get the same group. An empty table gives an empty result; other columns are
     not read. ``h`` is xxhash64 of the text (of nothing, for null)."""
     fps = written(fingerprints(docs.select("doc_id", "text")), "fingerprints")
+    return grouped(fps, lambda distinct: components(links(distinct)))
+
+
+def grouped(fps: DataFrame, roots_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The groups of rows (doc_id, h, fp) under the roots (node, root) of their distinct ``fp``."""
     ids = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     distinct = written(fps.groupBy("fp").agg(F.min(ids).alias("least")), "distinct-fingerprints")
-    roots = components(links(distinct))
+    roots = roots_of(distinct)
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     least = named.groupBy("root").agg(F.min("least").alias("least"))
     named = named.select("fp", "root").join(least, "root")
@@ -182,9 +198,169 @@ def label(docs: DataFrame) -> DataFrame:
     return fps.join(named, "fp").select("doc_id", "h", "fp", "component_id", "rep_h")
 
 
+def shingle_set(text: str | None) -> np.ndarray:
+    """Hashes of a text's distinct shingles of NEAR_SHINGLE words, sorted; a shorter text is one shingle."""
+    words = (text or "").encode().translate(_LOWER).split()
+    if not words:
+        return np.zeros(0, np.int64)
+    shingles = [b" ".join(words)] if len(words) < NEAR_SHINGLE else map(b" ".join, zip(*(words[i:] for i in range(NEAR_SHINGLE)), strict=False))
+    digest = xxhash.xxh64_digest
+    return np.unique(np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), np.int64))
+
+
+def prefix_length(n: int) -> int:
+    """Two sets that are near share one of so many first members under any order common to all sets."""
+    return n - -(-NEAR_PERCENT * n // 100) + 1 if n else 0
+
+
+def most_apart(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Members that only one of two near sets of these sizes has, at most."""
+    return n + m + 2 * (-NEAR_PERCENT * (n + m) // (100 + NEAR_PERCENT))
+
+
+def shingled(docs: DataFrame) -> DataFrame:
+    """doc_id, h, fp (hash of the shingle set), n (its size), sketch, first (its prefix, common shingles last)."""
+    spark = docs.sparkSession
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for t in b.column("text"):
+                yield pa.record_batch([pa.array(shingle_set(t.as_py()))], ["s"])
+
+    read = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    seen = read.where(F.pmod("h", F.lit(SAMPLE)) == 0).select("text").mapInArrow(hashes, "s long").groupBy("s").count()
+    seen = seen.where(F.col("count") >= COMMON).orderBy(F.desc("count"), "s").limit(COMMON_SHINGLES)
+    sent = spark.sparkContext.broadcast(np.sort(np.array([r["s"] for r in seen.collect()], np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: list[list] = [[], [], [], []]
+            for t in b.column("text"):
+                s = shingle_set(t.as_py())
+                late = np.isin(s, sent.value)
+                first = np.concatenate([s[~late], s[late]])[: prefix_length(len(s))]
+                sketch = np.packbits(np.bincount(s & (SKETCH - 1), minlength=SKETCH) & 1).tobytes()
+                fp = xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0
+                for x, y in zip(out, (fp - (fp >> 63 << 64), len(s), sketch, first), strict=True):
+                    x.append(y)
+            made = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)]
+            yield pa.record_batch([b.column("doc_id"), b.column("h"), *made], ["doc_id", "h", "fp", "n", "sketch", "first"])
+
+    kind = dict(read.dtypes)["doc_id"]
+    return read.mapInArrow(run, f"doc_id {kind}, h long, fp long, n long, sketch binary, first array<long>")
+
+
+def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows sorted by ``s``, anew in tables that end with a bucket."""
+    held: pa.Table | None = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        held = t if held is None else pa.concat_tables([held, t])
+        s = held.column("s").to_numpy()
+        whole = int(np.searchsorted(s, s[-1])) if len(s) else 0  # the last bucket may go on
+        if whole >= 1 << 16:
+            yield held.slice(0, whole)
+            held = held.slice(whole)
+    if held is not None and held.num_rows:
+        yield held
+
+
+def bucket_starts(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row of sorted buckets: where its bucket starts and how many rows it has."""
+    starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+    sizes = np.diff(np.r_[starts, len(s)])
+    return np.repeat(starts, sizes), np.repeat(sizes, sizes)
+
+
+def shared(prefixes: DataFrame) -> DataFrame:
+    """s, fp, size of the buckets (s) that more than one fp lies in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in bucketed(batches):
+            _, size = bucket_starts(t.column("s").to_numpy())
+            t = t.append_column("size", pa.array(size)).filter(pa.array(size > 1))
+            yield from t.to_batches()
+
+    at = prefixes.repartition(partitions(prefixes.sparkSession), "s").sortWithinPartitions("s")
+    return at.mapInArrow(run, "s long, fp long, size long")
+
+
+def hub_pairs(live: DataFrame, low: int, high: int) -> DataFrame:
+    """Pairs (u, v) in which u is among the members low to high of a bucket, by fp, and v comes after it; without
+    those that already have a root in common or that sizes or sketches prove not near."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in bucketed(batches):
+            fp, root, n = (t.column(c).to_numpy() for c in ("fp", "root", "n"))
+            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(fp), -1)
+            start, size = bucket_starts(t.column("s").to_numpy())
+            rank = np.arange(len(fp)) - start
+            for i in range(low, min(high, int(size.max()))):
+                v = np.flatnonzero(rank > i)
+                u = start[v] + i
+                near = (root[u] != root[v]) & (100 * np.minimum(n[u], n[v]) >= NEAR_PERCENT * np.maximum(n[u], n[v]))
+                u, v = u[near], v[near]
+                apart = np.bitwise_count(sketch[u] ^ sketch[v]).sum(axis=1, dtype=np.int64)
+                near = apart <= most_apart(n[u], n[v])
+                yield pa.record_batch([pa.array(fp[u[near]]), pa.array(fp[v[near]])], ["u", "v"])
+
+    at = live.repartition(partitions(live.sparkSession), "s").sortWithinPartitions("s", "fp")
+    return at.mapInArrow(run, "u long, v long").distinct()
+
+
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets share NEAR_PERCENT of their union. Only texts that a pair needs are read again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = pa.array([shingle_set(t.as_py()) for t in b.column("text")], pa.list_(pa.int64()))
+            yield pa.record_batch([b.column("fp"), made], ["fp", "set"])
+
+    ends = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    need = sets.join(ends, "fp").select("fp", "doc_id", "h")
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("x"), "text").join(need, F.expr("id <=> doc_id and x = h"))
+    whole = written(texts.select("fp", "text").mapInArrow(run, "fp long, set array<long>").dropDuplicates(["fp"]), "near-sets")
+    a = whole.select(F.col("fp").alias("u"), F.col("set").alias("a"))
+    b = whole.select(F.col("fp").alias("v"), F.col("set").alias("b"))
+    both = pairs.join(b, "v").join(a, "u").withColumn("same", F.size(F.array_intersect("a", "b")))
+    return both.where((100 + NEAR_PERCENT) * F.col("same") >= NEAR_PERCENT * (F.size("a") + F.size("b"))).select("u", "v")
+
+
+def near_roots(sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, root) of the shingle sets that links at NEAR_PERCENT or more connect: all such links count.
+
+    Near sets share a shingle of their prefixes, so they meet in a bucket. In each round some members of
+    a bucket are held against all others of it that no links connect to them yet; the rounds end when every
+    member had its turn or the bucket is connected. A group of near copies so costs few rows a member."""
+    own = sets.select("fp", "n", "sketch")
+    live = written(shared(sets.select(F.explode("first").alias("s"), "fp")).join(own, "fp").withColumn("root", F.col("fp")), "near-buckets")
+    found, low, high = None, 0, HUBS
+    while not live.isEmpty():
+        pairs = written(hub_pairs(live, low, high), "near-pairs")
+        near = written(verified(pairs, sets, docs), "near-links")
+        found = near if found is None else found.unionByName(near)
+        roots = components(found)
+        live = live.where(F.col("size") > high).drop("root").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        mixed = live.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("s")
+        live = written(live.join(mixed, "s", "left_semi"), "near-buckets")
+        low, high = high, high * HUBS_GROW
+    return components(own.selectExpr("fp as u", "fp as v").limit(0)) if found is None else roots
+
+
+def near_label(docs: DataFrame) -> DataFrame:
+    """Groups of near copies, as ``label`` gives them; fp is the hash of the shingle set.
+
+    Texts are linked when they share NEAR_PERCENT or more of their shingles of NEAR_SHINGLE words. Texts
+    without a word have the same, empty set."""
+    fps = written(shingled(docs.select("doc_id", "text")), "shingled")
+    by = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    sets = fps.where("n > 0").groupBy("fp").agg(F.min_by(F.struct("doc_id", "h", "n", "sketch", "first"), by).alias("r")).select("fp", "r.*")
+    return grouped(fps.select("doc_id", "h", "fp"), lambda _: near_roots(written(sets, "near-distinct"), docs))
+
+
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all columns: one of each group, that of the smallest doc_id."""
-    found = label(docs)
+    """The rows of ``docs``, with all columns: one of each group of near copies, that of the smallest doc_id."""
+    found = near_label(docs)
     stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("rep_h")))
     stays = written(stays.groupBy("doc_id", "h").agg(F.count("*").alias("n")), "near-kept")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("x"))
