@@ -28,6 +28,13 @@ DROPPED_WORDS = frozenset(
     "comment comments commentlist respond responses feedback disqus replies reply discussion pagination pager widget widgets skip copyright complementary contentinfo search disclaimer".split()
 )
 
+#: Of these, the words that no part of a text is named after.
+ALWAYS_DROPPED = frozenset("ad ads advert adverts sponsored comment comments commentlist respond disqus".split())
+#: Only such elements are dropped for their names; headings, paragraphs and other text blocks never are.
+CONTAINERS = frozenset("div section ul ol dl table header hgroup fieldset details center address figure".split())
+#: A list or container of links is a menu if its links have so many characters each, at most.
+MENU_LINK = 30
+
 #: With these a header is the text's own, and a name tells what a container has beside it.
 TITLED = frozenset("article post entry content story".split())
 ABOUT = frozenset("has with no without".split())
@@ -35,37 +42,49 @@ ABOUT = frozenset("has with no without".split())
 SIBLING = 0.3
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-_NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|/|$)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NO_DISPLAY = re.compile(r"(?:^|[;\s])display\s*:\s*none", re.I)
 _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("chars", "density", "dropped", "items", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
+    __slots__ = ("chars", "density", "doubt", "dropped", "items", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, doubt: str = ""):
+        self.tag, self.parent, self.dropped, self.doubt = tag, parent, dropped, doubt
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def _boilerplate(tag: str, attributes: str, stack: list[Node]) -> bool:
-    if tag in DROPPED or attributes and _HIDDEN.search(attributes):
-        return True
+def _boilerplate(tag: str, attributes: str, stack: list[Node]) -> tuple[bool, str]:
+    """Whether an element is dropped, or else the doubt about it that ``settle`` decides: "form"; "name" of a
+    container that text seldom has; "topic", a name that a part of a text may have; "always"; or none."""
+    known: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes or ""):
+        known.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    if "hidden" in known or known.get("aria-hidden", "").strip().lower() == "true" or _NO_DISPLAY.search(known.get("style", "")):
+        return True, ""
+    if tag == "form":
+        return False, "form"
+    if tag in DROPPED:
+        return True, ""
     inside = any(n.tag in ("article", "main") for n in stack)
     if tag == "header":
-        return not inside  # an article's own header holds its title
-    if tag in ("html", "body", "main", "article"):
-        return False
-    for m in _NAMED.finditer(attributes) if attributes else ():
-        named = {w.lower() for w in _PART.findall(m[2] or m[3] or m[4] or "")}
+        return not inside, ""  # an article's own header holds its title
+    if tag not in CONTAINERS and "-" not in tag:
+        return False, ""
+    doubt = ""
+    for name in ("class", "id", "role"):
+        named = {w.lower() for w in _PART.findall(known.get(name, ""))}
         found = named & DROPPED_WORDS
-        if found == {"header"} and (inside or named & TITLED) or named & ABOUT:
+        if not found or found == {"header"} and (inside or named & TITLED) or named & ABOUT:
             continue  # the text's own header; a container that only tells of a sidebar
-        if found:
-            return True
-    return False
+        if found & ALWAYS_DROPPED:
+            return False, "always"
+        topic = name != "role" and (tag == "section" or name == "id")
+        doubt = "topic" if topic and doubt != "name" else "name"
+    return False, doubt
 
 
 def parse(html: str) -> tuple[Node, list[Node]]:
@@ -104,7 +123,7 @@ def parse(html: str) -> tuple[Node, list[Node]]:
                         break
                     if stack[k].tag in walls:
                         break
-            node = Node(tag, stack[-1], stack[-1].dropped or _boilerplate(tag, m[3], stack))
+            node = Node(tag, stack[-1], True) if stack[-1].dropped else Node(tag, stack[-1], *_boilerplate(tag, m[3], stack))
             stack[-1].items.append(node)
             nodes.append(node)
             if tag in RAW:
@@ -122,6 +141,9 @@ def parse(html: str) -> tuple[Node, list[Node]]:
 def measure(nodes: list[Node]) -> Node:
     """Set every node's density and the sum of its children's; returns the body (or the root)."""
     body = next((n for n in nodes if n.tag == "body"), nodes[0])
+    for n in nodes:
+        n.chars = n.tags = n.link_chars = n.link_tags = 0
+        n.density = n.sum = 0.0
     for n in reversed(nodes):
         if n.dropped:
             continue
@@ -200,6 +222,46 @@ def content(body: Node, nodes: list[Node]) -> set[int]:
     return {id(ancestor)}
 
 
+def settle(body: Node, nodes: list[Node]) -> None:
+    """Decide the doubts. A form or named container stays if it holds the greatest density sum or most of the
+    text, one in which comments or advertisements stand if nothing is left without it; a part of the text that is named like
+    boilerplate stays unless it is mostly links. All nodes must have been measured; they are measured anew."""
+    doubted = [n for n in nodes if n.doubt and not n.dropped]
+    if not doubted:
+        return
+    inside = [n for n in nodes if not n.dropped and n.chars and n.tag not in INLINE]
+    best = max(inside, key=lambda n: n.sum, default=body)
+    held = {id(best), *map(id, ancestor_path(best))}
+    half = (body.chars - body.link_chars) / 2
+    marks = [n.dropped for n in nodes]
+
+    def drop(stays) -> None:
+        for n, mark in zip(nodes, marks, strict=True):
+            n.dropped = mark or bool(n.parent and n.parent.dropped) or bool(n.doubt) and not stays(n)
+        measure(nodes)
+
+    mostly = {id(n) for n in doubted if id(n) in held or n.chars - n.link_chars > half}
+    links = {id(n) for n in doubted if n.link_chars > 0.5 * n.chars}
+    whole = {id(n) for n in doubted if n.doubt != "always" and id(n) in mostly}
+    drop(lambda n: id(n) in whole)
+    if not body.chars:
+        drop(lambda n: True)
+        return
+    topics = [n for n in doubted if n.doubt == "topic" and id(n) not in links]
+    if topics:
+        chosen = content(body, nodes)
+        for n in topics:
+            path = list(ancestor_path(n))
+            if any(x.tag in ("article", "main") or id(x) in chosen and x is not body and x.parent for x in path):
+                whole.add(id(n))
+        drop(lambda n: id(n) in whole)
+
+
+def menu(n: Node) -> bool:
+    """Whether a list or another container is mostly short links."""
+    return n.tag in CONTAINERS and n.chars > 20 and n.link_chars > 0.7 * n.chars and n.link_chars <= MENU_LINK * n.link_tags
+
+
 def blocks(node: Node) -> list[str]:
     """The text of a subtree by block, references decoded and white space as single spaces."""
     out: list[str] = []
@@ -217,7 +279,7 @@ def blocks(node: Node) -> list[str]:
             close()
         elif isinstance(x, str):
             held.append(x)
-        elif x.dropped or x is not node and x.chars > 20 and x.link_chars > 0.7 * x.chars and x.tag not in INLINE:
+        elif x.dropped or x is not node and menu(x):
             close() if x.tag not in INLINE else None
         elif x.tag in INLINE:
             todo.extend(reversed(x.items))
@@ -235,6 +297,7 @@ def extract(html: str | None) -> str:
         return ""
     _, nodes = parse(html)
     body = measure(nodes)
+    settle(body, nodes)
     found = content(body, nodes)
     return " ".join(b for n in nodes if id(n) in found for b in blocks(n))
 

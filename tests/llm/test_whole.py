@@ -2,7 +2,7 @@
 
 import random
 
-from mosaiq.llm import simhash
+from mosaiq.llm import html_text, simhash
 
 
 def test_near_copies_against_all_pairs(spark):
@@ -34,3 +34,17 @@ def test_near_copies_against_all_pairs(spark):
     assert far > 20
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_label(docs).collect()} == dict(enumerate(up))
     assert sorted(r["doc_id"] for r in simhash.keep(docs).collect()) == sorted(set(up))
+
+
+def test_names_and_links_of_the_article_stay():
+    long = "A paragraph that goes on for long enough, with commas, to be a text of its own."
+    page = f"""<html><body><nav><a href=/>Home</a></nav><article><h1><a href=x>The title of the whole page</a></h1><p>{long}</p>
+    <h2 id="related-work">Related work</h2><p id="search-methods">{long}</p><section id="discussion"><h2 id="social-impact">Impact</h2>
+    <p class="col hidden-print hidden md:block" title="A hidden gem">{long}</p></section><p><a href=y>{long}</a></p>
+    <ol><li><a href=1>Author, A. A long title of the first reference</a></li><li><a href=2>Author, B. A long title of the second reference</a></li></ol>
+    <p hidden>no</p><p style="color:red; display: none">no</p><p aria-hidden="true">no</p><div class="ad">Buy this now, it is very cheap, buy it.</div>
+    <ul><li><a href=1>Home</a></li><li><a href=2>Contact</a></li><li><a href=3>About us</a></li><li><a href=4>Imprint</a></li></ul></article></body></html>"""
+    refs = "Author, A. A long title of the first reference Author, B. A long title of the second reference"
+    assert html_text.extract(page) == f"The title of the whole page {long} Related work {long} Impact {long} {long} {refs}"
+    form = f"<body><form id=f><input><div><p>{long}</p><p>{long}</p></div></form><footer>c</footer></body>"
+    assert html_text.extract(form) == f"{long} {long}"
