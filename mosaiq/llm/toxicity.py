@@ -29,6 +29,8 @@ DRIFT = 1.0
 #: Passages are significant below this expected number of chance passages a document.
 E_MAX = 0.05
 PREFIXES = (3, 4, 5, 6)
+#: A word that counted in a candidate passage counts there again only so many words later.
+REPEAT = 50
 CACHE = 400_000
 SKETCHES = 4
 
@@ -114,13 +116,16 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def scored(scores: Scores, ws: list[str]) -> np.ndarray:
-    """Scores of a text's words. A word's evidence counts at its first occurrence; repeats are neutral."""
+    """Scores of a text's words: every word's, but repeats within REPEAT words of one candidate passage are
+    neutral. Candidates are the maximal segments of the words' full scores; lower scores never join them."""
     s = np.fromiter(map(scores.__getitem__, ws), np.float64, len(ws))
-    met = set()
-    for i in np.flatnonzero(s > 0).tolist():
-        if ws[i] in met:
-            s[i] = -DRIFT
-        met.add(ws[i])
+    for start, end, _ in segments(s):
+        met: dict[str, int] = {}
+        for i in (start + np.flatnonzero(s[start:end] > 0)).tolist():
+            if ws[i] in met and i - met[ws[i]] < REPEAT:
+                s[i] = -DRIFT
+            else:
+                met[ws[i]] = i
     return s
 
 

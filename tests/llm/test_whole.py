@@ -2,7 +2,7 @@
 
 import random
 
-from mosaiq.llm import html_text, simhash
+from mosaiq.llm import html_text, simhash, toxicity
 
 
 def test_near_copies_against_all_pairs(spark):
@@ -48,3 +48,16 @@ def test_names_and_links_of_the_article_stay():
     assert html_text.extract(page) == f"The title of the whole page {long} Related work {long} Impact {long} {long} {refs}"
     form = f"<body><form id=f><input><div><p>{long}</p><p>{long}</p></div></form><footer>c</footer></body>"
     assert html_text.extract(form) == f"{long} {long}"
+
+
+def test_passages_after_single_words_and_repeated_ones():
+    bad = [f"bad{i}" for i in range(6)]
+    model = toxicity.Model(counts={w: (100.0, 0.0) for w in bad}, toxic=1000.0, clean=1000.0)
+    gap = ["word"] * 200
+    twice = [*gap, *bad, *gap, *bad, *gap]
+    found = toxicity.passages(model, toxicity.Scores(model), " ".join(twice))[1]
+    assert [(a, b) for a, b, _, _ in found] == [(200, 206), (406, 412)]
+    late = [x for w in bad for x in (w, *gap)] + bad
+    found = toxicity.passages(model, toxicity.Scores(model), " ".join(late))[1]
+    assert [(a, b) for a, b, _, _ in found] == [(len(late) - 6, len(late))]
+    assert toxicity.passages(model, toxicity.Scores(model), " ".join([*gap, *["bad0"] * 20, *gap]))[1] == []
