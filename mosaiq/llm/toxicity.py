@@ -148,11 +148,16 @@ def sketch(text: str) -> list[int]:
     return [int((x * np.uint64(2 * i + 0x9E3779B97F4A7C15)).min().view(np.int64)) for i in range(SKETCHES)]
 
 
+def known_labels(labels: DataFrame) -> DataFrame:
+    """doc_id, toxic outside the held-out fold; several labels of one id: the highest."""
+    return labels.where((crc_mod(F.col("doc_id"), 5) != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+
+
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """text, toxic of at most FIT_ROWS rows of each class outside the held-out fold.
 
     Rows without id, text or label don't count; several labels of one id: the highest."""
-    known = labels.where((crc_mod(F.col("doc_id"), 5) != 0) & F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    known = known_labels(labels)
     order = F.xxhash64("doc_id")
     picked = [known.where(F.col("toxic") == t).orderBy(order, "doc_id").limit(FIT_ROWS) for t in (0, 1)]
     picked = picked[0].unionByName(picked[1])
@@ -202,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     z = (F.log((F.col("y1") + 0.5) / n1) - F.log((F.col("y0") + 0.5) / n0)) / F.sqrt(1 / (F.col("y1") + 0.5) + 1 / (F.col("y0") + 0.5))
     kept = counts.where("token <> '' and y1 + y0 > 1").withColumn("z", F.abs(z)).where(F.col("z") >= 2).orderBy(F.desc("z"), "token").limit(FIT_TOKENS)
     model.counts = {r["token"]: (float(r["y1"]), float(r["y0"])) for r in kept.select("token", "y1", "y0").collect()}
-    return calibrate(unseen, model, {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()})
+    return calibrate(unseen, model, {r["toxic"]: r["count"] for r in known_labels(labels).groupBy("toxic").count().collect()})
 
 
 def calibrate(rows: DataFrame, model: Model, classes: dict[int, int]) -> Model:

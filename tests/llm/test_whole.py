@@ -1,6 +1,7 @@
 """Whole results where an operator once gave less."""
 
 import random
+import zlib
 
 from mosaiq.llm import html_text, simhash, toxicity
 
@@ -61,3 +62,12 @@ def test_passages_after_single_words_and_repeated_ones():
     found = toxicity.passages(model, toxicity.Scores(model), " ".join(late))[1]
     assert [(a, b) for a, b, _, _ in found] == [(len(late) - 6, len(late))]
     assert toxicity.passages(model, toxicity.Scores(model), " ".join([*gap, *["bad0"] * 20, *gap]))[1] == []
+
+
+def test_held_out_labels_change_nothing(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "toxic").collect()
+    turned = [(r["doc_id"], 1 if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 else r["toxic"]) for r in labels]
+    assert turned != [tuple(r) for r in labels]
+    models = [toxicity.fit(docs, spark.createDataFrame(x, "doc_id long, toxic int")) for x in (labels, turned)]
+    assert models[0].slope > 0 and models[0] == models[1]
