@@ -41,7 +41,7 @@ def test_sharding(spark, odd, none):
 
 def test_exact_dedup(spark, odd, none):
     for bits in (64, 1):  # one hash bit: long chains
-        got = rows(exact_dedup.dedup(odd, capacity=1, max_depth=4, hash_bits=bits))
+        got = rows(exact_dedup.dedup(odd, capacity=1, hash_bits=bits))
         assert len(got) == len(TEXTS)
         groups = {}
         for i, t in TEXTS:
@@ -55,9 +55,30 @@ def test_exact_dedup(spark, odd, none):
 
 
 def test_directory_doubles(spark):
-    links = spark.range(1000).selectExpr("xxhash64(id) as h")
-    buckets = exact_dedup.directory(links, capacity=100, max_depth=10)
-    assert sum(2.0**-d for d, _ in buckets) == 1 and len(buckets) > 8
+    keys = spark.range(1000).selectExpr("xxhash64(id) as h", "id + 1 as n")
+    grown = exact_dedup.directory(keys, capacity=100)
+    assert sum(2.0**-d for d, *_ in grown.buckets) == 1 and len(grown.buckets) > 8
+    assert all(k <= 100 for _, _, k, _ in grown.buckets) and sum(n for *_, n in grown.buckets) == 500500
+    hashes = [r["h"] % 2**64 for r in keys.collect()]
+    assert all(sum(h >> (64 - d) == p for h in hashes) == k if d else k == 1000 for d, p, k, _ in grown.buckets)
+    entries = {r["_entry"]: r["bucket"] for r in grown.entries(spark).collect()}
+    assert len(entries) == 2**grown.depth and set(entries.values()) == set(range(len(grown.buckets)))
+    single = exact_dedup.directory(spark.createDataFrame([(0, 1), (1, 5)], "h long, n long"), capacity=1)
+    assert max(d for d, *_ in single.buckets) == 64  # keys that differ in their last bit only
+
+
+def test_index_decides(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    entries, links, grown = exact_dedup.index(docs)
+    assert grown.depth > 1 and len(grown.buckets) > 4
+    ids = [r["doc_id"] for r in docs.collect()]
+    many = spark.createDataFrame([(i, "hot text" if i % 3 else f"t {i}") for i in ids], "doc_id long, text string")
+    for bits in (64, 2):
+        _, links, grown = exact_dedup.index(many, capacity=20, hash_bits=bits)
+        assert bits == 2 or max(r["slices"] for r in grown.entries(spark).collect()) > 1  # the hot text's bucket has several owners
+        found = {(r["rep"], r["group_size"]) for r in links.where("group_size > 1").collect()}
+        assert found == {(min(i for i in ids if i % 3), sum(1 for i in ids if i % 3))}
+        assert links.count() == 1 + sum(1 for i in ids if i % 3 == 0)
 
 
 def test_simhash(spark, odd, none):
