@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -89,7 +90,7 @@ def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for j in range(first):
         key = (key << width) | padded[j : j + n]
-    order = np.argsort(key, kind="stable")  # the text ends in a symbol found nowhere else, so no suffix is a prefix
+    order = np.argsort(key)  # the text ends in a symbol found nowhere else, so no suffix is a prefix
     key = key[order]
     new = np.r_[True, key[1:] != key[:-1]]
     start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
@@ -101,7 +102,7 @@ def suffix_array(text: np.ndarray, sigma: int) -> np.ndarray:
     while len(open_):
         at = order[open_]
         group, behind = rank[at], rank[np.minimum(at + h, n)]
-        by = np.argsort(group * (n + 1) + behind + 1, kind="stable")
+        by = np.argsort(group * (n + 1) + behind + 1)
         at, group, behind = at[by], group[by], behind[by]
         order[open_] = at
         new = np.r_[True, (group[1:] != group[:-1]) | (behind[1:] != behind[:-1])]
@@ -159,76 +160,72 @@ class Phrases:
     vocab: dict[bytes, int]
     windows: dict[int, np.ndarray]  # length: one window a row
     items: dict[int, list[set]]  # length: ids of the items with that window
-    least: int
 
     @classmethod
-    def of(cls, rows: list[tuple[object, str | None]]) -> Phrases:
+    def of(cls, rows: Iterable[tuple[object, str | None]]) -> Phrases:
         vocab: dict[bytes, int] = {}
         found: dict[int, dict[tuple, set]] = defaultdict(lambda: defaultdict(set))
         for item, text in rows:
-            ids = [vocab.setdefault(w, len(vocab) + 1) for w in words(text)]
+            ids = [vocab.setdefault(w, len(vocab)) for w in words(text)]
             n = min(WINDOW, len(ids))
             for s in range(len(ids) - n + 1 if n else 0):
                 found[n][tuple(ids[s : s + n])].add(item)
-        return cls(vocab, {n: np.array(list(w), np.int64) for n, w in found.items()}, {n: list(w.values()) for n, w in found.items()}, min(found, default=0))
+        return cls(vocab, {n: np.array(list(w), np.int64) for n, w in found.items()}, {n: list(w.values()) for n, w in found.items()})
+
+
+class Shard:
+    """All words of some documents in one FM-index, under the shard's own vocabulary; 0 parts documents."""
+
+    def __init__(self, texts: list[list[bytes]]):
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.starts = np.cumsum(self.sizes + 1) - self.sizes - 1  # a document and the 0 behind it
+        self.vocab: dict[bytes, int] = {}
+        text = np.zeros(int(self.sizes.sum()) + len(texts), np.int64)
+        number = self.vocab.setdefault
+        for t, at in zip(texts, self.starts.tolist(), strict=True):
+            text[at : at + len(t)] = [number(w, len(self.vocab) + 1) for w in t]
+        self.index = FMIndex(text, len(self.vocab) + 1)
+
+    def occurrences(self, phrases: Phrases) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Length of windows, which of them, and the text position, of every occurrence."""
+        symbol = np.fromiter((self.vocab.get(w, 0) for w in phrases.vocab), np.int64, len(phrases.vocab))
+        for n, windows in phrases.windows.items():
+            spelt = symbol[windows]
+            able = np.flatnonzero((spelt > 0).all(axis=1))  # a word that the shard lacks has an empty suffix range
+            low, high = self.index.search(spelt[able])
+            count = high - low
+            which = np.repeat(able, count)
+            rows = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
+            yield n, which, self.index.locate(rows)
 
 
 def search_shard(phrases: Phrases, texts: list[list[bytes]]) -> list[tuple[list[tuple[int, int]], set]]:
-    """Per document of a shard: merged spans (first word, end) of occurring windows, and their items.
-
-    Words that the benchmark lacks are in no occurrence, so the text is cut there, and pieces shorter
-    than the shortest window are left out of the index."""
-    sizes = np.array([len(t) for t in texts], np.int64)
+    """Per document of a shard: merged spans (first word, end) of occurring windows, and their items."""
     out: list[tuple[list, set]] = [([], set()) for _ in texts]
-    if not phrases.vocab or not sizes.sum():
-        return out
-    get = phrases.vocab.get
-    ids = np.concatenate([np.fromiter(map(get, t, repeat(0)), np.int64, len(t)) for t in texts])
-    ends = np.cumsum(sizes)
-    first = np.zeros(len(ids) + 1, bool)
-    first[ends - sizes] = True
-    known = ids > 0
-    piece = np.cumsum(first[:-1] | ~known | np.r_[False, ~known[:-1]])  # a piece: known words in a row of one document
-    length = np.bincount(piece, weights=known).astype(np.int64)
-    place = np.flatnonzero(known & (length[piece] >= phrases.least))
-    if not len(place):
+    if not phrases.windows or not any(texts):
         return out
-    gap = np.flatnonzero(np.r_[False, piece[place][1:] != piece[place][:-1]])
-    text, origin = np.insert(ids[place], gap, 0), np.insert(place, gap, -1)
-    index = FMIndex(text, len(phrases.vocab) + 1)
-    change = np.zeros(len(ids) + 1, np.int64)
-    pairs: set[tuple[int, int, int]] = set()
-    for n, windows in phrases.windows.items():
-        low, high = index.search(windows)
-        count = high - low
-        which = np.repeat(np.arange(len(windows)), count)
-        rows = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-        at = origin[index.locate(rows)]
+    shard = Shard(texts)
+    change = np.zeros(int(shard.sizes.sum()) + len(texts) + 1, np.int64)
+    for n, which, at in shard.occurrences(phrases):
         np.add.at(change, at, 1)
         np.add.at(change, at + n, -1)
-        doc = np.searchsorted(ends, at, side="right")
-        if len(doc):
+        if len(at):
+            doc = np.searchsorted(shard.starts, at, side="right") - 1
             for d, w in np.unique(np.stack([doc, which], axis=1), axis=0).tolist():
-                pairs.add((n, d, w))
-    for n, d, w in pairs:
-        out[d][1].update(phrases.items[n][w])
-    hit = np.r_[np.cumsum(change[:-1]) > 0, False]
-    start = np.flatnonzero(hit[:-1] & (first[:-1] | ~np.r_[False, hit[:-2]]))
-    stop = np.flatnonzero(hit[:-1] & (first[1:] | ~hit[1:])) + 1
-    if hit[len(ids) - 1] and (not len(stop) or stop[-1] != len(ids)):
-        stop = np.r_[stop, len(ids)]
-    for d, s, e in zip(np.searchsorted(ends, start, side="right").tolist(), start.tolist(), stop.tolist(), strict=True):
-        base = int(ends[d] - sizes[d])
-        out[d][0].append((s - base, e - base))
+                out[d][1].update(phrases.items[n][w])
+    hit = np.cumsum(change) > 0  # never at the 0 behind a document
+    start, stop = np.flatnonzero(hit & ~np.r_[False, hit[:-1]]), np.flatnonzero(hit & ~np.r_[hit[1:], False]) + 1
+    doc = np.searchsorted(shard.starts, start, side="right") - 1
+    for d, s, e in zip(doc.tolist(), (start - shard.starts[doc]).tolist(), (stop - shard.starts[doc]).tolist(), strict=True):
+        out[d][0].append((s, e))
     return out
 
 
 _SPANS = "array<struct<start:int,end:int>>"
 
 
-def _scan(docs: DataFrame, phrases: Phrases) -> DataFrame:
+def _scan(docs: DataFrame, sent: Broadcast) -> DataFrame:
     """k, doc_id, n_words, spans, items of every row, from one index a shard; ``docs``: k, doc_id, text."""
-    sent = docs.sparkSession.sparkContext.broadcast(phrases)  # BLOCK_BYTES of text, about
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,82 +250,84 @@ def _scan(docs: DataFrame, phrases: Phrases) -> DataFrame:
     return docs.mapInArrow(run, f"k long, doc_id long, n_words long, spans {_SPANS}, items array<string>")
 
 
-def phrase_blocks(benchmark: DataFrame, block_bytes: int) -> list[Phrases]:
-    """The benchmark's phrases in blocks of about ``block_bytes`` of text, one at least."""
+def phrase_blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Iterator[Broadcast]]:
+    """How many blocks of about ``block_bytes`` of text the benchmark has, one at least, and their phrases.
+
+    The driver makes and sends a block when it is asked for and gives it up at the next, so that it and the
+    tasks hold one at a time; whoever asks must have finished with the one before."""
+    spark = benchmark.sparkSession
     items = benchmark.select("item_id", "text").where(F.col("text").isNotNull())
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-total // block_bytes))
-    parts = [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i) for i in range(blocks)] if blocks > 1 else [items]
-    return [Phrases.of([(r["item_id"], r["text"]) for r in part.collect()]) for part in parts]
+
+    def made() -> Iterator[Broadcast]:
+        for i in range(blocks):
+            part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i) if blocks > 1 else items
+            sent = spark.sparkContext.broadcast(Phrases.of((r["item_id"], r["text"]) for r in part.toLocalIterator()))
+            yield sent
+            if blocks > 1:
+                sent.unpersist()
+
+    return blocks, made()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, n_words, spans, items of every row: merged word spans to remove, and the items found there.
 
-    One pass without a shuffle where the benchmark fits a block; a larger one is searched in blocks of
-    bounded size over a written copy of the texts, and the blocks' spans are merged by row.
+    One pass without a shuffle where the benchmark fits a block; a larger one is searched block by block
+    over a written copy of the texts, each block's spans are written, and merged by row at the end.
 
     Null and empty texts have no words and no spans. Items without words have no windows; an item
     without an id marks words but isn't listed; rows of one item_id count as one item. Repeated rows
     and null doc_ids are searched each on their own. Empty tables give no rows, or no spans. Other
     columns are not read."""
     docs = docs.select("doc_id", "text")
-    first, *more = phrase_blocks(benchmark, block_bytes)
-    if not more:
-        return _scan(docs.select(F.lit(0).cast("long").alias("k"), "doc_id", "text"), first).drop("k")
+    n, blocks = phrase_blocks(benchmark, block_bytes)
+    if n == 1:
+        return _scan(docs.select(F.lit(0).cast("long").alias("k"), "doc_id", "text"), next(blocks)).drop("k")
     docs = written(docs.withColumn("k", F.monotonically_increasing_id()).select("k", "doc_id", "text"), "to-search")
-    found = written(_scan(docs, first), "found")
-    for phrases in more:
-        found = found.unionByName(written(_scan(docs, phrases), "found"))
+    found = reduce(DataFrame.unionByName, [written(_scan(docs, sent), "found") for sent in blocks])
     found = found.groupBy("k").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-
-    @F.pandas_udf(_SPANS)
-    def merged(spans):
-        def one(xs):
-            out: list[dict] = []
-            for x in xs:
-                if out and x["start"] <= out[-1]["end"]:
-                    out[-1]["end"] = max(out[-1]["end"], x["end"])
-                else:
-                    out.append(dict(x))
-            return out
-
-        return spans.map(one)
-
-    return found.select("doc_id", "n_words", merged("spans").alias("spans"), "items")
+    # merge sorted spans: the last one grows while the next begins before its end
+    merged = F.expr(f"""aggregate(spans, cast(array() as {_SPANS}), (out, x) -> if(size(out) > 0 and x.start <= element_at(out, -1).end,
+        concat(slice(out, 1, size(out) - 1), array(named_struct('start', element_at(out, -1).start, 'end', greatest(element_at(out, -1).end, x.end)))),
+        concat(out, array(x))))""")
+    return found.select("doc_id", "n_words", merged.alias("spans"), "items")
 
 
 def keep(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, with all columns, in which no benchmark window occurs; no shuffle.
-
-    Whole record batches are gathered into a shard, searched, and passed on without the hit rows."""
-
-    def clean(docs: DataFrame, phrases: Phrases) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast(phrases)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held, texts, n = [], [], 0
-            for b in batches:
-                held.append(b)
-                texts += map(words, b.column("text").to_pylist())
-                n = sum(map(len, texts[-b.num_rows :]), n) if b.num_rows else n
-                if n >= SHARD_WORDS:
-                    yield from passed(held, texts)
-                    held, texts, n = [], [], 0
-            yield from passed(held, texts)
-
-        def passed(held: list, texts: list) -> Iterator[pa.RecordBatch]:
-            ok = [not spans for spans, _ in search_shard(sent.value, texts)]
-            for b in held:
-                yield b.filter(pa.array(ok[: b.num_rows], pa.bool_()))
-                ok = ok[b.num_rows :]
-
-        return docs.mapInArrow(run, docs.schema)
-
-    blocks = phrase_blocks(benchmark, block_bytes)
-    for phrases in blocks:
-        docs = clean(docs, phrases)
-    return docs
+    """The rows of ``docs``, with all columns, in which no benchmark window occurs; no shuffle of texts.
+
+    Whole record batches are gathered into a shard, searched, and passed on without the hit rows. Where the
+    benchmark has several blocks, each leaves the numbers of its hit rows, and those rows go at the end.
+    Nulls, empty and repeated rows and tables: as in contamination()."""
+    n, blocks = phrase_blocks(benchmark, block_bytes)
+    if n > 1:
+        rows = written(docs.select(F.monotonically_increasing_id().alias("k"), F.struct(*docs.columns).alias("row")), "to-search")
+        texts = rows.select("k", F.lit(None).cast("long").alias("doc_id"), F.col("row.text").alias("text"))
+        hit = [written(_scan(texts, sent).where(F.size("spans") > 0).select("k"), "hit") for sent in blocks]
+        return rows.join(reduce(DataFrame.unionByName, hit).distinct(), "k", "left_anti").select("row.*")
+    sent = next(blocks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, texts, n = [], [], 0
+        for b in batches:
+            held.append(b)
+            mine = list(map(words, b.column("text").to_pylist()))
+            texts += mine
+            n += sum(map(len, mine))
+            if n >= SHARD_WORDS:
+                yield from passed(held, texts)
+                held, texts, n = [], [], 0
+        yield from passed(held, texts)
+
+    def passed(held: list, texts: list) -> Iterator[pa.RecordBatch]:
+        ok = [not spans for spans, _ in search_shard(sent.value, texts)]
+        for b in held:
+            yield b.filter(pa.array(ok[: b.num_rows], pa.bool_()))
+            ok = ok[b.num_rows :]
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def remove(text: str | None, spans: list[tuple[int, int]]) -> str | None:
