@@ -58,14 +58,16 @@ def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def write_block(doc_ids: list[int | None], lengths: np.ndarray, values: np.ndarray) -> bytes:
-    """One file: magic, header (JSON: ids, lengths, sizes), control bytes, data bytes, their crc32."""
+def write_block(doc_ids: list[int | None], lengths: np.ndarray, values: np.ndarray, part: int = 0, base: int = 0) -> bytes:
+    """One file: magic, header (JSON: ids, lengths, sizes, part, values of the part before it), control bytes,
+    data bytes, their crc32."""
     control, data = encode_values(values)
-    head = json.dumps({"n": len(values), "control": len(control), "data": len(data), "doc_ids": doc_ids, "lengths": lengths.tolist()}).encode()
+    head = json.dumps({"n": len(values), "control": len(control), "data": len(data), "part": part, "base": base, "doc_ids": doc_ids, "lengths": lengths.tolist()}).encode()
     return MAGIC + struct.pack("<I", len(head)) + head + control + data + struct.pack("<I", zlib.crc32(control + data))
 
 
-def read_block(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
+def read_block(content: bytes) -> tuple[dict, np.ndarray]:
+    """A file's header and values. Raises on anything else, and on a damaged file."""
     if content[:4] != MAGIC:
         raise ValueError("not a token file")
     (n,) = struct.unpack_from("<I", content, 4)
@@ -74,30 +76,50 @@ def read_block(content: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray
     control, data = content[at : at + head["control"]], content[at + head["control"] : at + head["control"] + head["data"]]
     if struct.unpack_from("<I", content, at + len(control) + len(data))[0] != zlib.crc32(control + data):
         raise ValueError("token file is damaged")
-    return head["doc_ids"], np.array(head["lengths"], np.int64), decode_values(control, data, head["n"])
+    return head, decode_values(control, data, head["n"])
+
+
+# The front end under which a text's ids are its words' ids in a row.
+APART = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+    "truncation": None,
+}
 
 
 @cache
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(path)
 
 
 class Words(dict):
-    """Ids of a word, packed. Words are what lies between spaces; the tokenizer drops white space and
-    matches nothing across it, so a text's ids are its words' ids in a row.
+    """Ids of a word, packed; for a text, ids().
 
-    A Latin-1 word of letters, with or without punctuation behind it, skips the normaliser and the
-    pattern, which only lower-case it and part the two; the tokenizer's model takes each part as it is."""
+    Under the front end APART, words are what lies between spaces: the tokenizer drops white space and
+    matches nothing across it, so a text's ids are its words' ids in a row. There a Latin-1 word of letters,
+    with or without punctuation behind it, skips the normaliser and the pattern, which only lower-case it
+    and part the two; the tokenizer's model takes each part as it is. A text in which an added token stands,
+    and any text under another front end, goes to the tokenizer whole."""
 
     _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
     def __init__(self, path: str):
         super().__init__()
         self.tokenizer = tokenizer(path)
+        front = json.loads(self.tokenizer.to_str())
+        self.apart = all(front[k] == v for k, v in APART.items()) and front["model"]["type"] == "BPE" and not front["model"]["dropout"]
+        added = [t["content"] for t in front["added_tokens"]]
+        self.apart &= not any(t["normalized"] for t in front["added_tokens"])
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.wide = self.tokenizer.get_vocab_size() > 65536
         self.plain: dict[str, bytes] = {}
 
@@ -122,7 +144,10 @@ class Words(dict):
         return out
 
     def ids(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
+        text = text or ""
+        if not self.apart or self.added and self.added.search(text):
+            return self.packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 @cache
@@ -189,17 +214,14 @@ def write(docs: DataFrame, folder: str, path: str = TOKENIZER) -> np.ndarray:
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank_of = np.zeros(int(sent.value.max()) + 1 if len(sent.value) else 1, "<u4")
         rank_of[sent.value] = np.arange(len(sent.value), dtype="<u4")
-        ids, parts, held, file, part = [], [], 0, 0, 0
-        names, sizes = [], []
+        ids, parts, held, file, part, base = [], [], 0, 0, 0, 0
 
         def close() -> None:
-            nonlocal ids, parts, held, file
+            nonlocal ids, parts, held, file, base
             if ids:
-                name = f"part-{part:06d}-{file:06d}.mqtf"
-                store(f"{folder}/files", name, write_block(ids, np.array(list(map(len, parts))), rank_of[np.concatenate(parts)]))
-                names.append(name)
-                sizes.append(held)
-                ids, parts, held, file = [], [], 0, file + 1
+                block = write_block(ids, np.array(list(map(len, parts))), rank_of[np.concatenate(parts)], part, base)
+                store(f"{folder}/files", f"part-{part:06d}-{file:06d}.mqtf", block)
+                ids, parts, held, file, base = [], [], 0, file + 1, base + held
 
         for b in batches:
             for i, x, p in zip(b.column("doc_id").to_pylist(), b.column("ids").to_pylist(), b.column("part").to_pylist(), strict=True):
@@ -210,9 +232,9 @@ def write(docs: DataFrame, folder: str, path: str = TOKENIZER) -> np.ndarray:
                 if held >= FILE_IDS:
                     close()
         close()
-        yield pa.record_batch([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["file", "n_ids"])
+        yield pa.record_batch([pa.array([part], pa.int32()), pa.array([file], pa.int32()), pa.array([base], pa.int64())], ["part", "n_files", "n_ids"])
 
-    manifest = sorted_.select("doc_id", "ids", "part").mapInArrow(put, "file string, n_ids long")
+    manifest = sorted_.select("doc_id", "ids", "part").mapInArrow(put, "part int, n_files int, n_ids long")
     manifest.write.parquet(f"{folder}/manifest")
     return ranks
 
@@ -232,34 +254,36 @@ def store(folder: str, name: str, content: bytes) -> None:
 def read(spark, folder: str) -> DataFrame:
     """doc_id, start, ids of every document in the token files, from the files alone.
 
-    The manifest has a row for each file of FILE_IDS ids or each range of doc_ids; its running sum
-    places a file's documents among all ids."""
-    manifest = spark.read.schema("file string, n_ids long").parquet(f"{folder}/manifest").orderBy("file").collect()
+    A file says which range of doc_ids it is of and how many ids of that range precede it; the manifest has
+    a row for each range, so one figure a range places all documents. Files that aren't the manifest's,
+    of a write that was given up, are passed over."""
+    manifest = spark.read.schema("part int, n_files int, n_ids long").parquet(f"{folder}/manifest").where("n_files > 0").orderBy("part").collect()
     if not manifest:
         return spark.createDataFrame([], "doc_id long, start long, ids binary")
     ranks = np.frombuffer(spark.read.parquet(f"{folder}/ranks").first()["ranks"], "<u4")
-    starts, total = {}, 0
+    before, total = {}, 0
     for r in manifest:
-        starts[r["file"]] = total
+        before[r["part"]] = (total, r["n_ids"])
         total += r["n_ids"]
-    sent = spark.sparkContext.broadcast((ranks, starts))
+    sent = spark.sparkContext.broadcast((ranks, before))  # the vocabulary, and a row for each task that wrote
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks, starts = sent.value
+        ranks, before = sent.value
         for b in batches:
-            for path, content in zip(b.column("path"), b.column("content"), strict=True):
-                if (name := path.as_py().rpartition("/")[2]) not in starts:
+            for content in b.column("content"):
+                head, values = read_block(content.as_buffer().to_pybytes())
+                start, n = before.get(head["part"], (0, 0))
+                if head["base"] >= n:
                     continue
-                doc_ids, lengths, values = read_block(content.as_buffer().to_pybytes())
-                ids = ranks[values]
-                ends = np.cumsum(lengths)
+                ids, doc_ids, lengths = ranks[values], head["doc_ids"], np.array(head["lengths"], np.int64)
+                ends, start = np.cumsum(lengths), start + head["base"]
                 for s in range(0, len(doc_ids), 2000):
                     e = min(len(doc_ids), s + 2000)
                     each = [ids[a - n : a].tobytes() for a, n in zip(ends[s:e], lengths[s:e], strict=True)]
-                    yield pa.record_batch([pa.array(doc_ids[s:e], pa.int64()), pa.array(starts[name] + ends[s:e] - lengths[s:e], pa.int64()), pa.array(each, pa.binary())], ["doc_id", "start", "ids"])
+                    yield pa.record_batch([pa.array(doc_ids[s:e], pa.int64()), pa.array(start + ends[s:e] - lengths[s:e], pa.int64()), pa.array(each, pa.binary())], ["doc_id", "start", "ids"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.mqtf").load(f"{folder}/files")
-    return files.select("path", "content").mapInArrow(run, "doc_id long, start long, ids binary")
+    return files.select("content").mapInArrow(run, "doc_id long, start long, ids binary")
 
 
 def op2_token_file(spark, sf_dir: str) -> DataFrame:

@@ -125,10 +125,13 @@ def test_bpe(spark, odd, none, words):
     assert rows(bpe.encode(none, block_words=words)) == []
 
 
-def test_token_file(spark, odd, none, tmp_path):
+def test_token_file(spark, odd, none, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_file, "FILE_IDS", 5000)  # several files of a range
     token_file.write(odd, f"file://{tmp_path}/a")
     got = rows(token_file.read(spark, f"file://{tmp_path}/a"))
-    t = token_file.tokenizer(token_file.TOKENIZER)
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(token_file.TOKENIZER)
     want = sorted(str((i, t.encode(x or "", add_special_tokens=False).ids + [1])) for i, x in TEXTS)
     assert sorted(str((r["doc_id"], token_file.np.frombuffer(r["ids"], "<u4").tolist())) for r in got) == want
     at = sorted((r["start"], len(r["ids"]) // 4) for r in got)
@@ -137,6 +140,33 @@ def test_token_file(spark, odd, none, tmp_path):
     assert rows(token_file.read(spark, f"file://{tmp_path}/b")) == []
 
 
+def test_token_ids_are_the_librarys(tmp_path):
+    """Equal to the unaltered library on a whole table and on odd texts, added tokens among them."""
+    import json
+    import random
+
+    import duckdb
+    from tokenizers import Tokenizer
+
+    texts = [t for (t,) in duckdb.sql("select text from '/root/testdata/sf0.01/documents.parquet'").fetchall()]
+    rng = random.Random(3)
+    bits = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|", "'s", "'LL", "don't", " ", "\n", "\t", "\u00a0", "\u2003", "e\u0301", "\u0301", "ß", "İ", "Σ", "ﬁ", "日本", "1२", "_", "-", "…", "\U0001f600\u200d", "Ab", "x", "\x85", "\x00"]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", *("".join(rng.choice(bits) for _ in range(rng.randint(1, 12))) for _ in range(4000))]
+    plain, mine = Tokenizer.from_file(token_file.TOKENIZER), token_file.Words(token_file.TOKENIZER)
+    assert mine.apart
+
+    def ids(t, known=mine):
+        raw = known.ids(t)
+        return token_file.np.frombuffer(raw, "<u2").tolist()
+
+    assert [ids(t) for t in texts] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+    other = json.load(open(token_file.TOKENIZER))
+    other["normalizer"] = {"type": "NFC"}  # another front end: nothing is assumed of it
+    (tmp_path / "other.json").write_text(json.dumps(other))
+    known, plain = token_file.Words(str(tmp_path / "other.json")), Tokenizer.from_file(str(tmp_path / "other.json"))
+    assert not known.apart and ids("Ab  c <|endoftext|>", known) == plain.encode("Ab  c <|endoftext|>", add_special_tokens=False).ids
+
+
 def test_decontaminate(spark, odd, none):
     items = spark.createDataFrame([(1, "b c"), (2, None), (3, ""), (None, "ABCD"), (4, "x " * 12), (1, "zzz")], "item_id long, text string")
     for size in (1 << 20, 8):  # one block, and several
