@@ -211,7 +211,7 @@ def test_html_and_warc(spark, tmp_path):
         known = dict(headers)
         assert warc.digest(block) == r["block_digest"] == known["WARC-Block-Digest"] and known["WARC-Refers-To"] == r["refers_to"]
     ids = {r["record_id"] for r in out}
-    assert {r["concurrent_to"] for r in out} == ids
+    assert {r["linked_to"] for r in out} == ids and {r["error"] for r in out} == {None}
     warc.write(records, f"file://{tmp_path}/w", file_bytes=500)
     assert sorted(bytes(r["record"]) for r in rows(warc.read(spark, f"file://{tmp_path}/w"))) == sorted(bytes(r["record"]) for r in out)
     nothing = spark.createDataFrame([], cols)
