@@ -29,8 +29,8 @@ _PIECE = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
 #: Words of a block, about; a longer text still goes in as one.
 BLOCK_WORDS = 1 << 21
-#: Distinct words whose ids an owner remembers: its share of all distinct words, unless partitions are too few.
-HELD_WORDS = 1 << 19
+#: Ranges that an owner's words are parted into; it holds the distinct words of one range at a time.
+RANGES = 16
 
 
 @cache
@@ -47,12 +47,24 @@ def encoding(path: str):
 
 
 @cache
-def token_bytes(path: str) -> list[bytes]:
-    """The token-byte table: the bytes of each id."""
-    out = [b""] * (max(ranks(path).values()) + 1)
+def token_table(path: str) -> pa.BinaryArray:
+    """The token-byte table: a row for each id, with its bytes."""
+    out: list[bytes] = [b""] * (max(ranks(path).values()) + 1)
     for token, i in ranks(path).items():
         out[i] = token
-    return out
+    return pa.array(out, pa.binary())
+
+
+@cache
+def decimal_table(n: int) -> pa.BinaryArray:
+    return pa.array([b"%d," % i for i in range(n)], pa.binary())
+
+
+def joined(ids: np.ndarray, table: pa.BinaryArray) -> bytes:
+    """The table's bytes of all ids, in their order. Raises on an id that the table lacks."""
+    rows = table.take(pa.array(ids.astype(np.int64)))
+    offsets = np.frombuffer(rows.buffers()[1], np.int32)[rows.offset :][: len(rows) + 1]
+    return rows.buffers()[2].to_pybytes()[offsets[0] : offsets[-1]] if len(rows) else b""
 
 
 def unpack(packed: bytes) -> np.ndarray:
@@ -103,14 +115,15 @@ class Block:
 
     def close(self) -> None:
         words = sorted(self.index)
-        owner = np.array([zlib.crc32(w.encode()) for w in words], np.int64) % self.owners
+        spread = np.array([zlib.crc32(w.encode()) for w in words], np.int64)
+        owner = spread % self.owners * RANGES + spread // self.owners % RANGES
         order = np.argsort(owner, kind="stable")
         self.words = [words[i] for i in order.tolist()]
         self.owner = owner[order]
         self.check = zlib.crc32("\0".join(self.words).encode())
 
     def requests(self) -> Iterator[tuple[int, bytes]]:
-        """Owner and squeezed words, for each owner that has any."""
+        """Owner's range (its owner is that by RANGES) and squeezed words, for each range that has any."""
         cuts = np.flatnonzero(np.r_[True, self.owner[1:] != self.owner[:-1], True]) if self.words else [0]
         for s, e in zip(cuts[:-1], cuts[1:], strict=True):
             raw = [w.encode() for w in self.words[s:e]]
@@ -132,7 +145,9 @@ def encode(docs: DataFrame, path: str = RANKS, block_words: int = BLOCK_WORDS) -
     """doc_id, ids of every row: the packed ids (see unpack()) of the whole text.
 
     Words are exploded by block: a block's distinct words, each with the block's id, go to the words'
-    owners, who encode each distinct word once and send its ids back to the blocks that have it. The
+    owners, who take them range by range, encode each distinct word once and send its ids back to the
+    blocks that have it; an owner holds one range's words at a time, and forgets none of them before all
+    blocks that ask for it are served. The
     words' positions, as numbers, go to the same task as the ids and the texts' ids are put together by
     position. Distinct words are combined in each block before the shuffle, so a word that is
     everywhere moves once a block, and nothing is broadcast.
@@ -166,18 +181,18 @@ def encode(docs: DataFrame, path: str = RANKS, block_words: int = BLOCK_WORDS) -
             yield pa.record_batch([pa.array([p for p, _ in sent], pa.int64()), pa.array([number] * len(sent), pa.int64()), pa.array([block.check] * len(sent), pa.int64()), pa.array([x for _, x in sent], pa.binary())], ["owner", "block", "check", "data"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, known = encoding(path), {}
-        size, form = (2, "H") if len(token_bytes(path)) <= 65536 else (4, "I")
+        bpe, known, held = encoding(path), {}, -1
+        size, form = (2, "H") if len(token_table(path)) <= 65536 else (4, "I")
         for b in batches:
             out = []
-            for blob in b.column("data"):
+            for at, blob in zip(b.column("owner").to_pylist(), b.column("data"), strict=True):
+                if at != held:  # sorted: the range before is done
+                    known, held = {}, at
                 sizes, raw = spread(blob.as_py())
                 ends = np.cumsum(np.frombuffer(sizes, "<u4"), dtype=np.int64).tolist()
                 found = []
                 for s, e in zip([0, *ends[:-1]], ends, strict=True):
                     if (ids := known.get(raw[s:e])) is None:
-                        if len(known) >= HELD_WORDS:
-                            known.clear()
                         ids = bpe.encode_ordinary(raw[s:e].decode())
                         ids = known[raw[s:e]] = struct.pack(f"<{len(ids)}{form}", *ids)
                     found.append(ids)
@@ -227,7 +242,7 @@ def encode(docs: DataFrame, path: str = RANKS, block_words: int = BLOCK_WORDS) -
     read = docs.select("doc_id", "text", F.spark_partition_id().alias("part"))
     kind = "block long, owner long, check long, doc_ids array<long>, data binary"
     asked = read.mapInArrow(ask, "owner long, block long, check long, data binary")
-    answered = asked.repartition(owners, "owner").mapInArrow(answer, kind)
+    answered = asked.repartition(owners, F.expr(f"owner div {RANGES}")).sortWithinPartitions("owner").mapInArrow(answer, kind)
     both = answered.unionByName(read.mapInArrow(place, kind))
     return both.repartition(owners, "block").sortWithinPartitions("block", "owner").mapInArrow(reassemble, "doc_id long, ids binary")
 
@@ -241,12 +256,13 @@ def packed(ids: bytes) -> bytes:
 
 
 def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
-    """doc_id, text_bytes: the ids' bytes from the token-byte table, which has one row for each id."""
+    """doc_id, text_bytes: every id joined with its row of the token-byte table, in the ids' order.
+
+    The table has a row for each id of the vocabulary, so every task has it whole. No ids give no bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = token_bytes(path).__getitem__
         for b in batches:
-            out = [b"".join(map(token, unpack(x).tolist())) for x in b.column("ids").to_pylist()]
+            out = [joined(unpack(x.as_py()), token_table(path)) for x in b.column("ids")]
             yield pa.record_batch([b.column("doc_id"), pa.array(out, pa.binary())], ["doc_id", "text_bytes"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text_bytes binary")
@@ -256,14 +272,13 @@ def digests(encoded: DataFrame, path: str = RANKS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256, ids: decodes the ids again and hashes both sides."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = token_bytes(path).__getitem__
-        decimal = [b"%d," % i for i in range(len(token_bytes(path)))].__getitem__
+        decimals = decimal_table(len(token_table(path)))
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             out: list[list] = [[], [], []]
-            for x in b.column("ids"):
-                ids = unpack(x.as_py()).tolist()  # one text's at a time: as Python numbers they are large
-                for held, y in zip(out, (len(ids), sha(b"".join(map(decimal, ids))[:-1]), sha(b"".join(map(token, ids)))), strict=True):
+            for x in b.column("ids"):  # one text's at a time
+                ids = unpack(x.as_py())
+                for held, y in zip(out, (len(ids), sha(joined(ids, decimals)[:-1]), sha(joined(ids, token_table(path)))), strict=True):
                     held.append(y)
             yield pa.record_batch([b.column("doc_id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string()), b.column("ids")], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"])
 

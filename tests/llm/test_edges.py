@@ -3,7 +3,7 @@
 import zlib
 
 import pytest
-from mosaiq.llm import bpe, decontaminate, exact_dedup, html_text, language, sharding, simhash, token_file, toxicity, warc
+from mosaiq.llm import bpe, common, decontaminate, exact_dedup, html_text, language, sharding, simhash, token_file, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 EXTRA = DOCS + ", h long, fp string, sha int, row string, k int, ids string, _at long, n int, word string"
@@ -125,6 +125,27 @@ def test_bpe(spark, odd, none, words):
     assert rows(bpe.encode(none, block_words=words)) == []
 
 
+def test_bpe_is_the_librarys(spark):
+    """A whole table and odd texts: ids, digests and decoded bytes; and each distinct word encoded once."""
+    import hashlib
+    import random
+
+    rng = random.Random(4)
+    bits = ["don't", "'LL", " ", "  ", "\n", "\r\n", "\t", "\u00a0", "\u2003", "e\u0301", "ß", "日本語", "123456", "_", "...", "\U0001f600\u200d", "Ab", "x", "\x85", "\u2028", "\u200b", "<|endoftext|>"]
+    odd = [(10**6 + i, "".join(rng.choice(bits) for _ in range(rng.randint(0, 12)))) for i in range(1500)]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(odd, "doc_id long, text string"))
+    reference = bpe.encoding(bpe.RANKS)
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    stored = common.written(docs, "bpe-test")
+    for words in (1 << 21, 5000):
+        got = rows(bpe.digests(bpe.encode(stored, block_words=words)))
+        assert len(got) == len(texts)
+        for r in got:
+            ids = reference.encode_ordinary(texts[r["doc_id"]])
+            want = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest())
+            assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == want
+
+
 def test_token_file(spark, odd, none, tmp_path, monkeypatch):
     monkeypatch.setattr(token_file, "FILE_IDS", 5000)  # several files of a range
     token_file.write(odd, f"file://{tmp_path}/a")
