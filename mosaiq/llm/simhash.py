@@ -114,9 +114,13 @@ def dense_links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     turns = max(1, -(-len(x) * len(_BITS) // VARIANTS_AT_ONCE))
     left, right = [], []
     for turn in range(turns):
-        made = [(v := x ^ bit, np.flatnonzero(v % np.uint64(turns) == turn)) for bit in _BITS]
-        variant = np.concatenate([v[at] for v, at in made])
-        owner = np.concatenate([at for _, at in made])
+        parts = []
+        for bit in _BITS:  # only this turn's variants are held
+            v = x ^ bit
+            at = np.flatnonzero(v % np.uint64(turns) == turn)
+            parts.append((v[at], at))
+        variant = np.concatenate([v for v, _ in parts])
+        owner = np.concatenate([at for _, at in parts])
         order = np.argsort(variant, kind="stable")
         variant, owner = variant[order], owner[order]
         same = np.flatnonzero(variant[1:] == variant[:-1])
@@ -154,15 +158,18 @@ def links(distinct: DataFrame) -> DataFrame:
             yield pa.record_batch(list(map(pa.array, cells(b.column("fp").to_numpy(zero_copy_only=False)))), ["cell", "fp"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held, n = [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
         for b in batches:
-            cell = np.concatenate([cell, b.column("cell").to_numpy()])
-            fp = np.concatenate([fp, b.column("fp").to_numpy()])
-            whole = int(np.searchsorted(cell, cell[-1])) if len(cell) else 0  # the last cell may go on
-            if whole >= 1 << 16:
+            held.append((b.column("cell").to_numpy(), b.column("fp").to_numpy()))
+            n += b.num_rows
+            if n < 1 << 16 or held[-1][0][-1] == held[0][0][:1].sum() and len(held[0][0]):
+                continue  # few rows, or all of one cell so far
+            cell, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            whole = int(np.searchsorted(cell, cell[-1]))  # the last cell may go on
+            if whole:
                 yield edges(cell[:whole], fp[:whole])
-                cell, fp = cell[whole:], fp[whole:]
-        yield edges(cell, fp)
+            held, n = [(cell[whole:], fp[whole:])], len(cell) - whole
+        yield edges(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
     def edges(cell: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
         u, v = cell_links(cell, fp)
