@@ -9,6 +9,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -18,8 +19,6 @@ from mosaiq.llm.common import crc_mod, table, written
 
 #: At most so many labelled rows of each class fit the model: those with the least hash of their id.
 FIT_ROWS = 6000
-#: At most so many tokens, those of the largest z-scores, make up the model.
-FIT_TOKENS = 200_000
 #: Pseudo-tokens of the Dirichlet prior at each level.
 PRIOR = 1.0
 #: Tokens count once their log-odds lie so many standard errors from 0.
@@ -205,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     model.toxic, model.clean = float(total["y1"]), float(total["y0"])
     n1, n0 = F.lit(model.toxic), F.lit(model.clean)
     z = (F.log((F.col("y1") + 0.5) / n1) - F.log((F.col("y0") + 0.5) / n0)) / F.sqrt(1 / (F.col("y1") + 0.5) + 1 / (F.col("y0") + 0.5))
-    kept = counts.where("token <> '' and y1 + y0 > 1").withColumn("z", F.abs(z)).where(F.col("z") >= 2).orderBy(F.desc("z"), "token").limit(FIT_TOKENS)
+    kept = counts.where("token <> '' and y1 + y0 > 1").withColumn("z", F.abs(z)).where(F.col("z") >= 2)  # as many as FIT_ROWS texts a class have
     model.counts = {r["token"]: (float(r["y1"]), float(r["y0"])) for r in kept.select("token", "y1", "y0").collect()}
     return calibrate(unseen, model, {r["toxic"]: r["count"] for r in known_labels(labels).groupBy("toxic").count().collect()})
 
@@ -214,22 +213,27 @@ def calibrate(rows: DataFrame, model: Model, classes: dict[int, int]) -> Model:
     """Set lambda and K from the clean rows, then the logistic curve from all fitting rows.
 
     lambda solves sum p(s) exp(lambda s) = 1 over clean tokens' scores (Karlin and Altschul); K comes
-    from how many clean rows have a chance passage. Both read a row of figures for each fitting row."""
+    from how many clean rows have a chance passage: one row of figures a task. The curve is fitted to one
+    number a fitting row."""
 
     def observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scores = Scores(model)
+        scores, n, chance, bins = Scores(model), 0, 0, np.zeros(48, np.int64)
         for b in batches:
-            out: list[list] = [[], [], [], []]
-            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True):
-                ws = words(text)
+            for text in b.column("text"):
+                ws = words(text.as_py())
                 s = scored(scores, ws)
-                bins = np.bincount(np.round((s + 3) * 4).astype(int), minlength=48)
-                for x, y in zip(out, (toxic, len(ws), bins.tolist(), [x for _, _, x in segments(s)] if len(ws) else []), strict=True):
-                    x.append(y)
-            yield pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float64())), strict=True)], ["toxic", "n", "bins", "found"])
+                bins += np.bincount(np.round((s + 3) * 4).astype(int), minlength=48)
+                n += len(ws)
+                chance += max((x for _, _, x in segments(s)), default=0) >= 1
+        yield pa.record_batch([pa.array([n], pa.int64()), pa.array([chance], pa.int64()), pa.array([bins.tolist()], pa.list_(pa.int64()))], ["n", "chance", "bins"])
 
-    seen = rows.mapInArrow(observe, "toxic int, n long, bins array<long>, found array<double>").collect()
-    clean = [r for r in seen if not r["toxic"]]
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = Scores(model)
+        for b in batches:
+            x = [math.log1p(evidence(passages(model, scores, t.as_py())[1])) for t in b.column("text")]
+            yield pa.record_batch([b.column("toxic").cast(pa.int32()), pa.array(x, pa.float64())], ["toxic", "x"])
+
+    clean = rows.where("toxic = 0").select("text").mapInArrow(observe, "n long, chance long, bins array<long>").collect()
     share = np.sum([r["bins"] for r in clean], axis=0) if clean else np.zeros(48)
     share = share.astype(float)
     at = np.arange(48) / 4 - 3
@@ -240,15 +244,12 @@ def calibrate(rows: DataFrame, model: Model, classes: dict[int, int]) -> Model:
         mid = (low + high) / 2
         low, high = (mid, high) if float(share @ np.exp(mid * at)) < 1 else (low, mid)
     model.lam = max(0.05, low)
-    chance = sum(max(r["found"], default=0) >= 1 for r in clean) + 0.5
+    chance = sum(r["chance"] for r in clean) + 0.5
     model.k = min(1.0, chance / max(1e-9, sum(r["n"] for r in clean) * math.exp(-model.lam)))
 
-    def gathered(r) -> float:
-        es = [e for s in r["found"] if (e := model.evalue(s, r["n"])) <= E_MAX]
-        return math.log1p(sum(-math.log(max(e, 1e-300)) for e in es))
-
-    x = np.array([gathered(r) for r in seen])
-    y = np.array([float(r["toxic"]) for r in seen])
+    seen = sorted(tuple(r) for r in rows.select("text", "toxic").mapInArrow(gather, "toxic int, x double").collect())
+    x = np.array([x for _, x in seen])
+    y = np.array([float(t) for t, _ in seen])
     known = [max(1, classes.get(t, 0)) / max(1, int((y == t).sum())) for t in (0, 1)]
     weight = np.where(y == 1, known[1], known[0])
     beta, design = np.zeros(2), np.stack([np.ones_like(x), x], axis=1)
@@ -269,7 +270,7 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
 
     Null and empty texts have no passage and the score of such a text. Repeated rows and null ids are
     scored each on their own; an empty table gives an empty result; other columns are not read."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # FIT_TOKENS entries at most
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # its tokens are those of the fitting rows
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("evalue", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,19 +284,23 @@ def detect(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose score is below 0.5; one pass, no shuffle."""
+    """The rows of ``docs``, with all columns, whose score is below 0.5; one pass, no shuffle.
+
+    Nulls, empty and repeated rows and tables: as in detect()."""
     model = fit(docs, labels)
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("boolean")
-    def clean(texts):
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scores = Scores(sent.value)
-        return texts.map(lambda t: sent.value.calibrated(evidence(passages(sent.value, scores, t)[1])) < 0.5).astype(bool)
+        for texts in batches:
+            yield texts.map(lambda t: sent.value.calibrated(evidence(passages(sent.value, scores, t)[1])) < 0.5).astype(bool)
 
     return docs.where(clean(F.coalesce("text", F.lit(""))))
 
 
 def op7_toxic_passages(spark, sf_dir: str) -> DataFrame:
+    """A null doc_id is in no fold: held_out is null."""
     docs = table(spark, sf_dir, "documents")
     found = detect(docs, fit(docs, table(spark, sf_dir, "labels")))
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
