@@ -15,16 +15,14 @@ from mosaiq.llm.common import crc_mod, table, written
 
 #: About so many labelled rows of each language at most fit the filters: those with the least hashes of their ids.
 FIT_ROWS = 2000
-#: At most so many n-grams of each language, those in the most rows, go into its filter.
-FIT_NGRAMS = 40_000
 #: An n-gram goes in if it occurs in so many rows of the language.
 MIN_ROWS = 2
 #: ... and in at least this part of the share of rows that it has in the language where it is commonest:
 #: quotations in other languages then don't fill a filter.
 MIN_SHARE = 0.2
 SIZES = (2, 3, 4)
-#: Slots of the filters, and hash functions.
-SLOTS = 1 << 21
+#: Slots of the filters for each n-gram of the language that has most, at least, and hash functions.
+RATE = 8
 HASHES = 3
 #: Characters that are hashed at a time; a longer text still goes in as one.
 BLOCK = 1 << 20
@@ -70,9 +68,10 @@ def ngrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(hashes), np.concatenate(owners)
 
 
-def slots(hashes: np.ndarray) -> list[np.ndarray]:
+def slots(hashes: np.ndarray, size: int) -> list[np.ndarray]:
+    """HASHES places of each hash among ``size``, a power of two."""
     step = (hashes >> np.uint64(40)) | np.uint64(1)
-    return [((hashes + step * np.uint64(k)) % np.uint64(SLOTS)).astype(np.int64) for k in range(HASHES)]
+    return [((hashes + step * np.uint64(k)) & np.uint64(size - 1)).astype(np.int64) for k in range(HASHES)]
 
 
 @dataclass
@@ -80,15 +79,11 @@ class Filters:
     """One filter per language, sliced by bit: a slot's word has a bit for each language that set it."""
 
     langs: list[str] = field(default_factory=list)
-    words: np.ndarray = field(default_factory=lambda: np.zeros((0, SLOTS), np.uint64))  # 64 languages a row
-
-    def add(self, lang: int, hashes: np.ndarray) -> None:
-        for at in slots(hashes):
-            self.words[lang // 64][at] |= np.uint64(1 << (lang % 64))
+    words: np.ndarray = field(default_factory=lambda: np.zeros((0, 1), np.uint64))  # 64 languages a row
 
     def false_rates(self) -> np.ndarray:
         """Chance that a filter holds an n-gram that was never added: the share of set slots, to the hashes."""
-        fill = [np.count_nonzero(self.words[i // 64] & np.uint64(1 << (i % 64))) / SLOTS for i in range(len(self.langs))]
+        fill = [np.count_nonzero(self.words[i // 64] & np.uint64(1 << (i % 64))) / self.words.shape[1] for i in range(len(self.langs))]
         return np.array(fill) ** HASHES
 
     def counts(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -96,7 +91,7 @@ class Filters:
         hashes, owners = ngrams(texts)
         n = np.bincount(owners, minlength=len(texts))
         held = np.zeros((len(texts), len(self.langs)))
-        places = slots(hashes)
+        places = slots(hashes, self.words.shape[1])
         for row, word in enumerate(self.words):
             mask = word[places[0]]
             for at in places[1:]:
@@ -153,10 +148,15 @@ def fit(docs: DataFrame) -> Filters:
     grams = written(grams.join(F.broadcast(sizes), "lang").withColumn("share", F.col("n") / F.col("rows")), "language-ngrams")
     most = grams.groupBy("gram").agg(F.max("share").alias("most"))
     grams = written(grams.join(most, "gram").where(F.col("share") >= MIN_SHARE * F.col("most")), "language-kept")
-    out = Filters(langs, np.zeros((-(-len(langs) // 64), SLOTS), np.uint64))
-    for i, lang in enumerate(langs):
-        top = grams.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(FIT_NGRAMS)
-        out.add(i, np.array([r["gram"] for r in top.select("gram").collect()], np.int64).view(np.uint64))
+    most = grams.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
+    size = 1 << max(10, (RATE * most - 1).bit_length())
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(langs)), "i int, lang string")
+    # the places of slots(): only the low bits of hash and step matter
+    places = [f"((gram & {size - 1}) + {k} * ((shiftrightunsigned(gram, 40) | 1) & {size - 1})) & {size - 1}" for k in range(HASHES)]
+    bits = grams.join(F.broadcast(numbers), "lang").select(F.expr("i div 64").alias("row"), F.expr("shiftleft(1L, i % 64)").alias("bit"), F.explode(F.array(*map(F.expr, places))).alias("slot"))
+    sliced = bits.groupBy("row", "slot").agg(F.bit_or("bit").alias("bits")).toArrow()  # a row for each slot in use
+    out = Filters(langs, np.zeros((-(-len(langs) // 64), size), np.uint64))
+    out.words[sliced["row"].to_numpy(), sliced["slot"].to_numpy()] = sliced["bits"].to_numpy().view(np.uint64)
     return out
 
 
@@ -165,7 +165,7 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
 
     Null texts and texts without a letter: ``und`` and 0. Repeated rows and null ids are judged each on
     their own; an empty table gives an empty result; other columns are not read."""
-    sent = docs.sparkSession.sparkContext.broadcast(filters)  # SLOTS words of 8 bytes for 64 languages
+    sent = docs.sparkSession.sparkContext.broadcast(filters)  # its slots follow the n-grams of FIT_ROWS rows a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -176,6 +176,7 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
 
 
 def op10_language_filters(spark, sf_dir: str) -> DataFrame:
+    """A null doc_id is in no fold: held_out is null."""
     docs = table(spark, sf_dir, "documents")
     found = identify(docs, fit(docs))
     return found.select("doc_id", (crc_mod(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
