@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (local tests) a temporary folder is made and set."""
+    Only where that setting is absent and the master is local (tests) a temporary folder is made and set;
+    on a cluster its absence raises, since executors would write to their own disks."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="mosaiq-")
         spark.conf.set("spark.checkpoint.dir", path)
     if not spark.sparkContext.getCheckpointDir():
@@ -26,22 +30,35 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-_MADE: list[str] = []
+class _Made(threading.local):
+    """The paths that this thread's operators have made."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_MADE = _Made()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/mosaiq/{name}-{uuid.uuid4().hex}"
-    _MADE.append(path)
+    _MADE.paths.append(path)
     return path
 
 
-def clean(spark: SparkSession) -> int:
-    """Delete the intermediate tables made so far, once the results that read them are written. Their number."""
+def made() -> list[str]:
+    """The paths that this thread has made so far, the newest last."""
+    return list(_MADE.paths)
+
+
+def clean(spark: SparkSession, paths: list[str] | None = None) -> int:
+    """Delete intermediate tables (by default all that this thread made) once nothing reads them any more. Their number."""
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     n = 0
-    while _MADE:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+    for name in made() if paths is None else paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         n += bool(path.getFileSystem(conf).delete(path, True))
+        _MADE.paths.remove(name)
     return n
 
 

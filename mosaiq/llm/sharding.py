@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import row_numbers, table
+from mosaiq.llm.common import row_numbers, table, written
 
 ROUNDS = 6
 
@@ -50,8 +50,8 @@ def shard_of(numbers: np.ndarray, n: int, shards: int, seed: int = 0) -> tuple[n
     return at % shards, at // shards
 
 
-def shard(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
-    """Place every row: doc_id, size, text_crc32, row_no, shard, slot.
+def shard(docs: DataFrame, shards: int = 16, seed: int = 0, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Place every row: doc_id, size, text_crc32, row_no, shard, slot, and the columns to ``carry``.
 
     Row numbers follow doc_id (null first), then hashes of the text, so the same rows give the same
     placing whatever files hold them. Shards' counts differ by one at most and slots have no gaps.
@@ -60,30 +60,28 @@ def shard(docs: DataFrame, shards: int = 16, seed: int = 0) -> DataFrame:
     Null or empty text: size 1, crc32 0. A null doc_id and repeated rows count as rows of their own.
     An empty table gives an empty result. Other columns of the input are not read."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    narrow = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_h"))
+    narrow = docs.select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("_h"), *carry)
     numbered, n = row_numbers(narrow, ["doc_id", "text_crc32", "_h"])
 
     @F.pandas_udf("long")
     def place(no: pd.Series) -> pd.Series:
         return pd.Series(permute(no.to_numpy(), n, seed))
 
-    placed = numbered.select("doc_id", "size", "text_crc32", "row_no", place("row_no").alias("_at"))
-    return placed.select("doc_id", "size", "text_crc32", "row_no", (F.col("_at") % shards).cast("int").alias("shard"), F.expr(f"_at div {shards}").alias("slot"))
+    placed = numbered.select("doc_id", "size", "text_crc32", "row_no", *carry, place("row_no").alias("_at"))
+    return placed.select("doc_id", "size", "text_crc32", "row_no", *carry, (F.col("_at") % shards).cast("int").alias("shard"), F.expr(f"_at div {shards}").alias("slot"))
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, seed: int = 0, parts_per_shard: int = 1) -> DataFrame:
     """Write the rows' ids and texts as one folder per shard, in slot order within each file.
 
-    The texts move once, to the task that owns their slot range. Returns the placing. Rows are
-    matched to their places by doc_id, size and text_crc32; of equal rows any may take any slot."""
-    placed = shard(docs, shards, seed)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    key = [F.col("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")]
-    once = docs.select(*key, "text").dropDuplicates(["doc_id", "size", "text_crc32"])
-    joined = placed.alias("p").join(once.alias("d"), F.expr("p.doc_id <=> d.doc_id and p.size = d.size and p.text_crc32 = d.text_crc32"))
-    rows = joined.select("p.doc_id", "d.text", "p.shard", "p.slot")
-    rows.repartitionByRange(shards * parts_per_shard, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
-    return placed
+    The rows are numbered in a written copy, so that every row finds its own text again, whatever ids and
+    texts repeat. The texts move once to meet their places, once to the task that owns their slot range.
+    Returns the placing. Null texts stay null; an empty table leaves no shard."""
+    rows = written(docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"), "to-shard")
+    placed = shard(rows, shards, seed, ("key",))
+    joined = placed.select("key", "doc_id", "shard", "slot").join(rows.select("key", "text"), "key").drop("key")
+    joined.repartitionByRange(shards * parts_per_shard, "shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return placed.drop("key")
 
 
 def op3_feistel_shards(spark, sf_dir: str) -> DataFrame:

@@ -160,3 +160,52 @@ def test_clean(spark):
     df = common.written(spark.range(5), "five")
     assert df.count() == 5 and common.clean(spark) >= 1
     assert common.clean(spark) == 0
+
+
+def test_language_filters_against_brute_force(spark):
+    """Every n-gram that goes in and every count, against sets of strings."""
+    import zlib
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found, rows = language.fit(docs), docs.collect()
+
+    def grams(text):
+        low = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+        return [low[i : i + n] for n in (2, 3, 4) for i in range(len(low) - n + 1) if low[i : i + n].strip()]
+
+    fold = [r for r in rows if r["text"] is not None and r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    langs = sorted({r["lang"] for r in fold})
+    n_rows = {x: sum(r["lang"] == x for r in fold) for x in langs}
+    seen = {x: defaultdict(int) for x in langs}
+    for r in fold:
+        for g in set(grams(r["text"])):
+            seen[r["lang"]][g] += 1
+    most = defaultdict(float)
+    for x in langs:
+        for g, n in seen[x].items():
+            if n >= language.MIN_ROWS:
+                most[g] = max(most[g], n / n_rows[x])
+    sets = {x: {g for g, n in seen[x].items() if n >= language.MIN_ROWS and n / n_rows[x] >= language.MIN_SHARE * most[g]} for x in langs}
+    assert found.langs == langs
+    texts = [r["text"] or "" for r in rows] + ["", "12 !", "Zürich, Ærø; 東京", "a"]
+    n, held = found.counts(texts)
+    false = found.false_rates()
+    assert (false < 0.06).all()
+    for t, k, row in zip(texts, n.tolist(), held.tolist(), strict=True):
+        all_ = grams(t)
+        assert k == len(all_)
+        exact = [sum(g in sets[x] for g in all_) for x in langs]
+        for e, h, f in zip(exact, row, false, strict=True):
+            assert e <= h <= e + (f + 0.05) * k + 20  # no n-gram is missed; few are held falsely (a frequent one counts often)
+    right = sum(max(langs, key=lambda x: sum(g in sets[x] for g in grams(t))) == p for t, (p, _) in zip(texts, found.decide(texts), strict=True) if grams(t))
+    assert right >= 0.99 * sum(bool(grams(t)) for t in texts)
+
+
+def test_shards_hold_every_text(spark, tmp_path):
+    """Rows of one id whose texts have one size and one crc32, and equal rows, each keep their own text."""
+    rows = [(1, "plumless"), (1, "buckeroo"), (1, "buckeroo"), (None, None), (None, None), (2, ""), *((i, f"t{i}") for i in range(3, 40))]
+    sharding.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), f"file://{tmp_path}/s", shards=4, parts_per_shard=2)
+    got = spark.read.parquet(f"file://{tmp_path}/s").collect()
+    assert sorted(str((r["doc_id"], r["text"])) for r in got) == sorted(map(str, rows))
+    by = [sorted(r["slot"] for r in got if r["shard"] == i) for i in range(4)]
+    assert all(x == list(range(len(x))) for x in by)
