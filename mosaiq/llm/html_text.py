@@ -20,8 +20,11 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 #: An element that an opening tag closes, and where the search for it ends.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-#: Elements that are never main text.
-DROPPED = frozenset("head script style noscript template iframe object embed svg math canvas audio video nav footer aside form button select textarea input datalist dialog menu".split())
+#: Elements whose content isn't text of the page.
+DROPPED = frozenset("head script style noscript template iframe object embed svg math canvas audio video button select textarea input datalist".split())
+#: Elements that are main text only where nothing else is.
+ASIDE = frozenset("nav footer aside dialog menu".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class, id and role that mark what isn't main text.
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar rail aside footer masthead topbar toolbar header cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall share sharing social related recommended recommendations "
@@ -38,8 +41,8 @@ MENU_LINK = 30
 #: With these a header is the text's own, and a name tells what a container has beside it.
 TITLED = frozenset("article post entry content story".split())
 ABOUT = frozenset("has with no without".split())
-#: Part of the threshold density that marks further content beside the best.
-SIBLING = 0.3
+#: What stands beside the best subtree joins it with so much of its density sum.
+SIBLING = 0.25
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
@@ -70,8 +73,8 @@ def _boilerplate(tag: str, attributes: str, stack: list[Node]) -> tuple[bool, st
     if tag in DROPPED:
         return True, ""
     inside = any(n.tag in ("article", "main") for n in stack)
-    if tag == "header":
-        return not inside, ""  # an article's own header holds its title
+    if tag in ASIDE or tag == "header" and not inside:  # an article's own header holds its title
+        return False, "always"
     if tag not in CONTAINERS and "-" not in tag:
         return False, ""
     doubt = ""
@@ -139,7 +142,11 @@ def parse(html: str) -> tuple[Node, list[Node]]:
 
 
 def measure(nodes: list[Node]) -> Node:
-    """Set every node's density and the sum of its children's; returns the body (or the root)."""
+    """Set every node's density and the sum of its children's; returns the body (or the root).
+
+    Density is characters per tag, adjusted by links: a base that grows with the node's share of link
+    characters and with the page's takes the logarithm of how seldom links are. A block without blocks has
+    its own density as its sum."""
     body = next((n for n in nodes if n.tag == "body"), nodes[0])
     for n in nodes:
         n.chars = n.tags = n.link_chars = n.link_tags = 0
@@ -164,6 +171,8 @@ def measure(nodes: list[Node]) -> Node:
         n.density = c / t * max(0.0, math.log(c / lc * t / lt) / math.log(max(base, 1.0) + 1e-9) if base > 1 else math.log(c / lc * t / lt + 1))
         if n.parent and n.tag not in INLINE:  # a paragraph's text counts once, however it is marked up
             n.parent.sum += n.density
+    for n in nodes:
+        n.sum = n.sum or n.density
     return body
 
 
@@ -173,53 +182,52 @@ def ancestor_path(n: Node) -> Iterator[Node]:
         yield n
 
 
+def children(n: Node) -> list[Node]:
+    """The blocks right below a node that have text."""
+    return [x for x in n.items if isinstance(x, Node) and not x.dropped and x.chars and x.tag not in INLINE]
+
+
+def titled(n: Node) -> bool:
+    """Whether all text of a block is headings."""
+    return n.tag in HEADINGS or bool(below := children(n)) and sum(x.chars for x in below) == n.chars and all(map(titled, below))
+
+
 def content(body: Node, nodes: list[Node]) -> set[int]:
     """Ids of the nodes whose subtrees are main text.
 
-    The node of the greatest density sum sets the threshold: the least density on its path to the body.
-    Wherever a node's density reaches that, the greatest sum below it is content too; what lies between
-    contents under their common ancestor belongs to them unless it is mostly links. Siblings with lists,
-    headings and short paragraphs are thinner than the best, so they need SIBLING of the threshold only.
-    In an <article>, the article as a whole is the ancestor."""
+    The subtree of the greatest density sum is; an <article> that holds it is as a whole. The threshold is the
+    least density on its path to the body. On each level of that path, what stands beside joins it: containers
+    of blocks that reach the threshold, are not mostly links and have SIBLING of the greatest sum; below the body, text
+    blocks that reach the threshold by that part; headings right before. Nothing else of the page does."""
     inside = [n for n in nodes if not n.dropped and n.chars and n.tag not in INLINE]
     if not inside:
         return set()
     best = max(inside, key=lambda n: n.sum)
-    if best.sum == 0:
-        best = max(inside, key=lambda n: n.density)
-    least, n = best.density, best
-    while n is not body and n.parent:
-        n = n.parent
-        if n.density:
-            least = min(least, n.density)
-    top: dict[int, Node] = {}  # the greatest sum within each subtree
-    for n in reversed(inside):
-        own = top.get(id(n), n)
-        if n.sum >= own.sum:
-            own = n
-        top[id(n)] = own
-        if p := n.parent:
-            if id(p) not in top or top[id(p)].sum < own.sum:
-                top[id(p)] = own
-    marked = {id(best)}
-    for n in inside:
-        if n.density >= SIBLING * least and top[id(n)].sum > 0:
-            marked.add(id(top[id(n)]))
-    paths = []
-    for n in (n for n in inside if id(n) in marked):
-        path = [n]
-        while path[-1] is not body and path[-1].parent:
-            path.append(path[-1].parent)
-        paths.append(path[::-1])
-    common = 0
-    while all(len(p) > common and p[common] is paths[0][common] for p in paths):
-        common += 1
-    ancestor = paths[0][max(0, common - 1)]
-    articles = [n for n in paths[0][:common] if n.tag == "article"]
-    ancestor = articles[0] if articles else next((n for n in ancestor_path(best) if n.tag == "article"), ancestor)
-    if ancestor is nodes[0] and body is not ancestor:
-        ancestor = body
-    return {id(ancestor)}
+    if not best.sum:
+        return {id(body)}
+    path = [best, *ancestor_path(best)]
+    if body in path:
+        path = path[: path.index(body) + 1]
+    least = min((n.density for n in path if n.density), default=0.0)
+    at = max((k for k, n in enumerate(path) if n.tag == "article"), default=0)
+    found = {id(path[at])}
+
+    def joins(x: Node, beside: Node, level: Node) -> bool:
+        if x.tag in ("article", "section") and x.tag == beside.tag:
+            return x.density >= SIBLING * least and x.link_chars <= 0.5 * x.chars
+        if x.tag in CONTAINERS or "-" in x.tag or x.tag in ("article", "main"):
+            return bool(children(x)) and x.density >= least and x.sum >= SIBLING * best.sum and x.link_chars <= 0.5 * x.chars
+        return level is not body and x.tag not in HEADINGS and x.density >= SIBLING * least
+
+    for beside, level in zip(path[at:], path[at + 1 :], strict=False):
+        row = children(level)
+        place = row.index(beside)
+        found |= {id(x) for x in row if x is not beside and not menu(x) and joins(x, beside, level)}
+        first = min(k for k, x in enumerate(row) if x is beside or id(x) in found)
+        while first and titled(row[first - 1]) and first <= place:
+            first -= 1
+            found.add(id(row[first]))
+    return found
 
 
 def settle(body: Node, nodes: list[Node]) -> None:
@@ -259,7 +267,7 @@ def settle(body: Node, nodes: list[Node]) -> None:
 
 def menu(n: Node) -> bool:
     """Whether a list or another container is mostly short links."""
-    return n.tag in CONTAINERS and n.chars > 20 and n.link_chars > 0.7 * n.chars and n.link_chars <= MENU_LINK * n.link_tags
+    return n.tag in CONTAINERS and n.link_tags > 2 and n.link_chars > 0.7 * n.chars and n.link_chars <= MENU_LINK * n.link_tags
 
 
 def blocks(node: Node) -> list[str]:
