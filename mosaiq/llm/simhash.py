@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import components, partitions, table, written
+from mosaiq.llm.common import clean, components, made, partitions, table, written
 
 SHINGLE = 3
 SEED = 42
@@ -32,7 +32,7 @@ SKETCH = 512
 #: Shingles that occur so often in one text of SAMPLE come last in the join's order; order changes costs, not links.
 SAMPLE, COMMON, COMMON_SHINGLES = 16, 4, 1 << 18
 #: Members of a bucket that meet all others of it in the first round, and their growth by round.
-HUBS, HUBS_GROW = 8, 4
+HUBS, HUBS_GROW = 1, 4
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BITS = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)])
@@ -316,7 +316,8 @@ def hub_pairs(live: DataFrame, low: int, high: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets share NEAR_PERCENT of their union. Only texts that a pair needs are read again."""
+    """The pairs whose shingle sets share NEAR_PERCENT of their union, written. Only texts that a pair needs are
+    read again; their sets are deleted once the links are written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -326,11 +327,14 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     ends = pairs.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
     need = sets.join(ends, "fp").select("fp", "doc_id", "h")
     texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("x"), "text").join(need, F.expr("id <=> doc_id and x = h"))
+    before = len(made())
     whole = written(texts.select("fp", "text").mapInArrow(run, "fp long, set array<long>").dropDuplicates(["fp"]), "near-sets")
     a = whole.select(F.col("fp").alias("u"), F.col("set").alias("a"))
     b = whole.select(F.col("fp").alias("v"), F.col("set").alias("b"))
     both = pairs.join(b, "v").join(a, "u").withColumn("same", F.size(F.array_intersect("a", "b")))
-    return both.where((100 + NEAR_PERCENT) * F.col("same") >= NEAR_PERCENT * (F.size("a") + F.size("b"))).select("u", "v")
+    found = written(both.where((100 + NEAR_PERCENT) * F.col("same") >= NEAR_PERCENT * (F.size("a") + F.size("b"))).select("u", "v"), "near-links")
+    clean(docs.sparkSession, made()[before:-1])
+    return found
 
 
 def near_roots(sets: DataFrame, docs: DataFrame) -> DataFrame:
@@ -344,7 +348,7 @@ def near_roots(sets: DataFrame, docs: DataFrame) -> DataFrame:
     found, low, high = None, 0, HUBS
     while not live.isEmpty():
         pairs = written(hub_pairs(live, low, high), "near-pairs")
-        near = written(verified(pairs, sets, docs), "near-links")
+        near = verified(pairs, sets, docs)
         found = near if found is None else found.unionByName(near)
         roots = components(found)
         live = live.where(F.col("size") > high).drop("root").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
@@ -359,23 +363,31 @@ def near_label(docs: DataFrame) -> DataFrame:
 
     Texts are linked when they share NEAR_PERCENT or more of their shingles of NEAR_SHINGLE words. Texts
     without a word have the same, empty set."""
+    before = len(made())
     fps = written(shingled(docs.select("doc_id", "text")), "shingled")
     by = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     sets = fps.where("n > 0").groupBy("fp").agg(F.min_by(F.struct("doc_id", "h", "n", "sketch", "first"), by).alias("r")).select("fp", "r.*")
-    return grouped(fps.select("doc_id", "h", "fp"), lambda _: near_roots(written(sets, "near-distinct"), docs))
+    sets, rows = written(sets, "near-distinct"), written(fps.select("doc_id", "h", "fp"), "near-rows")
+    clean(docs.sparkSession, made()[before : before + 1])  # the prefixes of all rows
+    return grouped(rows, lambda _: near_roots(sets, docs))
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, with all columns: one of each group of near copies, that of the smallest doc_id."""
+    """The rows of ``docs``, with all columns: one of each group of near copies, that of the smallest doc_id.
+
+    The rows that go are taken out by id and hash, the smaller side, so that the texts stay where they lie as
+    long as Catalyst can broadcast those. Nulls, empty texts and tables: as in label()."""
     found = near_label(docs)
-    stays = found.where(F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("rep_h")))
-    stays = written(stays.groupBy("doc_id", "h").agg(F.count("*").alias("n")), "near-kept")
+    kept = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("h") == F.col("rep_h"))
+    found = written(found.select("doc_id", "h", kept.alias("kept")), "near-found")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("x"))
-    rows = rows.join(stays, F.expr("id <=> doc_id and x = h"))
-    if stays.where("n > 1").isEmpty():  # no repeated rows: the texts are joined once
+    same = F.expr("id <=> doc_id and x = h")
+    rows = rows.join(found.where("not kept").drop("kept").distinct(), same, "left_anti")
+    again = written(found.where("kept").groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1"), "near-again")
+    if again.isEmpty():
         return rows.select("row.*")
-    again = rows.where("n > 1").dropDuplicates(["id", "x"])
-    return rows.where("n = 1").select("row.*").unionByName(again.select("row.*"))
+    once = rows.join(again, same, "left_semi").dropDuplicates(["id", "x"])
+    return rows.join(again, same, "left_anti").unionByName(once).select("row.*")
 
 
 def op5_simhash_components(spark, sf_dir: str) -> DataFrame:
