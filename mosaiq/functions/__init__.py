@@ -77,19 +77,30 @@ def webp_decode(content: Column, form: str = "rgba", max_pixels: int = MAX_PIXEL
 
 
 def alpha_encode(plane: Column, width: Column, height: Column) -> Column:
+    """An alpha chunk of a plane; null where any of the three is."""
     import numpy as np
 
     @F.pandas_udf("binary")
     def run(plane: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
-        return pd.Series([encode_alpha(np.frombuffer(p, np.uint8), w, h) for p, w, h in zip(plane, width, height, strict=True)], dtype=object)
+        return pd.Series([None if p is None or pd.isna(w) or pd.isna(h) else encode_alpha(np.frombuffer(p, np.uint8), int(w), int(h)) for p, w, h in zip(plane, width, height, strict=True)], dtype=object)
 
     return run(plane, width, height)
 
 
 def alpha_decode(chunk: Column, width: Column, height: Column) -> Column:
+    """The plane of an alpha chunk; null where any of the three is, and for a damaged chunk."""
+
     @F.pandas_udf("binary")
     def run(chunk: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
-        return pd.Series([decode_alpha(c, w, h).tobytes() for c, w, h in zip(chunk, width, height, strict=True)], dtype=object)
+        def one(c, w, h):
+            if c is None or pd.isna(w) or pd.isna(h):
+                return None
+            try:
+                return decode_alpha(c, int(w), int(h)).tobytes()
+            except (WebpError, IndexError):
+                return None
+
+        return pd.Series([one(*x) for x in zip(chunk, width, height, strict=True)], dtype=object)
 
     return run(chunk, width, height)
 
@@ -109,7 +120,9 @@ class RiffChunks:
 
 @F.udtf(returnType="frame_idx int, x int, y int, width int, height int, duration_ms int, blend string, dispose string, loop_count int, background_color bigint, data binary")
 class AnimationFrames:
-    """LATERAL animation_frames(content, with_pixels): a row for each frame, pixels only if asked for."""
+    """LATERAL animation_frames(content, with_pixels): a row for each frame, pixels only if asked for.
+
+    No row for null or another kind of file; null pixels for a frame that is damaged or cannot be read here."""
 
     def eval(self, content: bytes, with_pixels: bool) -> Iterator[tuple]:
         try:
@@ -117,7 +130,10 @@ class AnimationFrames:
         except WebpError:
             found = None
         for i, f in enumerate(found.frames if found else ()):
-            data = container.decode_frame(f).data if with_pixels else None
+            try:
+                data = container.decode_frame(f).data if with_pixels else None
+            except (WebpError, IndexError):
+                data = None
             yield i, f.x, f.y, f.width, f.height, f.duration_ms, f.blend, f.dispose, found.loop_count, found.background_argb, data
 
 
@@ -126,13 +142,14 @@ def register(spark: SparkSession) -> None:
     spark.udtf.register("animation_frames", AnimationFrames)
 
 
-def byte_at(content: Column, i: int) -> Column:
+def byte_at(content: Column, i: int | Column) -> Column:
     """The byte at an offset, from 0, as a number; null beyond the end. Stays in the JVM."""
-    return F.conv(F.nullif(F.hex(F.substring(content, i + 1, 1)), F.lit("")), 16, 10).cast("int")
+    one = F.substring(content, F.lit(i).cast("int") + 1, F.lit(1))
+    return F.conv(F.nullif(F.hex(one), F.lit("")), 16, 10).cast("int")
 
 
-def little_endian(content: Column, i: int, size: int) -> Column:
-    return sum((F.shiftleft(byte_at(content, i + k).cast("long"), 8 * k) for k in range(1, size)), byte_at(content, i).cast("long"))
+def little_endian(content: Column, i: int | Column, size: int) -> Column:
+    return sum((F.shiftleft(byte_at(content, F.lit(i) + k).cast("long"), 8 * k) for k in range(1, size)), byte_at(content, i).cast("long"))
 
 
 def to_little_endian(value: Column, size: int) -> Column:
@@ -141,21 +158,47 @@ def to_little_endian(value: Column, size: int) -> Column:
 
 
 def webp_info(content: Column) -> Column:
-    """struct(width, height, has_alpha, is_lossless, has_animation, is_extended) from the first chunk's
-    header, by byte arithmetic in the JVM; null where that is none of the image chunks."""
-    kind = F.decode(F.substring(content, 13, 4), "ISO-8859-1")
-    bits = little_endian(content, 21, 4)
-    flags = byte_at(content, 20)
+    """struct(width, height, has_alpha, is_lossless, has_animation, is_extended) from the headers, by byte
+    arithmetic in the JVM: of an extended header, wherever it stands, then of lossless, then of lossy data;
+    null for null, for what isn't such a file, and where the header is damaged.
+
+    The chunks behind the first are walked only where there are any and the first isn't an extended header."""
+    name = lambda at: F.decode(F.substring(content, F.lit(at).cast("int") + 1, F.lit(4)), "ISO-8859-1")
+    end = F.octet_length(content).cast("long")  # as the parser has it, whatever the file's own size says
+    after = lambda at: F.lit(at).cast("long") + 8 + (lambda n: n + n % 2)(little_endian(content, F.lit(at) + 4, 4))
+
+    def step(s, _):
+        at = s["at"]
+        found = [F.coalesce(s[k], F.when(name(at) == four, at)).alias(k) for k, four in (("x", "VP8X"), ("l", "VP8L"), ("v", "VP8 "))]
+        return F.when(at + 8 > end, s).otherwise(F.struct(after(at).alias("at"), *found))
+
+    none = F.lit(None).cast("long")
+    begin = F.struct(F.lit(12).cast("long").alias("at"), none.alias("x"), none.alias("l"), none.alias("v"))
+    single = (name(12) == "VP8X") | (after(12) >= end)
+    first = F.struct(F.lit(0).cast("long").alias("at"), *(F.when(name(12) == four, F.lit(12).cast("long")).alias(k) for k, four in (("x", "VP8X"), ("l", "VP8L"), ("v", "VP8 "))))
+    walked = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), (end / 8).cast("int"))), begin, step)
 
     def facts(w, h, alpha, lossless_, animated, extended):
         return F.struct(w.cast("int").alias("width"), h.cast("int").alias("height"), alpha.alias("has_alpha"), lossless_.alias("is_lossless"), animated.alias("has_animation"), extended.alias("is_extended"))
 
-    no, yes = F.lit(False), F.lit(True)
-    x = facts(little_endian(content, 24, 3) + 1, little_endian(content, 27, 3) + 1, flags.bitwiseAND(16) != 0, no, flags.bitwiseAND(2) != 0, yes)
-    l = facts(bits.bitwiseAND(0x3FFF) + 1, F.shiftright(bits, 14).bitwiseAND(0x3FFF) + 1, F.shiftright(bits, 28).bitwiseAND(1) != 0, yes, no, no)  # noqa: E741
-    v = facts(little_endian(content, 26, 2).bitwiseAND(0x3FFF), little_endian(content, 28, 2).bitwiseAND(0x3FFF), no, no, no, no)
-    key = (flags.bitwiseAND(1) == 0) & (F.hex(F.substring(content, 24, 3)) == "9D012A")
-    return F.when(kind == "VP8X", x).when((kind == "VP8L") & (flags == 0x2F), l).when((kind == "VP8 ") & key, v)
+    def whole(at, size):  # a chunk's first bytes, in the chunk and in the file
+        return (little_endian(content, at + 4, 4) >= size) & (at + 8 + size <= end)
+
+    def read(at):
+        no, yes, flags = F.lit(False), F.lit(True), lambda o: byte_at(content, o + 8)
+        o = at["x"]
+        x = facts(little_endian(content, o + 12, 3) + 1, little_endian(content, o + 15, 3) + 1, flags(o).bitwiseAND(16) != 0, no, flags(o).bitwiseAND(2) != 0, yes)
+        o = at["l"]
+        bits = little_endian(content, o + 9, 4)
+        l = facts(bits.bitwiseAND(0x3FFF) + 1, F.shiftright(bits, 14).bitwiseAND(0x3FFF) + 1, F.shiftright(bits, 28).bitwiseAND(1) != 0, yes, no, no)  # noqa: E741
+        l = F.when((flags(o) == 0x2F) & whole(o, 5), l)  # noqa: E741
+        o = at["v"]
+        v = facts(little_endian(content, o + 14, 2).bitwiseAND(0x3FFF), little_endian(content, o + 16, 2).bitwiseAND(0x3FFF), no, no, no, no)
+        v = F.when((flags(o).bitwiseAND(1) == 0) & (F.hex(F.substring(content, o.cast("int") + 12, F.lit(3))) == "9D012A") & whole(o, 10), v)
+        return F.when(at["x"].isNotNull() & whole(at["x"], 10), x).when(at["x"].isNotNull(), F.lit(None)).when(at["l"].isNotNull(), l).when(at["v"].isNotNull(), v)
+
+    webp = (name(0) == "RIFF") & (name(8) == "WEBP") & (F.octet_length(content) >= 20)
+    return F.when(webp & single, read(first)).when(webp, F.transform(F.array(walked), read)[0])
 
 
 def riff_build(chunks: Column) -> Column:
