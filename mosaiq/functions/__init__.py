@@ -198,7 +198,8 @@ def webp_info(content: Column) -> Column:
         return F.when(at["x"].isNotNull() & whole(at["x"], 10), x).when(at["x"].isNotNull(), F.lit(None)).when(at["l"].isNotNull(), l).when(at["v"].isNotNull(), v)
 
     webp = (name(0) == "RIFF") & (name(8) == "WEBP") & (F.octet_length(content) >= 20)
-    return F.when(webp & single, read(first)).when(webp, F.transform(F.array(walked), read)[0])
+    places = F.array(F.when(single, first).otherwise(walked))  # one element, so that it is worked out once
+    return F.when(webp, F.transform(places, read)[0])
 
 
 def riff_build(chunks: Column) -> Column:
