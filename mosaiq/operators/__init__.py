@@ -120,6 +120,15 @@ def alpha_vertical(px: DataFrame, v: str = "v") -> DataFrame:
     return at.withColumn(v, (F.sum(v).over(down) % 256).cast("int"))
 
 
+def alpha_gradient(px: DataFrame, v: str = "v") -> DataFrame:
+    """The gradient filter: each value less left + above - corner, clipped, or less the one neighbour that there is."""
+    row, down = W.partitionBy("image_id", "y").orderBy("x"), W.partitionBy("image_id", "x").orderBy("y")
+    at = px.withColumn("_above", F.lag(v).over(down)).withColumns({"_left": F.lag(v).over(row), "_corner": F.lag("_above").over(row)})
+    both = F.least(F.greatest(F.col("_left") + F.col("_above") - F.col("_corner"), F.lit(0)), F.lit(255))
+    both = F.when(F.col("_corner").isNotNull(), both)
+    return at.withColumn(v, F.pmod(F.col(v) - F.coalesce(both, "_left", "_above", F.lit(0)), F.lit(256))).drop("_above", "_left", "_corner")
+
+
 def rgb_to_yuv(px: DataFrame) -> DataFrame:
     """image_id, x, y, luma, u, v: u and v only where both x and y are even, from that pixel."""
     r, g, b = (F.col(c) for c in "rgb")

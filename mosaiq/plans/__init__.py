@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from mosaiq import functions as fn
 from mosaiq import operators as op
 from mosaiq.codec.lossless import Options
-from mosaiq.sources import document_images, embedding_pixels, spread
+from mosaiq.plans import lossy
+from mosaiq.plans.grey import GREY as _GREY
+from mosaiq.plans.grey import grey as _grey
+from mosaiq.sources import document_images, spread
 
 
 def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,10 +26,6 @@ def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.pixels(_images(spark, sf_dir))
 
 
-def _grey(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embedding_pixels(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
-
-
 def _weighted(px: DataFrame, *channels: str) -> DataFrame:
     return px.groupBy("image_id").agg(*(F.sum(F.col(c) * (F.col("pos") + 1)).cast("long").alias(f"sum_{c}") for c in channels))
 
@@ -59,8 +58,7 @@ def riff_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunk = lambda name, data: F.struct(F.lit(name).alias("four_cc"), data.alias("data"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.length("text") > 0)
     files = docs.select("doc_id", fn.riff_build(F.array(chunk("TEXT", text), chunk("LANG", F.encode(F.coalesce("lang", F.lit("")), "utf-8")))).alias("content"))
-    files.createOrReplaceTempView("mosaiq_riff_files")
-    return spark.sql("SELECT doc_id, c.chunk_idx, c.four_cc, c.size, c.offset, md5(c.data) AS md5 FROM mosaiq_riff_files, LATERAL riff_chunks(content) c")
+    return spark.sql("SELECT doc_id, c.chunk_idx, c.four_cc, c.size, c.offset, md5(c.data) AS md5 FROM {files}, LATERAL riff_chunks(content) c", files=files)
 
 
 def riff_build(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,8 +90,7 @@ def animation_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pd.Series([one(*x) for x in zip(ids, data, height, strict=True)], dtype=object)
 
     files = _images(spark, sf_dir).select("image_id", animated("image_id", "data", "height").alias("content"))
-    files.createOrReplaceTempView("mosaiq_animations")
-    return spark.sql("SELECT image_id, f.frame_idx, f.x, f.y, f.width, f.height, f.duration_ms, f.blend, f.dispose, f.loop_count, f.background_color, md5(f.data) AS md5 FROM mosaiq_animations, LATERAL animation_frames(content, true) f")
+    return spark.sql("SELECT image_id, f.frame_idx, f.x, f.y, f.width, f.height, f.duration_ms, f.blend, f.dispose, f.loop_count, f.background_color, md5(f.data) AS md5 FROM {files}, LATERAL animation_frames(content, true) f", files=files)
 
 
 def alpha_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +222,6 @@ _PX = (
     + ", ".join(f"CAST({_BYTE.format(f'pos * 8 + {2 * i + 1}')} AS INT) AS {c}" for i, c in enumerate("rgba"))
     + " FROM spots)"
 )
-_GREY = "grey AS (SELECT image_id, pos, pos % 8 AS x, pos // 8 AS y, CAST(floor((CAST(embedding[pos + 1] AS DOUBLE) + 1) * 127.5) AS INT) AS v FROM (SELECT vec_id AS image_id, embedding, unnest(range(0, 64)) AS pos FROM embeddings))"
 _MD5 = f"WITH {_IMG} SELECT image_id, md5(unhex(h)) AS md5 FROM img"
 _PAL = "pal AS (SELECT image_id, v, row_number() OVER (PARTITION BY image_id ORDER BY min(pos)) - 1 AS idx FROM grey GROUP BY image_id, v)"
 
@@ -343,4 +339,5 @@ ORACLES = {
     "quality_indices": "SELECT doc_id, CAST(floor(127 - least(greatest(CAST(doc_id % 120 - 10 AS DOUBLE), 0), 100) / 100 * 127 + 0.5) AS INT) AS q_index FROM documents",
 }
 
-QUERIES = {name: globals()[name] for name in ORACLES}
+QUERIES = {name: globals()[name] for name in ORACLES} | lossy.QUERIES
+ORACLES |= lossy.ORACLES
