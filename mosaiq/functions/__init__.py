@@ -120,18 +120,19 @@ class RiffChunks:
 
 @F.udtf(returnType="frame_idx int, x int, y int, width int, height int, duration_ms int, blend string, dispose string, loop_count int, background_color bigint, data binary")
 class AnimationFrames:
-    """LATERAL animation_frames(content, with_pixels): a row for each frame, pixels only if asked for.
+    """LATERAL animation_frames(content, with_pixels[, tables]): a row for each frame, pixels only if asked for;
+    those of lossy frames need the path of the format's tables (``codec.lossy_stream.Tables``).
 
     No row for null or another kind of file; null pixels for a frame that is damaged or cannot be read here."""
 
-    def eval(self, content: bytes, with_pixels: bool) -> Iterator[tuple]:
+    def eval(self, content: bytes, with_pixels: bool, tables: str | None = None) -> Iterator[tuple]:
         try:
             found = riff.parse_animation(content) if content is not None else None
         except WebpError:
             found = None
         for i, f in enumerate(found.frames if found else ()):
             try:
-                data = container.decode_frame(f).data if with_pixels else None
+                data = container.decode_frame(f, tables=tables).data if with_pixels else None
             except (WebpError, IndexError):
                 data = None
             yield i, f.x, f.y, f.width, f.height, f.duration_ms, f.blend, f.dispose, found.loop_count, found.background_argb, data

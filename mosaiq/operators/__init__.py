@@ -71,6 +71,30 @@ def green_to_red(px: DataFrame, bits: int = 4) -> DataFrame:
     return sums.select("image_id", "block_x", "block_y", least["k"].alias("green_to_red"), least["cost"].alias("cost"))
 
 
+def color_elements(px: DataFrame, bits: int = 4) -> DataFrame:
+    """Per block green_to_red as green_to_red() finds it, and the pair (green_to_blue, red_to_blue) of the same grid
+    that leaves blue with the least sum of magnitudes; of equals the first, green_to_blue slowest. One aggregate."""
+    grid = (-16, -8, 0, 8, 16)
+    part = lambda c, k: F.shiftright(signed(F.col(c)) * k, 5)
+    cost = lambda left: F.sum(F.abs(signed(left))).cast("long")
+    red = {k: cost(F.col("r") - part("g", k)) for k in grid}
+    blue = {(k, m): cost(F.col("b") - part("g", k) - part("r", m)) for k in grid for m in grid}
+    named = [c.alias(f"r{i}") for i, c in enumerate(red.values())] + [c.alias(f"b{i}") for i, c in enumerate(blue.values())]
+    sums = px.groupBy("image_id", F.shiftright("x", bits).alias("block_x"), F.shiftright("y", bits).alias("block_y")).agg(*named)
+    r = F.array_min(F.array(*(F.struct(F.col(f"r{i}").alias("cost"), F.lit(i), F.lit(k).alias("k")) for i, k in enumerate(red))))
+    b = F.array_min(F.array(*(F.struct(F.col(f"b{i}").alias("cost"), F.lit(i), F.lit(k).alias("k"), F.lit(m).alias("m")) for i, (k, m) in enumerate(blue))))
+    return sums.select("image_id", "block_x", "block_y", r["k"].alias("green_to_red"), b["k"].alias("green_to_blue"), b["m"].alias("red_to_blue"))
+
+
+def pack_indices(indices: DataFrame) -> DataFrame:
+    """image_id, x, y, g of (image_id, x, y, idx, colors): as many indices in a row's green byte as ``packing``
+    has of the image's colours, the first lowest; a row's last byte may hold fewer."""
+    each = indices.withColumn("_n", packing(F.col("colors")))
+    place = (F.col("x") % F.col("_n")) * (8 / F.col("_n")).cast("int")
+    byte = F.call_function("shiftleft", F.col("idx"), place.cast("int"))
+    return each.groupBy("image_id", F.floor(F.col("x") / F.col("_n")).cast("int").alias("x"), "y").agg(F.sum(byte).cast("int").alias("g"))
+
+
 def palette(px: DataFrame) -> DataFrame:
     """image_id, r, g, b, a, idx: distinct colours numbered by first appearance."""
     first = px.groupBy("image_id", "r", "g", "b", "a").agg(F.min("pos").alias("first"))

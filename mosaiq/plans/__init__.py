@@ -123,6 +123,21 @@ def color_transform_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.green_to_red(_pixels(spark, sf_dir))
 
 
+def color_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op.color_elements(_pixels(spark, sf_dir))
+
+
+def palette_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grey images cut to 1 to 16 levels, by image, so that every packing occurs."""
+    levels = F.expr("array(2, 4, 16, 64)")[(F.col("image_id") % 4).cast("int")]
+    px = _grey(spark, sf_dir).withColumn("v", F.floor(F.col("v") * levels / 256).cast("int"))
+    px = px.select("image_id", "pos", "x", "y", *(F.col("v").alias(c) for c in "rgb"), F.lit(255).alias("a"))
+    colors = op.palette(px)
+    sizes = colors.groupBy("image_id").agg(F.count("*").alias("colors"))
+    packed = op.pack_indices(px.join(colors, ["image_id", *"rgba"]).join(sizes, "image_id"))
+    return packed.groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.col("g") * (F.col("y") * 8 + F.col("x") + 1)).cast("long").alias("sum_g"))
+
+
 def palette_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     grey = _grey(spark, sf_dir).select("image_id", "pos", *(F.col("v").alias(c) for c in "rgb"), F.lit(255).alias("a"))
     return op.palette(grey).groupBy("image_id").agg(F.count("*").alias("colors"), F.sum(F.col("r") * (F.col("idx") + 1)).cast("long").alias("sum_r"), op.packing(F.count("*")).alias("per_byte"))
@@ -292,6 +307,20 @@ ORACLES = {
         WITH {_PX}, c AS (SELECT image_id, CAST(x // 16 AS INT) AS block_x, CAST(y // 16 AS INT) AS block_y, i, k, sum(abs({_signed(f"r - ({_signed('g')} * k >> 5)")})) AS cost
           FROM px, (VALUES {", ".join(f"({i}, {k})" for i, k in enumerate(_GRID))}) g(i, k) GROUP BY ALL)
         SELECT image_id, block_x, block_y, CAST(arg_min(k, cost * 10 + i) AS INT) AS green_to_red, CAST(min(cost) AS BIGINT) AS cost FROM c GROUP BY image_id, block_x, block_y""",
+    "color_elements": f"""
+        WITH {_PX}, s AS (SELECT *, {_signed('r')} AS sr, {_signed('g')} AS sg, CAST(x // 16 AS INT) AS block_x, CAST(y // 16 AS INT) AS block_y FROM px),
+        k AS (SELECT i, k FROM (VALUES {", ".join(f"({i}, {k})" for i, k in enumerate(_GRID))}) g(i, k)),
+        r AS (SELECT image_id, block_x, block_y, k, sum(abs({_signed("r - (sg * k >> 5)")})) * 10 + i AS cost FROM s, k GROUP BY image_id, block_x, block_y, k, i),
+        b AS (SELECT image_id, block_x, block_y, k.k AS k, m.k AS m, sum(abs({_signed("b - (sg * k.k >> 5) - (sr * m.k >> 5)")})) * 100 + k.i * 5 + m.i AS cost FROM s, k, k m GROUP BY image_id, block_x, block_y, k.k, m.k, k.i, m.i)
+        SELECT image_id, block_x, block_y, CAST(r.k AS INT) AS green_to_red, CAST(b.k AS INT) AS green_to_blue, CAST(b.m AS INT) AS red_to_blue FROM
+          (SELECT image_id, block_x, block_y, arg_min(k, cost) AS k FROM r GROUP BY image_id, block_x, block_y) r JOIN
+          (SELECT image_id, block_x, block_y, arg_min(k, cost) AS k, arg_min(m, cost) AS m FROM b GROUP BY image_id, block_x, block_y) b USING (image_id, block_x, block_y)""",
+    "palette_pack": f"""
+        WITH {_GREY}, q AS (SELECT image_id, pos, x, y, v * [2, 4, 16, 64][image_id % 4 + 1] // 256 AS v FROM grey),
+        p AS (SELECT image_id, v, row_number() OVER (PARTITION BY image_id ORDER BY min(pos)) - 1 AS idx, count(*) OVER (PARTITION BY image_id) AS colors FROM q GROUP BY image_id, v),
+        n AS (SELECT image_id, x, y, idx, CASE WHEN colors <= 2 THEN 8 WHEN colors <= 4 THEN 4 WHEN colors <= 16 THEN 2 ELSE 1 END AS n FROM q JOIN p USING (image_id, v)),
+        g AS (SELECT image_id, x // n AS x, y, CAST(sum(idx << CAST(x % n * (8 // n) AS INT)) AS BIGINT) AS g FROM n GROUP BY image_id, x // n, y)
+        SELECT image_id, count(*) AS n, CAST(sum(g * (y * 8 + x + 1)) AS BIGINT) AS sum_g FROM g GROUP BY image_id""",
     "palette_index": f"WITH {_GREY}, {_PAL} SELECT image_id, count(*) AS colors, CAST(sum(v * (idx + 1)) AS BIGINT) AS sum_r, CAST(CASE WHEN count(*) <= 2 THEN 8 WHEN count(*) <= 4 THEN 4 WHEN count(*) <= 16 THEN 2 ELSE 1 END AS INT) AS per_byte FROM pal GROUP BY image_id",
     "palette_delta": f"WITH {_GREY}, {_PAL}, e AS (SELECT image_id, idx, v, {_mod('v - coalesce(lag(v) OVER (PARTITION BY image_id ORDER BY idx), 0)')} AS d FROM pal) SELECT image_id, CAST(sum(d * (idx + 1)) AS BIGINT) AS sum_delta, CAST(sum(v * (idx + 1)) AS BIGINT) AS sum_back FROM e GROUP BY image_id",
     "symbol_histogram": f"WITH {_PX} SELECT tree, CAST(symbol AS INT) AS symbol, count(*) AS n FROM ({' UNION ALL '.join(f'''SELECT '{c}' AS tree, {c} AS symbol FROM px''' for c in 'rgba')}) GROUP BY tree, symbol",
