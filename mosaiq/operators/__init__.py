@@ -42,10 +42,9 @@ def predictor_residuals(px: DataFrame) -> DataFrame:
     """Residuals of the select predictor: the neighbour nearer to left + top - corner, channel-wise modulo 256."""
     w = W.partitionBy("image_id").orderBy("pos")
     row = W.partitionBy("image_id", "x").orderBy("y")
-    at = px.withColumns({f"left_{c}": F.lag(c).over(w) for c in CHANNELS})
-    at = at.withColumns({f"top_{c}": F.lag(c).over(row) for c in CHANNELS})
+    at = px.withColumns({f"top_{c}": F.lag(c).over(row) for c in CHANNELS})
     # the corner is the top of the pixel to the left
-    at = at.withColumns({f"corner_{c}": F.lag(f"top_{c}").over(w) for c in CHANNELS})
+    at = at.withColumns({f"{to}_{c}": F.lag(f"{of}{c}").over(w) for c in CHANNELS for to, of in (("left", ""), ("corner", "top_"))})
     apart = lambda side: sum((F.abs(F.col(f"{side}_{c}") - F.col(f"corner_{c}")) for c in CHANNELS[1:]), F.abs(F.col(f"{side}_a") - F.col("corner_a")))
     nearer_left = apart("top") < apart("left")
     out = {}
