@@ -215,6 +215,13 @@ def shingle_set(text: str | None) -> np.ndarray:
     return np.unique(np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), np.int64))
 
 
+def sorted_has(values: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Which of ``s`` are among the sorted values; the values are searched, never sorted again for a text."""
+    if not len(values):
+        return np.zeros(len(s), bool)
+    return values[np.minimum(np.searchsorted(values, s), len(values) - 1)] == s
+
+
 def prefix_length(n: int) -> int:
     """Two sets that are near share one of so many first members under any order common to all sets."""
     return n - -(-NEAR_PERCENT * n // 100) + 1 if n else 0
@@ -244,7 +251,7 @@ def shingled(docs: DataFrame) -> DataFrame:
             out: list[list] = [[], [], [], []]
             for t in b.column("text"):
                 s = shingle_set(t.as_py())
-                late = np.isin(s, sent.value)
+                late = sorted_has(sent.value, s)
                 first = np.concatenate([s[~late], s[late]])[: prefix_length(len(s))]
                 sketch = np.packbits(np.bincount(s & (SKETCH - 1), minlength=SKETCH) & 1).tobytes()
                 fp = xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0
