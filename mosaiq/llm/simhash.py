@@ -35,6 +35,7 @@ SAMPLE, COMMON, COMMON_SHINGLES = 16, 4, 1 << 18
 HUBS, HUBS_GROW = 1, 4
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _BITS = np.concatenate([np.zeros(1, np.uint64), np.uint64(1) << np.arange(64, dtype=np.uint64)])
 
 
@@ -210,9 +211,13 @@ def shingle_set(text: str | None) -> np.ndarray:
     words = (text or "").encode().translate(_LOWER).split()
     if not words:
         return np.zeros(0, np.int64)
-    shingles = [b" ".join(words)] if len(words) < NEAR_SHINGLE else map(b" ".join, zip(*(words[i:] for i in range(NEAR_SHINGLE)), strict=False))
-    digest = xxhash.xxh64_digest
-    return np.unique(np.frombuffer(b"".join([digest(s, SEED) for s in shingles]), np.int64))
+    each = np.frombuffer(b"".join(map(xxhash.xxh64_digest, words)), np.uint64)
+    k = min(NEAR_SHINGLE, len(each))
+    h = np.full(len(each) - k + 1, k, np.uint64)
+    for i in range(k):  # the order of the words counts: each step mixes what came before
+        h = (h ^ each[i : len(each) - k + 1 + i]) * _MIX
+        h ^= h >> np.uint64(29)
+    return np.unique(h.view(np.int64))
 
 
 def sorted_has(values: np.ndarray, s: np.ndarray) -> np.ndarray:
