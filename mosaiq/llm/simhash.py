@@ -27,12 +27,13 @@ VARIANTS_AT_ONCE = 1 << 22
 #: Near copies share so many in a hundred of their shingles of so many words.
 NEAR_SHINGLE = 5
 NEAR_PERCENT = 80
-#: Bits of a shingle set's parity sketch.
-SKETCH = 512
+#: Bits of a shingle set's parity sketch: of the one that goes with a set's buckets, and at most of the one that
+#: grows with the set and is held against another's before the sets are made.
+SKETCH, WIDE_SKETCH = 512, 1 << 15
 #: Shingles that occur so often in one text of SAMPLE come last in the join's order; order changes costs, not links.
 SAMPLE, COMMON, COMMON_SHINGLES = 16, 4, 1 << 18
-#: Members of a bucket that meet all others of it in the first round, and their growth by round.
-HUBS, HUBS_GROW = 1, 4
+#: Members of a bucket that meet all others of it in one round, at most, grow by so much a round, from one.
+HUBS_GROW = 16
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -237,8 +238,25 @@ def most_apart(n: np.ndarray, m: np.ndarray) -> np.ndarray:
     return n + m + 2 * (-NEAR_PERCENT * (n + m) // (100 + NEAR_PERCENT))
 
 
+def parity(s: np.ndarray, bits: int) -> bytes:
+    """For each class of members by their last bits, whether the set has an odd number of them.
+
+    Two sets differ in at least as many members as their sketches differ in bits; half of a sketch XORed
+    onto the other half is the sketch of half its bits."""
+    return np.packbits(np.bincount(s & (bits - 1), minlength=bits) & 1).tobytes()
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """Bits in which two sketches differ, the longer folded to the shorter's length."""
+    x, y = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
+
+
 def shingled(docs: DataFrame) -> DataFrame:
-    """doc_id, h, fp (hash of the shingle set), n (its size), sketch, first (its prefix, common shingles last)."""
+    """doc_id, h, fp (hash of the shingle set), n (its size), sketch, wide (a longer sketch), first (its prefix,
+    common shingles last)."""
     spark = docs.sparkSession
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,78 +271,59 @@ def shingled(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[], [], [], [], []]
             for t in b.column("text"):
                 s = shingle_set(t.as_py())
                 late = sorted_has(sent.value, s)
                 first = np.concatenate([s[~late], s[late]])[: prefix_length(len(s))]
-                sketch = np.packbits(np.bincount(s & (SKETCH - 1), minlength=SKETCH) & 1).tobytes()
+                sketch = np.frombuffer(parity(s, SKETCH), np.int64)
+                wide = parity(s, min(WIDE_SKETCH, max(SKETCH, 1 << len(s).bit_length())))
                 fp = xxhash.xxh64_intdigest(s.tobytes(), SEED) if len(s) else 0
-                for x, y in zip(out, (fp - (fp >> 63 << 64), len(s), sketch, first), strict=True):
+                for x, y in zip(out, (fp - (fp >> 63 << 64), len(s), sketch, wide, first), strict=True):
                     x.append(y)
-            made = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())), strict=True)]
-            yield pa.record_batch([b.column("doc_id"), b.column("h"), *made], ["doc_id", "h", "fp", "n", "sketch", "first"])
+            made = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())), strict=True)]
+            yield pa.record_batch([b.column("doc_id"), b.column("h"), *made], ["doc_id", "h", "fp", "n", "sketch", "wide", "first"])
 
     kind = dict(read.dtypes)["doc_id"]
-    return read.mapInArrow(run, f"doc_id {kind}, h long, fp long, n long, sketch binary, first array<long>")
-
+    return read.mapInArrow(run, f"doc_id {kind}, h long, fp long, n long, sketch array<long>, wide binary, first array<long>")
 
-def bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
-    """Rows sorted by ``s``, anew in tables that end with a bucket."""
-    held: pa.Table | None = None
-    for b in batches:
-        t = pa.Table.from_batches([b])
-        held = t if held is None else pa.concat_tables([held, t])
-        s = held.column("s").to_numpy()
-        whole = int(np.searchsorted(s, s[-1])) if len(s) else 0  # the last bucket may go on
-        if whole >= 1 << 16:
-            yield held.slice(0, whole)
-            held = held.slice(whole)
-    if held is not None and held.num_rows:
-        yield held
 
-
-def bucket_starts(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of each row of sorted buckets: where its bucket starts and how many rows it has."""
-    starts = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-    sizes = np.diff(np.r_[starts, len(s)])
-    return np.repeat(starts, sizes), np.repeat(sizes, sizes)
+def shared(prefixes: DataFrame) -> DataFrame:
+    """The rows (s, fp) of the buckets (s) that more than one fp lies in; buckets are counted before they are sent."""
+    return prefixes.join(prefixes.groupBy("s").count().where("count > 1").select("s"), "s", "left_semi")
 
 
-def shared(prefixes: DataFrame) -> DataFrame:
-    """s, fp, size of the buckets (s) that more than one fp lies in."""
+def hubs(live: DataFrame, most: int) -> DataFrame:
+    """s, hub: of each bucket, the least members of as many classes of its members; combined before they are sent."""
+    kind = F.pmod(F.xxhash64("fp", "s"), F.lit(most)).alias("kind")
+    return live.groupBy("s", kind).agg(F.min(F.struct("fp", "root", "n", "sketch")).alias("hub")).drop("kind")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in bucketed(batches):
-            _, size = bucket_starts(t.column("s").to_numpy())
-            t = t.append_column("size", pa.array(size)).filter(pa.array(size > 1))
-            yield from t.to_batches()
 
-    at = prefixes.repartition(partitions(prefixes.sparkSession), "s").sortWithinPartitions("s")
-    return at.mapInArrow(run, "s long, fp long, size long")
+def hub_pairs(live: DataFrame, met: DataFrame) -> DataFrame:
+    """Pairs (u, v) of a hub and another member of its bucket, without those that already have a root in common or
+    that sizes or sketches prove not near. An equi-join: no bucket has to lie in one task."""
+    n, m = F.col("hub.n"), F.col("n")
+    words = range(SKETCH // 64)
+    apart = sum((F.bit_count(F.col("hub.sketch")[i].bitwiseXOR(F.col("sketch")[i])) for i in words), F.lit(0))
+    most = n + m - 2 * F.expr(f"({NEAR_PERCENT} * (hub.n + n) + {99 + NEAR_PERCENT}) div {100 + NEAR_PERCENT}")
+    near = (F.col("hub.root") != F.col("root")) & (100 * F.least(n, m) >= NEAR_PERCENT * F.greatest(n, m)) & (apart <= most)
+    pairs = live.join(met, "s").where(near)
+    return pairs.select(F.least("hub.fp", "fp").alias("u"), F.greatest("hub.fp", "fp").alias("v")).distinct()
 
 
-def hub_pairs(live: DataFrame, low: int, high: int) -> DataFrame:
-    """Pairs (u, v) in which u is among the members low to high of a bucket, by fp, and v comes after it; without
-    those that already have a root in common or that sizes or sketches prove not near."""
+def likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that their wide sketches don't prove not near."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in bucketed(batches):
-            fp, root, n = (t.column(c).to_numpy() for c in ("fp", "root", "n"))
-            sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint64).reshape(len(fp), -1)
-            start, size = bucket_starts(t.column("s").to_numpy())
-            rank = np.arange(len(fp)) - start
-            for i in range(low, min(high, int(size.max()))):
-                v = np.flatnonzero(rank > i)
-                u = start[v] + i
-                near = (root[u] != root[v]) & (100 * np.minimum(n[u], n[v]) >= NEAR_PERCENT * np.maximum(n[u], n[v]))
-                u, v = u[near], v[near]
-                apart = np.bitwise_count(sketch[u] ^ sketch[v]).sum(axis=1, dtype=np.int64)
-                near = apart <= most_apart(n[u], n[v])
-                yield pa.record_batch([pa.array(fp[u[near]]), pa.array(fp[v[near]])], ["u", "v"])
-
-    at = live.repartition(partitions(live.sparkSession), "s").sortWithinPartitions("s", "fp")
-    return at.mapInArrow(run, "u long, v long").distinct()
+        for b in batches:
+            most = most_apart(b.column("n").to_numpy(), b.column("m").to_numpy())
+            ends = zip(b.column("a"), b.column("b"), most.tolist(), strict=True)
+            near = pa.array([bits_apart(x.as_py(), y.as_py()) <= at for x, y, at in ends], pa.bool_())
+            yield b.select(["u", "v"]).filter(near)
+
+    a = sets.select(F.col("fp").alias("u"), "n", F.col("wide").alias("a"))
+    b = sets.select(F.col("fp").alias("v"), F.col("n").alias("m"), F.col("wide").alias("b"))
+    return pairs.join(a, "u").join(b, "v").select("u", "v", "n", "m", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
@@ -353,20 +352,23 @@ def near_roots(sets: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, root) of the shingle sets that links at NEAR_PERCENT or more connect: all such links count.
 
     Near sets share a shingle of their prefixes, so they meet in a bucket. In each round some members of
-    a bucket are held against all others of it that no links connect to them yet; the rounds end when every
-    member had its turn or the bucket is connected. A group of near copies so costs few rows a member."""
+    a bucket, its hubs, are held against all others that no links connect to them yet, and then leave it; the rounds
+    end when the bucket is empty or connected. A group of near copies so costs few rows a member."""
     own = sets.select("fp", "n", "sketch")
     live = written(shared(sets.select(F.explode("first").alias("s"), "fp")).join(own, "fp").withColumn("root", F.col("fp")), "near-buckets")
-    found, low, high = None, 0, HUBS
+    found, most = None, 1
     while not live.isEmpty():
-        pairs = written(hub_pairs(live, low, high), "near-pairs")
+        met = written(hubs(live, most), "near-hubs")
+        pairs = written(hub_pairs(live, met), "near-pairs")
+        pairs = written(likely(pairs, sets), "near-likely")
         near = verified(pairs, sets, docs)
         found = near if found is None else found.unionByName(near)
         roots = components(found)
-        live = live.where(F.col("size") > high).drop("root").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+        live = live.join(met.select("s", F.col("hub.fp").alias("fp")), ["s", "fp"], "left_anti").drop("root")
+        live = live.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         mixed = live.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("s")
         live = written(live.join(mixed, "s", "left_semi"), "near-buckets")
-        low, high = high, high * HUBS_GROW
+        most *= HUBS_GROW
     return components(own.selectExpr("fp as u", "fp as v").limit(0)) if found is None else roots
 
 
@@ -378,7 +380,7 @@ def near_label(docs: DataFrame) -> DataFrame:
     before = len(made())
     fps = written(shingled(docs.select("doc_id", "text")), "shingled")
     by = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
-    sets = fps.where("n > 0").groupBy("fp").agg(F.min_by(F.struct("doc_id", "h", "n", "sketch", "first"), by).alias("r")).select("fp", "r.*")
+    sets = fps.where("n > 0").groupBy("fp").agg(F.min_by(F.struct("doc_id", "h", "n", "sketch", "wide", "first"), by).alias("r")).select("fp", "r.*")
     sets, rows = written(sets, "near-distinct"), written(fps.select("doc_id", "h", "fp"), "near-rows")
     clean(docs.sparkSession, made()[before : before + 1])  # the prefixes of all rows
     return grouped(rows, lambda _: near_roots(sets, docs))
