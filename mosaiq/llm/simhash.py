@@ -356,11 +356,13 @@ def near_roots(sets: DataFrame, docs: DataFrame) -> DataFrame:
     end when the bucket is empty or connected. A group of near copies so costs few rows a member."""
     own = sets.select("fp", "n", "sketch")
     live = written(shared(sets.select(F.explode("first").alias("s"), "fp")).join(own, "fp").withColumn("root", F.col("fp")), "near-buckets")
-    found, most = None, 1
+    found, most, live_at = None, 1, made()[-1]
     while not live.isEmpty():
+        before = len(made())
         met = written(hubs(live, most), "near-hubs")
         pairs = written(hub_pairs(live, met), "near-pairs")
         pairs = written(likely(pairs, sets), "near-likely")
+        spent = [live_at, *made()[before:]]
         near = verified(pairs, sets, docs)
         found = near if found is None else found.unionByName(near)
         roots = components(found)
@@ -368,6 +370,8 @@ def near_roots(sets: DataFrame, docs: DataFrame) -> DataFrame:
         live = live.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         mixed = live.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("s")
         live = written(live.join(mixed, "s", "left_semi"), "near-buckets")
+        live_at = made()[-1]
+        clean(docs.sparkSession, spent)  # what this round has read
         most *= HUBS_GROW
     return components(own.selectExpr("fp as u", "fp as v").limit(0)) if found is None else roots
 
