@@ -209,3 +209,22 @@ def test_shards_hold_every_text(spark, tmp_path):
     assert sorted(str((r["doc_id"], r["text"])) for r in got) == sorted(map(str, rows))
     by = [sorted(r["slot"] for r in got if r["shard"] == i) for i in range(4)]
     assert all(x == list(range(len(x))) for x in by)
+
+
+def test_wide_sketches_bound_sets_apart_and_fold():
+    rng = np.random.default_rng(3)
+    for n, m, bits, other in ((0, 7, 512, 512), (300, 340, 512, 1024), (900, 1100, 1024, 2048), (5000, 5000, 4096, 512)):
+        pool = rng.integers(-(2**63), 2**63 - 1, n + m)
+        a, b = np.unique(pool[:n]), np.unique(pool[n // 3 : n // 3 + m])
+        apart = simhash.bits_apart(simhash.parity(a, bits), simhash.parity(b, other))
+        small = min(bits, other)
+        assert apart == simhash.bits_apart(simhash.parity(a, small), simhash.parity(b, small)) <= len(np.setxor1d(a, b))
+
+
+def test_common_shingles_are_found_by_search():
+    values = np.array([-5, 0, 3, 9], np.int64)
+    s = np.array([-9, -5, 1, 3, 9, 12], np.int64)
+    assert simhash.sorted_has(values, s).tolist() == np.isin(s, values).tolist()
+    assert not simhash.sorted_has(values[:0], s).any()
+    assert len(simhash.shingle_set("a b c d e f a b c d e f")) == 6 and len(simhash.shingle_set("a b")) == 1
+    assert simhash.shingle_set("a b")[0] != simhash.shingle_set("b a")[0] and not len(simhash.shingle_set(None))
