@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import bpe, decontaminate, exact_dedup, html_text, language, sharding, simhash, source_audit, token_file, toxicity, warc
+from mosaiq.llm import bpe, decontaminate, exact_dedup, html_text, language, sharding, simhash, source_audit, token_file, toxicity, vector_codes, warc
 
 
 def queries() -> dict:
@@ -18,8 +18,9 @@ def queries() -> dict:
         "op9_html_density": html_text.op9_html_density,
         "op10_language_filters": language.op10_language_filters,
         "op12_source_divergence": source_audit.op12_source_divergence,
+        "op13_vector_codes": vector_codes.op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_fm_decontamination": decontaminate.OP1_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL, "op12_source_divergence": source_audit.OP12_SQL}
+    return {"op1_fm_decontamination": decontaminate.OP1_SQL, "op4_exact_dedup": exact_dedup.OP4_SQL, "op12_source_divergence": source_audit.OP12_SQL, "op13_vector_codes": vector_codes.OP13_SQL}
