@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mosaiq.llm import bpe, decontaminate, exact_dedup, html_text, language, sharding, simhash, source_audit, token_file, toxicity, vector_codes, warc
+from mosaiq.llm import bpe, decontaminate, exact_dedup, html_text, language, sharding, simhash, source_audit, token_file, toxicity, vector_codes, vector_dedup, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_byte_bpe": bpe.op8_byte_bpe,
         "op9_html_density": html_text.op9_html_density,
         "op10_language_filters": language.op10_language_filters,
+        "op11_vector_dedup": vector_dedup.op11_vector_dedup,
         "op12_source_divergence": source_audit.op12_source_divergence,
         "op13_vector_codes": vector_codes.op13_vector_codes,
     }
