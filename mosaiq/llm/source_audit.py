@@ -25,16 +25,18 @@ from pyspark.sql import functions as F
 from mosaiq.llm.common import table, written
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+OTHERS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"  # what stands between terms
 SCALE, SMOOTH = 1_000_000_000, 5
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents with it). One pass; sums combine before the shuffle."""
+    """lang, source, term, n (occurrences), docs (documents with it). One pass, in which every term of a text is a row
+    and every distinct one another; counts combine before the shuffle."""
     text = F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase)
-    each = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.regexp_extract_all(text, F.lit(TERM), F.lit(0)).alias("_t"))
-    one = lambda n, d: lambda t: F.struct(t.alias("term"), F.lit(n).cast("long").alias("n"), F.lit(d).cast("long").alias("d"))
-    rows = each.select("lang", "source", F.explode(F.concat(F.transform("_t", one(1, 0)), F.transform(F.array_distinct("_t"), one(0, 1)))).alias("e"))
-    return rows.groupBy("lang", "source", "e.term").agg(F.sum("e.n").alias("n"), F.sum("e.d").alias("docs"))
+    each = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.array_remove(F.split(text, OTHERS), "").alias("_t"))
+    rows = each.select("lang", "source", F.size("_t").alias("_n"), F.posexplode(F.concat("_t", F.array_distinct("_t"))).alias("_i", "term"))
+    again = F.col("_i") >= F.col("_n")
+    return rows.groupBy("lang", "source", "term").agg(F.sum((~again).cast("long")).alias("n"), F.sum(again.cast("long")).alias("docs"))
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:
