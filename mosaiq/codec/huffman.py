@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 
 from mosaiq.codec import WebpError
@@ -16,31 +14,30 @@ REPEATS = {16: (3, 2), 17: (3, 3), 18: (11, 7)}
 
 
 def code_lengths(counts: np.ndarray, limit: int = 15) -> np.ndarray:
-    """Huffman code lengths of at most ``limit`` bits; a lone symbol gets length 1.
+    """The best code's lengths of at most ``limit`` bits, by package-merge; a lone symbol gets length 1.
 
-    Where the plain code is too deep, small counts are raised, doubling each time, until it fits."""
+    Each list has the leaves and the packages of two of the list before, leaves first of equals; from the last
+    list on, the packages among the items that count say how many count in the list before."""
     counts = np.asarray(counts, np.int64)
     used = np.flatnonzero(counts)
     out = np.zeros(len(counts), np.int64)
     if len(used) <= 1:
         out[used] = 1
         return out
-    floor = 1
-    while True:
-        heap = [(max(int(counts[s]), floor), i) for i, s in enumerate(used)]
-        heapq.heapify(heap)
-        parent = [0] * (2 * len(used) - 1)
-        for node in range(len(used), 2 * len(used) - 1):
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            parent[a[1]] = parent[b[1]] = node
-            heapq.heappush(heap, (a[0] + b[0], node))
-        depth = [0] * len(parent)
-        for node in range(len(parent) - 2, -1, -1):
-            depth[node] = depth[parent[node]] + 1
-        if max(depth[: len(used)]) <= limit:
-            out[used] = depth[: len(used)]
-            return out
-        floor *= 2
+    order = used[np.argsort(counts[used], kind="stable")]
+    leaves = items = counts[order]
+    lists = [np.ones(len(leaves), bool)]
+    for _ in range(limit - 1):
+        both = np.concatenate([leaves, items[0 : len(items) // 2 * 2 : 2] + items[1::2]])
+        at = np.argsort(both, kind="stable")
+        items = both[at]
+        lists.append(at < len(leaves))
+    take = 2 * len(leaves) - 2
+    for of_leaves in reversed(lists):
+        n = int(of_leaves[:take].sum())
+        out[order[:n]] += 1
+        take = 2 * (take - n)
+    return out
 
 
 def canonical(lengths: np.ndarray) -> np.ndarray:
