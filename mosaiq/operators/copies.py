@@ -51,7 +51,7 @@ def matched(px: DataFrame) -> DataFrame:
     open_ = ends.where("_open").select("image_id", "pos", "back")
     longer = _followed_on(open_, rows.select("image_id", F.col("pos").alias("at"), "_h"))
     ends = ends.join(longer, ["image_id", "pos"], "left").withColumn("_end", F.when(F.col("_last"), F.col("pos") + 3 + F.coalesce("more", F.lit(0))))
-    end = F.first("_end", ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
+    end = F.last("_end", ignorenulls=True).over(W.partitionBy("image_id").orderBy(F.desc("pos")).rowsBetween(W.unboundedPreceding, 0))
     return ends.select("image_id", "pos", "argb", "back", F.when(F.col("back").isNotNull(), F.least(end - F.col("pos"), F.lit(lz.MAX_LENGTH))).cast("int").alias("length"))
 
 
@@ -104,7 +104,8 @@ def tokens(images: DataFrame, copies: bool = True, cache: bool = True, subtract_
     onward = F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda o: o + F.coalesce(F.when(F.get("_t", o)["kind"] == 2, F.get("_t", o)["a"].cast("int")), F.lit(1)))
     rows = staged(rows, _next=onward)
     if copies:
-        rows = entered(rows, BLOCK, BLOCK, "image_id", "stretch", F.lit(0), F.lit(BLOCK))
+        most = images.agg(F.max(F.col("width").cast("long") * F.col("height")).alias("n")).first()["n"] or 1
+        rows = entered(rows, BLOCK, BLOCK, (most - 1) // BLOCK, F.lit(0), F.lit(BLOCK))
         rows = staged(rows, _seen=walk(F.col("entry"), F.col("_next"), BLOCK, F.lit(BLOCK)))
     else:
         rows = staged(rows, _seen=F.sequence(F.lit(0), F.size("_t") - 1))

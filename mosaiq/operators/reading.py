@@ -124,8 +124,9 @@ def _symbols(tree: str) -> Column:
     return F.transform("_w", lambda w: F.col(tree)["entries"][F.call_function("shiftright", w, 15 - F.col(tree)["bits"])])
 
 
-def entered(rows: DataFrame, size: int, reach: int, by: str, order: str, start: Column, steps: Column) -> DataFrame:
-    """Rows with ``entry``: where, among a row's first ``reach`` places, the walk that ``_next`` describes enters it.
+def entered(rows: DataFrame, size: int, reach: int, last: int, start: Column, steps: Column) -> DataFrame:
+    """Rows (image_id, stretch, ...) with ``entry``: where, among a row's first ``reach`` places, the walk that ``_next`` describes
+    enters it. ``last``: the greatest stretch, or more.
 
     ``_next``: for each of a row's ``size`` places the place after it, counted on beyond the row's end, never by more than
     ``reach``. The walk enters an image's first row at ``start``; ``steps``: no fewer than a walk through one row takes.
@@ -133,10 +134,9 @@ def entered(rows: DataFrame, size: int, reach: int, by: str, order: str, start:
     doublings = F.ceil(F.log2(F.greatest(steps, F.lit(1)).cast("double"))).cast("int")
     out = F.aggregate(F.sequence(F.lit(0), doublings), F.col("_next"), lambda to, _: F.transform(to, lambda e: F.when(e >= size, e).otherwise(to[e])))
     rows = staged(rows, _map=once(out, lambda o: F.transform(F.slice(o, 1, reach), lambda e: e - size)))
-    w = W.partitionBy(by).orderBy(order)
-    most = rows.agg(F.max(order)).first()[0] or 0
+    w = W.partitionBy("image_id").orderBy("stretch")
     far = 1
-    while far <= most:
+    while far <= last:
         rows = rows.withColumn("_before", F.lag("_map", far).over(w))
         both = once(F.struct(F.col("_before").alias("b"), F.col("_map").alias("m")), lambda s: F.when(s["b"].isNull(), s["m"]).otherwise(F.transform(s["b"], lambda e: s["m"][e])))
         rows = staged(rows, _both=both).drop("_before", "_map").withColumnRenamed("_both", "_map")
@@ -180,7 +180,8 @@ def tokens(files: DataFrame) -> DataFrame:
     distance = lambda o: o + bits("far", o) + extra(F.shiftright(F.col("_far")[o], 4))
     copies = F.transform(F.slice("_green", 1, size), lambda e, o: F.when((e >= 16 * 256) & (e < 16 * (256 + lz.LENGTH_CODES)), once(o + e.bitwiseAND(15) + extra(F.shiftright(e, 4) - 256), distance)).when(e >= 16 * 256, o + e.bitwiseAND(15)))
     rows = staged(rows, _next=F.zip_with(literal, copies, lambda a, b: F.coalesce(b, a)))
-    rows = entered(rows, size, LONGEST, "image_id", "stretch", F.col("_start"), F.col("_steps"))
+    longest = files.agg(F.max(F.octet_length("content")).alias("n")).first()["n"] or 0
+    rows = entered(rows, size, LONGEST, longest // STRETCH, F.col("_start"), F.col("_steps"))
     rows = staged(rows, _seen=walk(F.col("entry"), F.col("_next"), size, F.col("_steps")))
     symbol = lambda tree, o: F.shiftright(F.col(f"_{tree}")[o], 4).cast("long")
     value = lambda code, o: once(code.cast("int"), lambda c: F.when(c < 4, c + 1).otherwise(F.call_function("shiftleft", c.bitwiseAND(1) + 2, extra(c)) + _bits_at(o, extra(c)) + 1))
