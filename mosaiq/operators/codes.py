@@ -6,6 +6,8 @@ of 0 and 1 in the order of the stream. Everything stays in the JVM."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,6 +29,11 @@ def times(what: Column, n: Column) -> Column:
     return F.array_repeat(what, F.greatest(F.coalesce(n, F.lit(0)).cast("int"), F.lit(0)))
 
 
+def numbers(values: Iterable[int]) -> Column:
+    """A constant array, made in one piece."""
+    return F.expr(f"array({', '.join(map(str, values))})")
+
+
 def field(value: Column, size: Column | int) -> Column:
     """A number's lowest ``size`` bits as the stream has them, the lowest first."""
     return F.when(F.lit(size) > 0, F.reverse(F.lpad(F.bin(value.cast("long")), F.lit(size), F.lit("0")))).otherwise("")
@@ -133,7 +140,7 @@ def sent_codes(lengths: DataFrame, sizes: DataFrame) -> DataFrame:
     own = F.sort_array(F.zip_with("_tally", merged_lengths(F.col("_tally"), 7), lambda c, n: F.struct(c["symbol"].alias("symbol"), n.alias("len"))))
     rows = rows.withColumn("_own", F.when(F.col("_tokens").isNotNull(), _dense(own, F.lit(19), lambda e: e["len"], F.lit(0))))
     rows = rows.withColumn("_codes", _small_codes(F.col("_own")))
-    order = F.array(*map(F.lit, LENGTH_ORDER))
+    order = numbers(LENGTH_ORDER)
     number = F.greatest(F.lit(4), F.array_max(F.transform(order, lambda s, i: F.when(F.col("_own")[s] > 0, i + 1).otherwise(0))))
     extra = lambda t: field(t["extra"], F.when(t["t"] == 16, 2).when(t["t"] == 17, 3).when(t["t"] == 18, 7).otherwise(0))
     lengths_sent = once(F.col("_own"), lambda own: F.array_join(F.transform(F.slice(order, F.lit(1), number), lambda s: field(own[s], 3)), ""))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from mosaiq.codec import lz
 from mosaiq.operators import prefix_code
-from mosaiq.operators.codes import alphabets, by_tree, channel, code_lengths, field, head, once, packed, sent_codes, strips
+from mosaiq.operators.codes import alphabets, by_tree, channel, code_lengths, field, head, numbers, once, packed, sent_codes, strips
 from mosaiq.operators.reading import entered, staged, walk
 from mosaiq.sources.scratch import checkpointed
 
@@ -101,12 +101,13 @@ def tokens(images: DataFrame, copies: bool = True, cache: bool = True, subtract_
         px = px.withColumns({"back": F.lit(None).cast("long"), "length": F.lit(None).cast("int")})
     token = F.struct("pos", F.when(F.col("back").isNotNull(), 2).when(F.col("hit"), 1).otherwise(0).alias("kind"), F.coalesce(F.col("length").cast("long"), F.when(F.col("hit"), F.col("slot").cast("long")), "argb").alias("a"), F.coalesce(F.col("back").cast("int"), F.lit(0)).alias("b"))
     rows = px.groupBy("image_id", "width", "height", "cache", F.expr(f"cast(pos div {BLOCK} as int)").alias("stretch")).agg(F.sort_array(F.collect_list(token)).alias("_t"))
-    onward = F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda o: o + F.coalesce(F.when(F.get("_t", o)["kind"] == 2, F.get("_t", o)["a"].cast("int")), F.lit(1)))
-    rows = staged(rows, _next=onward)
+    onward = F.transform("_t", lambda t, o: o + F.when(t["kind"] == 2, t["a"].cast("int")).otherwise(1))
+    rows = checkpointed(rows.withColumn("_n", F.size("_t")))
+    rows = staged(rows, _next=F.concat(onward, F.array_repeat(F.lit(BLOCK), F.lit(BLOCK) - F.size("_t"))))
     if copies:
         most = images.agg(F.max(F.col("width").cast("long") * F.col("height")).alias("n")).first()["n"] or 1
-        rows = entered(rows, BLOCK, BLOCK, (most - 1) // BLOCK, F.lit(0), F.lit(BLOCK))
-        rows = staged(rows, _seen=walk(F.col("entry"), F.col("_next"), BLOCK, F.lit(BLOCK)))
+        rows = rows.join(entered(rows, BLOCK, BLOCK, (most - 1) // BLOCK, F.lit(0), F.col("_n")), ["image_id", "stretch"])
+        rows = staged(rows, _seen=walk(F.col("entry"), F.col("_next"), BLOCK, F.col("_n")))
     else:
         rows = staged(rows, _seen=F.sequence(F.lit(0), F.size("_t") - 1))
     chosen = F.transform(F.filter("_seen", lambda o: o < F.size("_t")), lambda o: once(F.col("_t")[o], lambda t: F.struct(t["kind"].alias("kind"), t["a"].alias("a"), t["b"].alias("b"))))
@@ -123,7 +124,8 @@ def cheapest_distance(back: Column, near: Column) -> Column:
 
 
 def near_of(width: Column) -> Column:
-    return F.transform(F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in lz.NEAR)), lambda n: F.greatest(F.lit(1), n["x"] + n["y"] * width))
+    x, y = (numbers(p[i] for p in lz.NEAR) for i in (0, 1))
+    return F.zip_with(x, y, lambda x, y: F.greatest(F.lit(1), x + y * width))
 
 
 def fields(read: DataFrame) -> DataFrame:

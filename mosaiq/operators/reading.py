@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 
 from mosaiq.codec import lz
 from mosaiq.codec.huffman import LENGTH_ORDER
-from mosaiq.operators.codes import TREES, once, times
+from mosaiq.operators.codes import TREES, numbers, once, times
 from mosaiq.sources.scratch import checkpointed
 
-STRETCH = 64  # bytes
+STRETCH = 128  # bytes
+SPAN = 64  # stretches that travel together, with their image's codes
 LONGEST = 64  # more bits than a token has
 HEAD = 16384  # bytes, more than the codes of a stream take
 _REVERSED = [int(f"{i:08b}"[::-1], 2) for i in range(256)]
@@ -50,10 +51,10 @@ def table(lengths: Column) -> Column:
     used = F.sort_array(F.filter(F.transform(lengths, lambda n, s: F.struct(n.alias("n"), s.alias("s"))), lambda e: e["n"] > 0))
 
     def of(u: Column) -> Column:
-        top = u[F.size(u) - 1]["n"]
+        top = F.get(u, F.size(u) - 1)["n"]
         many = F.flatten(F.transform(u, lambda e: times(16 * e["s"] + e["n"], F.call_function("shiftleft", F.lit(1), top - e["n"]))))
         lone = F.size(u) == 1
-        return F.struct(F.when(lone, 0).otherwise(top).alias("bits"), F.when(lone, F.array(16 * u[0]["s"])).when(F.size(u) > 0, many).alias("entries"))
+        return F.struct(F.when(lone, 0).otherwise(top).alias("bits"), F.when(lone, F.array(16 * F.get(u, F.lit(0))["s"])).when(F.size(u) > 0, many).alias("entries"))
 
     return once(once(used, of), lambda t: F.struct(t["bits"].alias("bits"), F.when(F.size(t["entries"]) == F.call_function("shiftleft", F.lit(1), t["bits"]), t["entries"]).alias("entries")))
 
@@ -65,7 +66,7 @@ def read_code(octets: Column, at: Column, alphabet: Column) -> Column:
     two = bit(1) == 1
     first, second = number(octets, at + 3, wide), number(octets, at + 3 + wide, 8)
     simple = F.struct((at + 3 + wide + F.when(two, 8).otherwise(0)).alias("at"), F.transform(F.sequence(F.lit(0), alphabet - 1), lambda s: ((s == first) | (two & (s == second))).cast("int")).alias("lengths"))
-    order = F.array(*map(F.lit, LENGTH_ORDER))
+    order = numbers(LENGTH_ORDER)
 
     def begun(n: Column) -> Column:
         own = F.transform(F.sequence(F.lit(0), F.lit(18)), lambda s: once(F.array_position(order, s).cast("int"), lambda i: F.when(i <= n, bit(5 + 3 * (i - 1), 3)).otherwise(0)))
@@ -76,7 +77,7 @@ def read_code(octets: Column, at: Column, alphabet: Column) -> Column:
         return F.struct(table(own).alias("t"), F.when(limited, after + 4 + size).otherwise(after + 1).alias("at"), budget.cast("int").alias("budget"))
 
     def step(state: Column, _: Column, t: Column) -> Column:
-        window = F.coalesce(F.get(F.array(*(F.lit(_REVERSED[i] >> 1) for i in range(128))), number(octets, state["at"], 7)), F.lit(0))
+        window = F.coalesce(F.get(numbers(i >> 1 for i in _REVERSED[:128]), number(octets, state["at"], 7)), F.lit(0))
         entry = F.get(t["entries"], F.call_function("shiftright", window, 7 - t["bits"]))
 
         def taken(e: Column) -> Column:
@@ -101,7 +102,8 @@ def read_code(octets: Column, at: Column, alphabet: Column) -> Column:
 def headers(files: DataFrame) -> DataFrame:
     """(image_id, width, height, green_added, cache, at, and a decoding table for each code) of (image_id, content), the
     payloads of lossless chunks; no row for what isn't read here."""
-    rows = staged(files.select("image_id", "content"), _h=byte_array(F.col("content"), F.lit(0), F.least(F.lit(HEAD), F.octet_length("content"))))
+    spread = files.select("image_id", "content").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")
+    rows = staged(spread, _h=byte_array(F.col("content"), F.lit(0), F.least(F.lit(HEAD), F.octet_length("content"))))
     bit = lambda at, n: number(F.col("_h"), F.lit(at).cast("int"), n)
     plain = bit(40, 1) == 0
     green = (bit(40, 3) == 5) & (bit(43, 1) == 0)
@@ -121,19 +123,19 @@ def headers(files: DataFrame) -> DataFrame:
 
 def _symbols(tree: str) -> Column:
     """A code's table entry at every bit of a stretch, from the windows ``_w`` of 15 bits, first highest."""
-    return F.transform("_w", lambda w: F.col(tree)["entries"][F.call_function("shiftright", w, 15 - F.col(tree)["bits"])])
+    return F.transform("_w", lambda w: F.get(F.col(tree)["entries"], F.call_function("shiftright", w, 15 - F.col(tree)["bits"])))
 
 
 def entered(rows: DataFrame, size: int, reach: int, last: int, start: Column, steps: Column) -> DataFrame:
-    """Rows (image_id, stretch, ...) with ``entry``: where, among a row's first ``reach`` places, the walk that ``_next`` describes
-    enters it. ``last``: the greatest stretch, or more.
+    """(image_id, stretch, entry): where, among a row's first ``reach`` places, the walk that ``_next`` describes enters it.
+    ``last``: the greatest stretch, or more.
 
     ``_next``: for each of a row's ``size`` places the place after it, counted on beyond the row's end, never by more than
     ``reach``. The walk enters an image's first row at ``start``; ``steps``: no fewer than a walk through one row takes.
-    Doubling: first within a row until all lead out of it, then over the rows of an image."""
+    Doubling: first within a row until all lead out of it, then over the rows of an image, of which only the maps travel."""
     doublings = F.ceil(F.log2(F.greatest(steps, F.lit(1)).cast("double"))).cast("int")
     out = F.aggregate(F.sequence(F.lit(0), doublings), F.col("_next"), lambda to, _: F.transform(to, lambda e: F.when(e >= size, e).otherwise(to[e])))
-    rows = staged(rows, _map=once(out, lambda o: F.transform(F.slice(o, 1, reach), lambda e: e - size)))
+    rows = rows.select("image_id", "stretch", start.alias("_start"), once(out, lambda o: F.transform(F.slice(o, 1, reach), lambda e: e - size)).alias("_map"))
     w = W.partitionBy("image_id").orderBy("stretch")
     far = 1
     while far <= last:
@@ -141,49 +143,70 @@ def entered(rows: DataFrame, size: int, reach: int, last: int, start: Column, st
         both = once(F.struct(F.col("_before").alias("b"), F.col("_map").alias("m")), lambda s: F.when(s["b"].isNull(), s["m"]).otherwise(F.transform(s["b"], lambda e: s["m"][e])))
         rows = staged(rows, _both=both).drop("_before", "_map").withColumnRenamed("_both", "_map")
         far *= 2
-    return rows.withColumn("_before", F.lag("_map", 1).over(w)).withColumn("entry", F.when(F.col("_before").isNull(), start).otherwise(F.col("_before")[start])).drop("_before", "_map")
+    before = F.lag("_map", 1).over(w)
+    return rows.withColumn("_before", before).select("image_id", "stretch", F.when(F.col("_before").isNull(), F.col("_start")).otherwise(F.col("_before")[F.col("_start")]).alias("entry"))
 
 
 def walk(entry: Column, after: Column, size: int, steps: Column) -> Column:
-    """The places of a row that the walk from ``entry`` on touches."""
-    begin = F.struct(entry.alias("at"), F.array().cast("array<int>").alias("seen"))
-    more = lambda s, _: F.when(s["at"] >= size, s).otherwise(F.struct(after[s["at"]].alias("at"), F.concat(s["seen"], F.array(s["at"])).alias("seen")))
-    return F.aggregate(F.sequence(F.lit(1), F.greatest(steps, F.lit(1)).cast("int")), begin, more)["seen"]
+    """The places of a row that the walk from ``entry`` on touches, in order: those of 1, 2, 4, ... steps together."""
 
+    def twice(s: Column, _: Column) -> Column:
+        more = F.filter(F.transform(s["seen"], lambda e: s["to"][e]), lambda e: e < size)
+        return F.struct(F.concat(s["seen"], more).alias("seen"), F.transform(s["to"], lambda e: F.when(e >= size, e).otherwise(s["to"][e])).alias("to"))
 
-def tokens(files: DataFrame) -> DataFrame:
-    """(image_id, width, height, green_added, cache, stretch, tokens array<struct<kind, a, b>>) of (image_id, content): kind 0,
-    a literal colour a; 1, the colour in slot a of the cache; 2, a copy of a pixels from b pixels back.
+    begin = F.struct(F.filter(F.array(entry), lambda e: e < size).alias("seen"), after.alias("to"))
+    doublings = F.ceil(F.log2(F.greatest(steps, F.lit(1)).cast("double"))).cast("int")
+    return F.sort_array(F.array_distinct(F.aggregate(F.sequence(F.lit(0), doublings), begin, twice)["seen"]))
 
-    The last stretch's tokens may go on beyond the image: what follows its last pixel means nothing. An image
-    whose codes take no bits at all has one token; it stands for every pixel."""
-    rows = headers(files)
-    least = lambda tree: F.array_min(F.transform(F.col(tree)["entries"], lambda e: e.bitwiseAND(15)))
-    shortest = F.array_min(F.transform(F.col("green")["entries"], lambda e: e.bitwiseAND(15) + F.when(F.shiftright(e, 4) < 256, F.col("_rest")).otherwise(0)))
-    rows = staged(staged(rows, _rest=least("red") + least("blue") + least("alpha")), _bits=shortest)
-    first = F.shiftright("at", 3)
-    last = F.greatest(F.ceil((F.octet_length("content") - first) / STRETCH).cast("int") - 1, F.lit(0))
-    rows = rows.withColumn("stretch", F.explode(F.sequence(F.lit(0), F.when(F.col("_bits") > 0, last).otherwise(0))))
-    rows = staged(rows, _b=byte_array(F.col("content"), first + F.col("stretch") * STRETCH, F.lit(STRETCH + 16)), _start=F.col("at").bitwiseAND(7), _steps=F.when(F.col("_bits") > 0, F.ceil(8.0 * STRETCH / F.col("_bits"))).otherwise(1).cast("int")).drop("content")
-    turn = F.array(*map(F.lit, _REVERSED))
+
+def _stretches(rows: DataFrame) -> DataFrame:
+    """A row for each stretch of a span of bytes: ``_b``, its bytes; ``_green`` and so on, the symbol and length that each code finds at
+    every bit; ``_next``, where a token that starts at a bit would end; ``_steps``, no fewer than it has tokens."""
+    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.when(F.col("_bits") > 0, F.greatest(F.least(F.ceil(F.octet_length("_cut") / STRETCH).cast("int"), F.lit(SPAN)) - 1, F.lit(0))).otherwise(0))))
+    steps = F.when(F.col("_bits") > 0, F.ceil(8.0 * STRETCH / F.col("_bits"))).otherwise(1).cast("int")
+    rows = staged(rows, _b=byte_array(F.col("_cut"), F.col("_i") * STRETCH, F.lit(STRETCH + 16)), stretch=F.col("_span") * SPAN + F.col("_i"), _steps=steps).drop("_cut")
+    turn = numbers(_REVERSED)
     rows = staged(rows, _r=F.transform("_b", lambda b: turn[b]))
     size = 8 * STRETCH
     window = lambda o: F.call_function("shiftright", 65536 * F.col("_r")[F.shiftright(o, 3)] + 256 * F.col("_r")[F.shiftright(o, 3) + 1] + F.col("_r")[F.shiftright(o, 3) + 2], 9 - o.bitwiseAND(7)).bitwiseAND(0x7FFF)
     rows = staged(rows, _w=F.transform(F.sequence(F.lit(0), F.lit(size + LONGEST - 1)), window)).drop("_r")
     rows = staged(rows, **{f"_{t}": _symbols(t) for t in TREES}).drop("_w")
-    bits = lambda tree, o: F.col(f"_{tree}")[o].bitwiseAND(15)
+    bits = lambda tree, o: F.get(F.col(f"_{tree}"), o).bitwiseAND(15)
     extra = lambda code: F.greatest(F.shiftright(code - 2, 1), F.lit(0))
     past = lambda tree: lambda o: o + bits(tree, o)
     literal = F.transform(F.slice("_green", 1, size), lambda e, o: o + e.bitwiseAND(15))
     for tree in ("red", "blue", "alpha"):
         literal = F.transform(literal, past(tree))
-    distance = lambda o: o + bits("far", o) + extra(F.shiftright(F.col("_far")[o], 4))
+    distance = lambda o: o + bits("far", o) + extra(F.shiftright(F.get(F.col("_far"), o), 4))
     copies = F.transform(F.slice("_green", 1, size), lambda e, o: F.when((e >= 16 * 256) & (e < 16 * (256 + lz.LENGTH_CODES)), once(o + e.bitwiseAND(15) + extra(F.shiftright(e, 4) - 256), distance)).when(e >= 16 * 256, o + e.bitwiseAND(15)))
-    rows = staged(rows, _next=F.zip_with(literal, copies, lambda a, b: F.coalesce(b, a)))
+    return staged(rows, _next=F.zip_with(literal, copies, lambda a, b: F.coalesce(b, a)))
+
+
+def tokens(files: DataFrame) -> DataFrame:
+    """(image_id, width, height, green_added, cache, stretch, tokens array<struct<kind, a, b>>) of (image_id, content): kind 0,
+    a literal colour a; 1, the colour in slot a of the cache; 2, a copy of a pixels from b pixels back.
+
+    The last stretch's tokens may go on beyond the image: what follows its last pixel means nothing. An image
+    whose codes take no bits at all has one token; it stands for every pixel."""
+    rows = checkpointed(headers(files))
+    least = lambda tree: F.array_min(F.transform(F.col(tree)["entries"], lambda e: e.bitwiseAND(15)))
+    shortest = F.array_min(F.transform(F.col("green")["entries"], lambda e: e.bitwiseAND(15) + F.when(F.shiftright(e, 4) < 256, F.col("_rest")).otherwise(0)))
+    rows = staged(staged(rows, _rest=least("red") + least("blue") + least("alpha")), _bits=shortest)
+    first = F.shiftright("at", 3)
+    last = F.greatest(F.ceil((F.octet_length("content") - first) / (STRETCH * SPAN)).cast("int") - 1, F.lit(0))
+    rows = rows.withColumn("_span", F.explode(F.sequence(F.lit(0), F.when(F.col("_bits") > 0, last).otherwise(0)))).withColumn("_from", first + F.col("_span") * STRETCH * SPAN)
+    cut = F.substring("content", F.col("_from") + 1, F.lit(STRETCH * SPAN + 16))
+    rows = rows.withColumn("_cut", cut).drop("content").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id", "_span")
     longest = files.agg(F.max(F.octet_length("content")).alias("n")).first()["n"] or 0
-    rows = entered(rows, size, LONGEST, longest // STRETCH, F.col("_start"), F.col("_steps"))
-    rows = staged(rows, _seen=walk(F.col("entry"), F.col("_next"), size, F.col("_steps")))
-    symbol = lambda tree, o: F.shiftright(F.col(f"_{tree}")[o], 4).cast("long")
+    begun = _stretches(rows)
+    size = 8 * STRETCH
+    entries = entered(begun, size, LONGEST, longest // STRETCH + SPAN, F.col("at").bitwiseAND(7), F.col("_steps"))
+    entries = entries.groupBy("image_id", F.expr(f"cast(stretch div {SPAN} as int)").alias("_span")).agg(F.map_from_entries(F.collect_list(F.struct("stretch", "entry"))).alias("_entries"))
+    rows = _stretches(rows.join(entries, ["image_id", "_span"]))
+    rows = staged(rows, _seen=walk(F.col("_entries")[F.col("stretch")], F.col("_next"), size, F.col("_steps")))
+    bits = lambda tree, o: F.get(F.col(f"_{tree}"), o).bitwiseAND(15)
+    extra = lambda code: F.greatest(F.shiftright(code - 2, 1), F.lit(0))
+    symbol = lambda tree, o: F.shiftright(F.get(F.col(f"_{tree}"), o), 4).cast("long")
     value = lambda code, o: once(code.cast("int"), lambda c: F.when(c < 4, c + 1).otherwise(F.call_function("shiftleft", c.bitwiseAND(1) + 2, extra(c)) + _bits_at(o, extra(c)) + 1))
     token = lambda kind, a, b: F.struct(F.lit(kind).alias("kind"), a.cast("long").alias("a"), b.cast("int").alias("b"))
 
@@ -211,8 +234,8 @@ def _bits_at(o: Column, n: Column) -> Column:
 
 def _distance(code: Column) -> Column:
     """The pixel distance of a coded distance, under the row's ``width``."""
-    near = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in lz.NEAR))
-    return once(code, lambda c: F.when(c > lz.NEAR_CODES, c - lz.NEAR_CODES).otherwise(F.greatest(F.lit(1), near[c - 1]["x"] + near[c - 1]["y"] * F.col("width"))))
+    x, y = (numbers(p[i] for p in lz.NEAR) for i in (0, 1))
+    return once(code, lambda c: F.when(c > lz.NEAR_CODES, c - lz.NEAR_CODES).otherwise(F.greatest(F.lit(1), F.get(x, c - 1) + F.get(y, c - 1) * F.col("width"))))
 
 
 def placed(read: DataFrame) -> DataFrame:

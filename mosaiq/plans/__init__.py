@@ -12,14 +12,11 @@ from pyspark.sql import functions as F
 from mosaiq import functions as fn
 from mosaiq import operators as op
 from mosaiq.codec.lossless import Options
-from mosaiq.plans import lossy
+from mosaiq.plans import lossless, lossy
 from mosaiq.plans.grey import GREY as _GREY
+from mosaiq.plans.grey import IMAGES, PIXELS
 from mosaiq.plans.grey import grey as _grey
-from mosaiq.sources import document_images, spread
-
-
-def _images(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return document_images(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+from mosaiq.plans.grey import images as _images
 
 
 def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,12 +151,6 @@ def symbol_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op.histogram(_pixels(spark, sf_dir)).groupBy("tree", "symbol").agg(F.sum("n").alias("n"))
 
 
-def canonical_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = op.histogram(_pixels(spark, sf_dir)).withColumn("len", F.ceil(F.log2(F.lit(256.0))).cast("int") + F.when(F.col("symbol") % 3 == 0, 1).otherwise(2))
-    codes = op.canonical_codes(counts.select("image_id", "tree", "symbol", "len"))
-    return codes.groupBy("image_id", "tree").agg(F.sum(F.col("code") * (F.col("symbol") + 1)).cast("long").alias("sum_code"))
-
-
 def rgb_to_yuv420(spark: SparkSession, sf_dir: str) -> DataFrame:
     planes = op.rgb_to_yuv(_pixels(spark, sf_dir))
     return planes.groupBy("image_id").agg(*(F.sum(F.col(c) * (F.col("y") * 16 + F.col("x") + 1)).cast("long").alias(f"sum_{c}") for c in ("luma", "u", "v")))
@@ -228,15 +219,7 @@ def chroma_upsample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _weighted(op.chroma_upsample(px, chroma), "v")
 
 
-_HEX = "rpad(hex(encode(text)), CAST(ceil(length(hex(encode(text))) / 128.0) * 128 AS INT), '0')"
-_IMG = f"img AS (SELECT doc_id AS image_id, {_HEX} AS h FROM documents WHERE length(text) > 0)"
-_BYTE = "((instr('0123456789ABCDEF', substr(h, {0}, 1)) - 1) * 16 + instr('0123456789ABCDEF', substr(h, {0} + 1, 1)) - 1)"
-_PX = (
-    _IMG
-    + ", spots AS (SELECT image_id, h, unnest(range(0, length(h) // 8)) AS pos FROM img), px AS (SELECT image_id, pos, pos % 16 AS x, pos // 16 AS y, "
-    + ", ".join(f"CAST({_BYTE.format(f'pos * 8 + {2 * i + 1}')} AS INT) AS {c}" for i, c in enumerate("rgba"))
-    + " FROM spots)"
-)
+_IMG, _PX = IMAGES, PIXELS
 _MD5 = f"WITH {_IMG} SELECT image_id, md5(unhex(h)) AS md5 FROM img"
 _PAL = "pal AS (SELECT image_id, v, row_number() OVER (PARTITION BY image_id ORDER BY min(pos)) - 1 AS idx FROM grey GROUP BY image_id, v)"
 
@@ -324,10 +307,6 @@ ORACLES = {
     "palette_index": f"WITH {_GREY}, {_PAL} SELECT image_id, count(*) AS colors, CAST(sum(v * (idx + 1)) AS BIGINT) AS sum_r, CAST(CASE WHEN count(*) <= 2 THEN 8 WHEN count(*) <= 4 THEN 4 WHEN count(*) <= 16 THEN 2 ELSE 1 END AS INT) AS per_byte FROM pal GROUP BY image_id",
     "palette_delta": f"WITH {_GREY}, {_PAL}, e AS (SELECT image_id, idx, v, {_mod('v - coalesce(lag(v) OVER (PARTITION BY image_id ORDER BY idx), 0)')} AS d FROM pal) SELECT image_id, CAST(sum(d * (idx + 1)) AS BIGINT) AS sum_delta, CAST(sum(v * (idx + 1)) AS BIGINT) AS sum_back FROM e GROUP BY image_id",
     "symbol_histogram": f"WITH {_PX} SELECT tree, CAST(symbol AS INT) AS symbol, count(*) AS n FROM ({' UNION ALL '.join(f'''SELECT '{c}' AS tree, {c} AS symbol FROM px''' for c in 'rgba')}) GROUP BY tree, symbol",
-    "canonical_codes": f"""
-        WITH {_PX}, u AS (SELECT DISTINCT image_id, tree, symbol, 8 + CASE WHEN symbol % 3 = 0 THEN 1 ELSE 2 END AS len FROM ({" UNION ALL ".join(f"SELECT image_id, '{c}' AS tree, {c} AS symbol FROM px" for c in "rgba")})),
-        k AS (SELECT image_id, tree, symbol, CAST(coalesce(sum(1 << (15 - len)) OVER (PARTITION BY image_id, tree ORDER BY len, symbol ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) >> (15 - len) AS code FROM u)
-        SELECT image_id, tree, CAST(sum(code * (symbol + 1)) AS BIGINT) AS sum_code FROM k GROUP BY image_id, tree""",
     "rgb_to_yuv420": f"""
         WITH {_PX}, p AS (SELECT image_id, pos, x, y, {_clip("((66 * r + 129 * g + 25 * b + 128) >> 8) + 16")} AS luma, {_clip("CAST(floor((-38 * r - 74 * g + 112 * b + 128) / 256.0) AS INT) + 128")} AS u, {_clip("CAST(floor((112 * r - 94 * g - 18 * b + 128) / 256.0) AS INT) + 128")} AS v FROM px)
         SELECT image_id, CAST(sum(luma * (pos + 1)) AS BIGINT) AS sum_luma, CAST(sum(u * (pos + 1)) FILTER (x % 2 = 0 AND y % 2 = 0) AS BIGINT) AS sum_u, CAST(sum(v * (pos + 1)) FILTER (x % 2 = 0 AND y % 2 = 0) AS BIGINT) AS sum_v FROM p GROUP BY image_id""",
@@ -368,5 +347,5 @@ ORACLES = {
     "quality_indices": "SELECT doc_id, CAST(floor(127 - least(greatest(CAST(doc_id % 120 - 10 AS DOUBLE), 0), 100) / 100 * 127 + 0.5) AS INT) AS q_index FROM documents",
 }
 
-QUERIES = {name: globals()[name] for name in ORACLES} | lossy.QUERIES
-ORACLES |= lossy.ORACLES
+QUERIES = {name: globals()[name] for name in ORACLES} | lossless.QUERIES | lossy.QUERIES
+ORACLES |= lossless.ORACLES | lossy.ORACLES
