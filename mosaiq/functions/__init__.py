@@ -15,7 +15,7 @@ from mosaiq.codec import WebpError, container, lossless, riff
 from mosaiq.codec.alpha import decode_alpha, encode_alpha
 
 IMAGE = "data binary, width int, height int, has_alpha boolean, error string"
-MAX_PIXELS = 1 << 26
+MAX_PIXELS = lossless.MAX_SIDE**2  # the format's own limit
 
 
 def webp_encode(data: Column, width: Column, height: Column, options: lossless.Options = lossless.Options(), extended: bool = False, failfast: bool = True) -> Column:

@@ -196,13 +196,14 @@ def tokens(files: DataFrame) -> DataFrame:
     last = F.greatest(F.ceil((F.octet_length("content") - first) / (STRETCH * SPAN)).cast("int") - 1, F.lit(0))
     rows = rows.withColumn("_span", F.explode(F.sequence(F.lit(0), F.when(F.col("_bits") > 0, last).otherwise(0)))).withColumn("_from", first + F.col("_span") * STRETCH * SPAN)
     cut = F.substring("content", F.col("_from") + 1, F.lit(STRETCH * SPAN + 16))
-    rows = rows.withColumn("_cut", cut).drop("content").repartition(int(files.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id", "_span")
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.withColumn("_cut", cut).drop("content").repartition(tasks, "image_id", "_span")
     longest = files.agg(F.max(F.octet_length("content")).alias("n")).first()["n"] or 0
     begun = _stretches(rows)
     size = 8 * STRETCH
     entries = entered(begun, size, LONGEST, longest // STRETCH + SPAN, F.col("at").bitwiseAND(7), F.col("_steps"))
     entries = entries.groupBy("image_id", F.expr(f"cast(stretch div {SPAN} as int)").alias("_span")).agg(F.map_from_entries(F.collect_list(F.struct("stretch", "entry"))).alias("_entries"))
-    rows = _stretches(rows.join(entries, ["image_id", "_span"]))
+    rows = _stretches(rows.join(entries, ["image_id", "_span"]).repartition(tasks, "image_id", "_span"))  # small inputs would else lie in one task
     rows = staged(rows, _seen=walk(F.col("_entries")[F.col("stretch")], F.col("_next"), size, F.col("_steps")))
     bits = lambda tree, o: F.get(F.col(f"_{tree}"), o).bitwiseAND(15)
     extra = lambda code: F.greatest(F.shiftright(code - 2, 1), F.lit(0))

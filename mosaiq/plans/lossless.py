@@ -61,7 +61,7 @@ _TREES = " UNION ALL ".join(f"SELECT image_id, '{t}' AS tree, {c} AS symbol FROM
 _HIST = f"hist AS (SELECT image_id, tree, symbol, count(*) AS n FROM ({_TREES}) GROUP BY ALL)"
 _MD5 = f"WITH {IMAGES} SELECT image_id, md5(unhex(h)) AS md5, CAST(16 AS INT) AS width, CAST(length(h) // 128 AS INT) AS height FROM img"
 _NEAR = "near AS (SELECT x, y, row_number() OVER (ORDER BY x * x + y * y, abs(x), x < 0) AS code FROM range(-7, 9) a(x), range(0, 8) b(y) WHERE y > 0 OR x > 0)"
-_ARGB = f"{PIXELS}, q AS (SELECT image_id, pos, ((a::BIGINT * 256 + r) * 256 + g) * 256 + b AS p FROM px)"
+_ARGB = f"{PIXELS}, q AS MATERIALIZED (SELECT image_id, pos, ((a::BIGINT * 256 + r) * 256 + g) * 256 + b AS p FROM px)"
 _EXTRA = "CASE WHEN {0} <= 4 THEN 0 ELSE CAST(floor(log2({0} - 1)) AS INT) - 1 END"
 
 ORACLES = {
