@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 
 from mosaiq import operators as op
 from mosaiq.codec import lz
-from mosaiq.operators import codes, copies, reading
-from mosaiq.plans.grey import IMAGES, PIXELS, images
+from mosaiq.operators import codes, copies, inverse, reading
+from mosaiq.plans.grey import GREY, IMAGES, PIXELS, grey, images
 from mosaiq.sources.scratch import checkpointed
 
 
@@ -57,6 +57,30 @@ def token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copies.histogram(rows).groupBy("tree", "symbol").agg(F.sum("n").alias("n"))
 
 
+def _at_places(rows: DataFrame) -> DataFrame:
+    """image_id, pos, v of an image's rows of values."""
+    each = rows.select("image_id", F.posexplode("rows").alias("y", "r")).select("image_id", "y", F.size("r").alias("w"), F.posexplode("r").alias("x", "v"))
+    return each.select("image_id", (F.col("y") * F.col("w") + F.col("x")).alias("pos"), "v")
+
+
+def predictor_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Residuals of the select predictor, made by windows, undone by a fold over rows."""
+    left = op.predictor_residuals(op.pixels(images(spark, sf_dir)))
+    argb = F.expr("a * 16777216L + r * 65536 + g * 256 + b")
+    rows = left.groupBy("image_id", "y", "width").agg(F.sort_array(F.collect_list(F.struct("x", argb.alias("p")))).alias("_r"))
+    rows = rows.select("image_id", "y", F.transform("_r", lambda e: e["p"]).alias("r"), F.array_repeat(F.lit(11), F.ceil(F.col("width") / 16).cast("int")).alias("modes"))
+    back = _at_places(inverse.predictor_inverse(rows))
+    return back.groupBy("image_id").agg(*(F.sum(codes.channel(F.col("v"), c) * (F.col("pos") + 1)).cast("long").alias(f"sum_{c[0]}") for c in ("red", "green", "blue", "alpha")))
+
+
+def gradient_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grey planes through the gradient filter, by windows, and back, by a fold over rows."""
+    filtered = op.alpha_gradient(grey(spark, sf_dir))
+    rows = filtered.groupBy("image_id", "y").agg(F.sort_array(F.collect_list(F.struct("x", F.col("v").cast("long").alias("v")))).alias("_r"))
+    back = _at_places(inverse.gradient_inverse(rows.select("image_id", "y", F.transform("_r", lambda e: e["v"]).alias("r"))))
+    return back.groupBy("image_id").agg(F.sum(F.col("v") * (F.col("pos") + 1)).cast("long").alias("sum_v"))
+
+
 _TREES = " UNION ALL ".join(f"SELECT image_id, '{t}' AS tree, {c} AS symbol FROM px" for t, c in (("green", "g"), ("red", "r"), ("blue", "b"), ("alpha", "a")))
 _HIST = f"hist AS (SELECT image_id, tree, symbol, count(*) AS n FROM ({_TREES}) GROUP BY ALL)"
 _MD5 = f"WITH {IMAGES} SELECT image_id, md5(unhex(h)) AS md5, CAST(16 AS INT) AS width, CAST(length(h) // 128 AS INT) AS height FROM img"
@@ -94,6 +118,8 @@ ORACLES = {
         d AS (SELECT l.*, c FROM l JOIN (SELECT back, arg_min(c, ({_EXTRA.format("c")}) * 10000000 + c) AS c FROM
           (SELECT DISTINCT l.back, code AS c FROM l JOIN near ON greatest(1, x + 16 * y) = l.back UNION ALL SELECT DISTINCT back, back + {lz.NEAR_CODES} FROM l) GROUP BY back) USING (back))
         SELECT image_id, count(*) AS n, CAST(sum((pos + 1) * back) AS BIGINT) AS sum_back, CAST(sum((pos + 1) * n) AS BIGINT) AS sum_length, CAST(sum((pos + 1) * c) AS BIGINT) AS sum_code FROM d GROUP BY image_id""",
+    "predictor_inverse": f"WITH {PIXELS} SELECT image_id, " + ", ".join(f"CAST(sum({c} * (pos + 1)) AS BIGINT) AS sum_{c}" for c in "rgba") + " FROM px GROUP BY image_id",
+    "gradient_inverse": f"WITH {GREY} SELECT image_id, CAST(sum(v * (pos + 1)) AS BIGINT) AS sum_v FROM grey GROUP BY image_id",
     "token_histogram": f"""
         WITH {_ARGB}, n AS (SELECT image_id, least(11, greatest(1, CAST(floor(log2(count(*))) AS INT) + 1 - 3)) AS bits FROM q GROUP BY image_id),
         s AS (SELECT q.*, ((p * {lz.CACHE_MULTIPLIER}) & 4294967295) >> CAST(32 - bits AS INT) AS slot FROM q JOIN n USING (image_id)),
