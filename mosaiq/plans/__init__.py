@@ -175,17 +175,17 @@ def filter_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.select("doc_id", fn.quality_index(F.col("doc_id") % 120 - 10).alias("q_index"))
+    return docs.select("doc_id", fn.quality_index(F.octet_length("text") % 120 - 10).alias("q_index"))
 
 
 def prefix_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (F.col("doc_id") * 37 % 4096 + 1).cast("int").alias("value"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (F.octet_length("text") % 4096 + 1).alias("value"))
     coded = docs.select("doc_id", "value", op.prefix_code(F.col("value")).alias("p")).select("doc_id", "value", "p.*")
     return coded.withColumn("back", op.prefix_value(F.col("code"), F.col("bits")))
 
 
 def near_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (F.col("doc_id") % 400 + 1).cast("int").alias("code"), F.lit(16).alias("width"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", (F.octet_length("text") % 400 + 1).alias("code"), F.lit(16).alias("width"))
     return op.near_distances(docs).select("doc_id", "code", "distance")
 
 
@@ -321,14 +321,14 @@ ORACLES = {
         e AS (SELECT image_id, pos, 2 * level + inn AS edge, inn AS "inner", CASE WHEN level >= 40 THEN 2 WHEN level >= 15 THEN 1 ELSE 0 END AS hev FROM i)
         SELECT image_id, {_sums("edge")}, CAST(sum("inner" * (pos + 1)) AS BIGINT) AS sum_inner, {_sums("hev")} FROM e GROUP BY image_id""",
     "prefix_codes": """
-        WITH d AS (SELECT doc_id, CAST(doc_id * 37 % 4096 + 1 AS INT) AS value FROM documents), v AS (SELECT *, value - 1 AS z FROM d),
+        WITH d AS (SELECT doc_id, CAST(strlen(text) % 4096 + 1 AS INT) AS value FROM documents), v AS (SELECT *, value - 1 AS z FROM d),
         t AS (SELECT v.*, c.code, c.extra, z - c.low AS bits FROM v JOIN (
           SELECT code, CASE WHEN code < 4 THEN 0 ELSE (code - 2) // 2 END AS extra, CASE WHEN code < 4 THEN code ELSE (2 + code % 2) << ((code - 2) // 2) END AS low FROM range(0, 24) r(code)) c
           ON z >= c.low AND z < c.low + (1 << c.extra))
         SELECT doc_id, value, CAST(code AS INT) AS code, CAST(extra AS INT) AS extra, CAST(bits AS INT) AS bits, value AS back FROM t""",
     "near_distances": """
         WITH n AS (SELECT x, y, row_number() OVER (ORDER BY x * x + y * y, abs(x), x < 0) AS code FROM range(-7, 9) a(x), range(0, 8) b(y) WHERE y > 0 OR x > 0),
-        d AS (SELECT doc_id, CAST(doc_id % 400 + 1 AS INT) AS code FROM documents)
+        d AS (SELECT doc_id, CAST(strlen(text) % 400 + 1 AS INT) AS code FROM documents)
         SELECT doc_id, d.code, CAST(CASE WHEN d.code > 120 THEN d.code - 120 ELSE greatest(1, x + 16 * y) END AS INT) AS distance FROM d LEFT JOIN n ON n.code = d.code""",
     "color_forward": f"""
         WITH {_PX}, k AS (SELECT *, (image_id + y // 16) % 5 * 8 - 16 AS gr, (image_id * 3 + y // 16) % 5 * 8 - 16 AS gb, (image_id * 7 + y // 16) % 5 * 8 - 16 AS rb FROM px),
@@ -344,7 +344,7 @@ ORACLES = {
           JOIN c a ON a.image_id = p.image_id AND a.cx = nx AND a.cy = ny JOIN c b ON b.image_id = p.image_id AND b.cx = fx AND b.cy = ny
           JOIN c c1 ON c1.image_id = p.image_id AND c1.cx = nx AND c1.cy = fy JOIN c d ON d.image_id = p.image_id AND d.cx = fx AND d.cy = fy)
         SELECT image_id, {_sums("v")} FROM v GROUP BY image_id""",
-    "quality_indices": "SELECT doc_id, CAST(floor(127 - least(greatest(CAST(doc_id % 120 - 10 AS DOUBLE), 0), 100) / 100 * 127 + 0.5) AS INT) AS q_index FROM documents",
+    "quality_indices": "SELECT doc_id, CAST(floor(127 - least(greatest(CAST(strlen(text) % 120 - 10 AS DOUBLE), 0), 100) / 100 * 127 + 0.5) AS INT) AS q_index FROM documents",
 }
 
 QUERIES = {name: globals()[name] for name in ORACLES} | lossless.QUERIES | lossy.QUERIES
