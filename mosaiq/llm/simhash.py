@@ -32,8 +32,8 @@ NEAR_PERCENT = 80
 SKETCH, WIDE_SKETCH = 512, 1 << 15
 #: Shingles that occur so often in one text of SAMPLE come last in the join's order; order changes costs, not links.
 SAMPLE, COMMON, COMMON_SHINGLES = 16, 4, 1 << 18
-#: Members of a bucket that meet all others of it in one round, at most, grow by so much a round, from one.
-HUBS_GROW = 16
+#: Members of a bucket that meet all others of it in the first round, at most, and by how much they grow a round.
+HUBS, HUBS_GROW = 16, 16
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -289,14 +289,30 @@ def shingled(docs: DataFrame) -> DataFrame:
 
 
 def shared(prefixes: DataFrame) -> DataFrame:
-    """The rows (s, fp) of the buckets (s) that more than one fp lies in; buckets are counted before they are sent."""
-    return prefixes.join(prefixes.groupBy("s").count().where("count > 1").select("s"), "s", "left_semi")
+    """The rows (s, fp, lead, others) of the buckets (s) that more than one fp lies in, with root = fp.
+
+    Of buckets with the same members one stays: texts that share a passage share many shingles of it. Equal members
+    are told by their number and 128 bits of hashes. Buckets are counted, by partial aggregates, before their rows are sent."""
+    hashes = [F.bit_xor(F.xxhash64(F.lit(i), "fp")).alias(f"x{i}") for i in range(2)]
+    counts = prefixes.groupBy("s").agg(F.count("*").alias("n"), F.min("fp").alias("lead"), *hashes).where("n > 1")
+    once = counts.groupBy("n", "x0", "x1").agg(F.min(F.struct("s", "lead")).alias("b"))
+    return prefixes.join(once.select("b.*", (F.col("n") - 1).alias("others")), "s").withColumn("root", F.col("fp"))
+
+
+def weighed(live: DataFrame) -> DataFrame:
+    """The rows of the buckets that are not yet connected, with lead, a root that most of a bucket's members have,
+    and others, how many have another: every pair that is open has one of those."""
+    each = live.groupBy("s", "root").count()
+    sizes = each.groupBy("s").agg(F.max_by("root", "count").alias("lead"), (F.sum("count") - F.max("count")).alias("others"))
+    return live.join(sizes.where("others > 0"), "s")
 
 
 def hubs(live: DataFrame, most: int) -> DataFrame:
-    """s, hub: of each bucket, the least members of as many classes of its members; combined before they are sent."""
-    kind = F.pmod(F.xxhash64("fp", "s"), F.lit(most)).alias("kind")
-    return live.groupBy("s", kind).agg(F.min(F.struct("fp", "root", "n", "sketch")).alias("hub")).drop("kind")
+    """s, hub: all members with another root than the lead, of a bucket that has up to ``most`` of them; of others,
+    the least members of as many classes of their members, combined before they are sent."""
+    kind = F.when(F.col("others") <= most, F.col("fp")).otherwise(F.pmod(F.xxhash64("fp", "s"), F.lit(most))).alias("kind")
+    open_ = live.where((F.col("others") > most) | (F.col("root") != F.col("lead")))
+    return open_.groupBy("s", kind).agg(F.min(F.struct("fp", "root", "n", "sketch")).alias("hub")).drop("kind")
 
 
 def hub_pairs(live: DataFrame, met: DataFrame) -> DataFrame:
@@ -351,29 +367,29 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
 def near_roots(sets: DataFrame, docs: DataFrame) -> DataFrame:
     """(node, root) of the shingle sets that links at NEAR_PERCENT or more connect: all such links count.
 
-    Near sets share a shingle of their prefixes, so they meet in a bucket. In each round some members of
-    a bucket, its hubs, are held against all others that no links connect to them yet, and then leave it; the rounds
-    end when the bucket is empty or connected. A group of near copies so costs few rows a member."""
+    Near sets share a shingle of their prefixes, so they meet in a bucket. A bucket with few members besides
+    those of its most frequent root is done at once: these are held against all others. In a larger one some members, its
+    hubs, are, and then leave it; a group of near copies is so connected by few rows a member, and what its root
+    doesn't hold is few. The rounds end when every bucket is done or connected."""
     own = sets.select("fp", "n", "sketch")
-    live = written(shared(sets.select(F.explode("first").alias("s"), "fp")).join(own, "fp").withColumn("root", F.col("fp")), "near-buckets")
-    found, most, live_at = None, 1, made()[-1]
+    live = written(shared(sets.select(F.explode("first").alias("s"), "fp")).join(own, "fp"), "near-buckets")
+    roots, most, live_at = None, HUBS, made()[-1]
     while not live.isEmpty():
         before = len(made())
         met = written(hubs(live, most), "near-hubs")
         pairs = written(hub_pairs(live, met), "near-pairs")
         pairs = written(likely(pairs, sets), "near-likely")
         spent = [live_at, *made()[before:]]
-        near = verified(pairs, sets, docs)
-        found = near if found is None else found.unionByName(near)
-        roots = components(found)
-        live = live.join(met.select("s", F.col("hub.fp").alias("fp")), ["s", "fp"], "left_anti").drop("root")
-        live = live.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        mixed = live.groupBy("s").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("s")
-        live = written(live.join(mixed, "s", "left_semi"), "near-buckets")
+        if roots is None or not pairs.isEmpty():
+            near = verified(pairs, sets, docs)
+            roots = components(near if roots is None else near.unionByName(roots.selectExpr("node as u", "root as v")))
+        left = live.where(F.col("others") > most).join(met.select("s", F.col("hub.fp").alias("fp")), ["s", "fp"], "left_anti")
+        left = left.drop("root", "lead", "others").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+        live = written(weighed(left.withColumn("root", F.coalesce("root", "fp"))), "near-buckets")
         live_at = made()[-1]
         clean(docs.sparkSession, spent)  # what this round has read
         most *= HUBS_GROW
-    return components(own.selectExpr("fp as u", "fp as v").limit(0)) if found is None else roots
+    return components(own.selectExpr("fp as u", "fp as v").limit(0)) if roots is None else roots
 
 
 def near_label(docs: DataFrame) -> DataFrame:

@@ -71,3 +71,23 @@ def test_held_out_labels_change_nothing(spark):
     assert turned != [tuple(r) for r in labels]
     models = [toxicity.fit(docs, spark.createDataFrame(x, "doc_id long, toxic int")) for x in (labels, turned)]
     assert models[0].slope > 0 and models[0] == models[1]
+
+
+def test_near_copies_in_large_buckets(spark, monkeypatch):
+    """Texts that share much without being near, met by hubs that grow over several rounds."""
+    monkeypatch.setattr(simhash, "HUBS", 1)
+    monkeypatch.setattr(simhash, "HUBS_GROW", 2)
+    rng = random.Random(6)
+    shared = [f"s{i}" for i in range(60)]
+    texts = [" ".join([*shared, *(f"w{rng.randrange(10**6)}" for _ in range(30))]) for _ in range(24)]
+    texts += [f"{t} {'end' * (k + 1)}" for k, t in enumerate(texts[::3])]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    up = list(range(len(texts)))
+    for j in range(len(texts)):
+        for i in range(j):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = up[i], up[j]
+                up = [min(a, b) if x in (a, b) else x for x in up]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert len(set(up)) == 24
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_label(docs).collect()} == dict(enumerate(up))
