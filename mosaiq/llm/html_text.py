@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
@@ -16,12 +17,12 @@ from mosaiq.llm.common import table
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr button math mrow mi mn mo ms mtext mspace msup msub msubsup mfrac msqrt mroot mstyle mover munder munderover mpadded mphantom merror mfenced menclose mtable mtr mtd semantics".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul".split())
 #: An element that an opening tag closes, and where the search for it ends.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 #: Elements whose content isn't text of the page.
-DROPPED = frozenset("head script style noscript template iframe object embed svg math canvas audio video button select textarea input datalist".split())
+DROPPED = frozenset("head script style noscript template iframe object embed svg canvas audio video button select textarea input datalist annotation annotation-xml".split())
 #: Elements that are main text only where nothing else is.
 ASIDE = frozenset("nav footer aside dialog menu".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -40,7 +41,9 @@ MENU_LINK = 30
 
 #: With these a header is the text's own, and a name tells what a container has beside it.
 TITLED = frozenset("article post entry content story".split())
-ABOUT = frozenset("has with no without".split())
+ABOUT = frozenset("has with no without free open closed enabled disabled allowed count off on".split())
+#: Headings with these words introduce links to other pages, not a list of the text's own.
+ELSEWHERE = frozenset("related recommended recommendations more also share follow tags categories navigation menu latest popular trending links next previous sponsored comments".split())
 #: What stands beside the best subtree joins it with so much of its density sum.
 SIBLING = 0.25
 
@@ -51,16 +54,24 @@ _PART = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 
 class Node:
-    __slots__ = ("chars", "density", "doubt", "dropped", "items", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
+    __slots__ = ("chars", "density", "doubt", "dropped", "inside", "items", "link_chars", "link_tags", "parent", "sum", "tag", "tags")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, doubt: str = ""):
         self.tag, self.parent, self.dropped, self.doubt = tag, parent, dropped, doubt
+        self.inside = tag in ("article", "main") or bool(parent and parent.inside)  # the text's own element
         self.items: list[Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
 
 
-def _boilerplate(tag: str, attributes: str, stack: list[Node]) -> tuple[bool, str]:
+def in_sentence(n: Node) -> bool:
+    """Whether text stands before the end of ``n``, a text block or what marks up part of one."""
+    while n.tag in INLINE and n.parent and not any(isinstance(x, str) and x.strip() for x in n.items):
+        n = n.parent
+    return (n.tag in INLINE or n.tag in HEADINGS or n.tag in ("p", "li", "td", "dd")) and any(isinstance(x, str) and x.strip() for x in n.items)
+
+
+def _boilerplate(tag: str, attributes: str, parent: Node) -> tuple[bool, str]:
     """Whether an element is dropped, or else the doubt about it that ``settle`` decides: "form"; "name" of a
     container that text seldom has; "topic", a name that a part of a text may have; "always"; or none."""
     known: dict[str, str] = {}
@@ -71,18 +82,19 @@ def _boilerplate(tag: str, attributes: str, stack: list[Node]) -> tuple[bool, st
     if tag == "form":
         return False, "form"
     if tag in DROPPED:
-        return True, ""
-    inside = any(n.tag in ("article", "main") for n in stack)
+        return tag != "button" or not in_sentence(parent), ""
+    inside = parent.inside
     if tag in ASIDE or tag == "header" and not inside:  # an article's own header holds its title
         return False, "always"
     if tag not in CONTAINERS and "-" not in tag:
         return False, ""
     doubt = ""
     for name in ("class", "id", "role"):
-        named = {w.lower() for w in _PART.findall(known.get(name, ""))}
-        found = named & DROPPED_WORDS
-        if not found or found == {"header"} and (inside or named & TITLED) or named & ABOUT:
-            continue  # the text's own header; a container that only tells of a sidebar
+        each = [{w.lower() for w in _PART.findall(x)} for x in known.get(name, "").split()]
+        named = set().union(*each)
+        found = set().union(*(x for x in each if not x & ABOUT)) & DROPPED_WORDS  # others only tell of a sidebar
+        if not found or found == {"header"} and (inside or named & TITLED):
+            continue  # the text's own header
         if found & ALWAYS_DROPPED:
             return False, "always"
         topic = name != "role" and (tag == "section" or name == "id")
@@ -95,6 +107,12 @@ def parse(html: str) -> tuple[Node, list[Node]]:
     end with their parents, and a tag or comment that the page's end cuts off ends there."""
     root = Node("#root", None, False)
     nodes, stack, at = [root], [root], 0
+    opened: Counter[str] = Counter()
+
+    def close(k: int) -> None:
+        opened.subtract(n.tag for n in stack[k:])
+        del stack[k:]
+
     while True:
         m = _TOKEN.search(html, at)
         if text := html[at : m.start() if m else None]:
@@ -105,28 +123,28 @@ def parse(html: str) -> tuple[Node, list[Node]]:
         at = m.end()
         if m[1]:
             tag = m[1].lower()
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] > 0 else ():
                 if stack[k].tag == tag:
-                    del stack[k:]
+                    close(k)
                     break
         elif m[2]:
             tag = m[2].lower()
-            if tag in CLOSES_P:
+            if tag in CLOSES_P and opened["p"] > 0:
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == "p":
-                        del stack[k:]
+                        close(k)
                         break
                     if stack[k].tag not in INLINE:
                         break
             elif tag in CLOSES:
                 ends, walls = CLOSES[tag]
-                for k in range(len(stack) - 1, 0, -1):
+                for k in range(len(stack) - 1, 0, -1) if any(opened[x] > 0 for x in ends) else ():
                     if stack[k].tag in ends:
-                        del stack[k:]
+                        close(k)
                         break
                     if stack[k].tag in walls:
                         break
-            node = Node(tag, stack[-1], True) if stack[-1].dropped else Node(tag, stack[-1], *_boilerplate(tag, m[3], stack))
+            node = Node(tag, stack[-1], True) if stack[-1].dropped else Node(tag, stack[-1], *_boilerplate(tag, m[3], stack[-1]))
             stack[-1].items.append(node)
             nodes.append(node)
             if tag in RAW:
@@ -137,8 +155,10 @@ def parse(html: str) -> tuple[Node, list[Node]]:
                 if not end:
                     return root, nodes
                 stack.append(node)
+                opened[tag] += 1
             elif tag not in VOID and not m[0].endswith("/>"):
                 stack.append(node)
+                opened[tag] += 1
 
 
 def measure(nodes: list[Node]) -> Node:
@@ -189,7 +209,15 @@ def children(n: Node) -> list[Node]:
 
 def titled(n: Node) -> bool:
     """Whether all text of a block is headings."""
-    return n.tag in HEADINGS or bool(below := children(n)) and sum(x.chars for x in below) == n.chars and all(map(titled, below))
+    todo = [n]
+    while todo:
+        x = todo.pop()
+        if x.tag not in HEADINGS:
+            below = children(x)
+            if not below or sum(y.chars for y in below) != x.chars:
+                return False
+            todo.extend(below)
+    return True
 
 
 def content(body: Node, nodes: list[Node]) -> set[int]:
@@ -198,7 +226,7 @@ def content(body: Node, nodes: list[Node]) -> set[int]:
     The subtree of the greatest density sum is; an <article> that holds it is as a whole. The threshold is the
     least density on its path to the body. On each level of that path, what stands beside joins it: containers
     of blocks that reach the threshold, are not mostly links and have SIBLING of the greatest sum; below the body, text
-    blocks that reach the threshold by that part; headings right before. Nothing else of the page does."""
+    blocks that are not mostly links; headings right before. Within <main> containers need not reach the threshold. Nothing else of the page does."""
     inside = [n for n in nodes if not n.dropped and n.chars and n.tag not in INLINE]
     if not inside:
         return set()
@@ -213,11 +241,15 @@ def content(body: Node, nodes: list[Node]) -> set[int]:
     found = {id(path[at])}
 
     def joins(x: Node, beside: Node, level: Node) -> bool:
+        if x.link_chars > 0.5 * x.chars:
+            return False
+        if level.inside:
+            return x.tag not in HEADINGS and (x.tag not in CONTAINERS or x.sum >= best.sum * SIBLING or any(y.tag == "p" for y in children(x)) and x.density >= SIBLING * least)
         if x.tag in ("article", "section") and x.tag == beside.tag:
-            return x.density >= SIBLING * least and x.link_chars <= 0.5 * x.chars
+            return x.density >= SIBLING * least
         if x.tag in CONTAINERS or "-" in x.tag or x.tag in ("article", "main"):
-            return bool(children(x)) and x.density >= least and x.sum >= SIBLING * best.sum and x.link_chars <= 0.5 * x.chars
-        return level is not body and x.tag not in HEADINGS and x.density >= SIBLING * least
+            return bool(children(x)) and x.density >= least and x.sum >= SIBLING * best.sum
+        return level is not body and x.tag not in HEADINGS
 
     for beside, level in zip(path[at:], path[at + 1 :], strict=False):
         row = children(level)
@@ -232,7 +264,8 @@ def content(body: Node, nodes: list[Node]) -> set[int]:
 
 def settle(body: Node, nodes: list[Node]) -> None:
     """Decide the doubts. A form or named container stays if it holds the greatest density sum or most of the
-    text, one in which comments or advertisements stand if nothing is left without it; a part of the text that is named like
+    text, one named after comments or advertisements only if it holds the greatest sum and what is left without it has no
+    <article>, <main> or <h1> and less than SIBLING of that sum; a part of the text that is named like
     boilerplate stays unless it is mostly links. All nodes must have been measured; they are measured anew."""
     doubted = [n for n in nodes if n.doubt and not n.dropped]
     if not doubted:
@@ -251,17 +284,26 @@ def settle(body: Node, nodes: list[Node]) -> None:
     mostly = {id(n) for n in doubted if id(n) in held or n.chars - n.link_chars > half}
     links = {id(n) for n in doubted if n.link_chars > 0.5 * n.chars}
     whole = {id(n) for n in doubted if n.doubt != "always" and id(n) in mostly}
+    most = best.sum
     drop(lambda n: id(n) in whole)
     if not body.chars:
         drop(lambda n: True)
         return
+    left = [n for n in nodes if not n.dropped and n.chars and n.tag not in INLINE]
+    if not any(n.tag in ("article", "main", "h1") for n in left) and max(n.sum for n in left) < SIBLING * most:
+        own = {id(n) for n in doubted if n.doubt == "always" and id(n) in held and n.tag in CONTAINERS and n.tag != "header"}
+        if own:
+            whole |= own
+            drop(lambda n: id(n) in whole)
     topics = [n for n in doubted if n.doubt == "topic" and id(n) not in links]
     if topics:
         chosen = content(body, nodes)
-        for n in topics:
-            path = list(ancestor_path(n))
-            if any(x.tag in ("article", "main") or id(x) in chosen and x is not body and x.parent for x in path):
-                whole.add(id(n))
+        within: set[int] = set()  # what lies in main text, parents first
+        for n in nodes:
+            p = n.parent
+            if p and (id(p) in within or p.inside or id(p) in chosen and p is not body and p.parent):
+                within.add(id(n))
+        whole |= {id(n) for n in topics} & within
         drop(lambda n: id(n) in whole)
 
 
@@ -270,11 +312,30 @@ def menu(n: Node) -> bool:
     return n.tag in CONTAINERS and n.link_tags > 2 and n.link_chars > 0.7 * n.chars and n.link_chars <= MENU_LINK * n.link_tags
 
 
+def introduces(n: Node) -> bool:
+    """Whether a heading announces a list of the text's own, not links to other pages."""
+    said = "".join(x for x in n.items if isinstance(x, str))
+    return n.tag in HEADINGS and not {w.lower() for w in _PART.findall(said)} & ELSEWHERE
+
+
 def blocks(node: Node) -> list[str]:
     """The text of a subtree by block, references decoded and white space as single spaces."""
     out: list[str] = []
     held: list[str] = []
 
+    def below(n: Node) -> Iterator[Node | str | None]:
+        """What stands in a node, without its menus; a list that a heading introduces is none."""
+        before: Node | None = None
+        for x in n.items:
+            if isinstance(x, str):
+                before = None if x.strip() else before
+            elif x.dropped or menu(x) and not (n.inside and before and introduces(before)):
+                yield None if x.tag not in INLINE else ""
+                continue
+            elif x.chars:
+                before = x if x.tag not in INLINE else None
+            yield x
+
     def close() -> None:
         if text := " ".join("".join(held).split()):
             out.append(text)
@@ -287,13 +348,11 @@ def blocks(node: Node) -> list[str]:
             close()
         elif isinstance(x, str):
             held.append(x)
-        elif x.dropped or x is not node and menu(x):
-            close() if x.tag not in INLINE else None
         elif x.tag in INLINE:
-            todo.extend(reversed(x.items))
-        else:
+            todo.extend(reversed(list(below(x))))
+        elif not x.dropped:
             todo.append(None)
-            todo.extend(reversed(x.items))
+            todo.extend(reversed(list(below(x))))
             todo.append(None)
     close()
     return out

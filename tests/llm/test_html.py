@@ -92,3 +92,25 @@ def test_every_nodes_density_and_sum():
             assert math.isclose(n.density, brute(n, body), rel_tol=1e-9, abs_tol=1e-9)
             below = sum(x.density for x in n.items if isinstance(x, html_text.Node) and x.tag not in html_text.INLINE)
             assert math.isclose(n.sum, below or n.density, rel_tol=1e-9, abs_tol=1e-9)
+
+
+def test_the_article_stays_whole():
+    six = "".join(f"<p>{LONG} {i}</p>" for i in range(6))
+    want = " ".join(f"{LONG} {i}" for i in range(6))
+    for name in ("content ad-free", "main comment-open", "comment"):
+        assert html_text.extract(f'<body><div class="{name}">{six}</div><div>small thing here.</div></body>') == want
+    assert html_text.extract(f"<body><article><h1>T</h1><p>{LONG}</p></article><div class=comments>{six}</div></body>") == f"T {LONG}"
+    assert html_text.extract(f"<body><div><h1>T</h1><p>{LONG}</p></div><div class=comments>{six}</div></body>") == f"T {LONG}"
+    assert html_text.extract(f"<body><main><p>Lead one short.</p><div>{six}</div><p>Closing.</p></main></body>") == f"Lead one short. {want} Closing."
+    assert html_text.extract(f"<body><main><div>{six}</div><div><p>{LONG}</p><p>{LONG}</p><p>Last.</p></div></main></body>") == f"{want} {LONG} {LONG} Last."
+    people = "<h2>People</h2><ul><li><a href=1>Ann Lee</a></li><li><a href=2>Bob Day</a></li><li><a href=3>Cy Roe</a></li></ul>"
+    assert html_text.extract(f"<body><article>{six}{people}</article></body>") == f"{want} People Ann Lee Bob Day Cy Roe"
+    odd = "<p>We have <math><mi>x</mi><mo>=</mo><mn>1</mn></math> and <button>this</button> here.</p>"
+    assert html_text.extract(f"<body><article>{six}{odd}<button>Send</button><p><button>Share</button></p></article></body>") == f"{want} We have x=1 and this here."
+
+
+def test_deep_pages():
+    """Many nested elements, open or closed, with headings and stray ends; no time is asserted but the least of growth."""
+    n = 20000
+    for page in ("<div>" * n + f"<p>{LONG}</p>" + "</div>" * n, "<div>" * n + f"<p>{LONG}</p>" + "</b></li><li>" * n, f"<p>{LONG}</p>" + "<div id=related><div>" * n + "<h2>T</h2>"):
+        assert LONG in html_text.extract(page)
