@@ -5,6 +5,8 @@ Pixel-level results are returned per image as sums weighted by position, so that
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from mosaiq.plans.grey import GREY as _GREY
 from mosaiq.plans.grey import IMAGES, PIXELS
 from mosaiq.plans.grey import grey as _grey
 from mosaiq.plans.grey import images as _images
+from mosaiq.sources import datasource
+from mosaiq.sources.scratch import shared_folder
 
 
 def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,15 +53,31 @@ def rgb_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _images(spark, sf_dir).select("image_id", F.md5(op.rgb_bytes(F.col("data"))).alias("md5"))
 
 
-def riff_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    fn.register(spark)
+def _containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, content: each text and its language as the chunks of a container."""
     text = F.encode("text", "utf-8")
     chunk = lambda name, data: F.struct(F.lit(name).alias("four_cc"), data.alias("data"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.length("text") > 0)
-    files = docs.select("doc_id", fn.riff_build(F.array(chunk("TEXT", text), chunk("LANG", F.encode(F.coalesce("lang", F.lit("")), "utf-8")))).alias("content"))
+    return docs.select("doc_id", fn.riff_build(F.array(chunk("TEXT", text), chunk("LANG", F.encode(F.coalesce("lang", F.lit("")), "utf-8")))).alias("content"))
+
+
+def riff_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fn.register(spark)
+    files = _containers(spark, sf_dir)
     return spark.sql("SELECT doc_id, c.chunk_idx, c.four_cc, c.size, c.offset, md5(c.data) AS md5 FROM {files}, LATERAL riff_chunks(content) c", files=files)
 
 
+def source_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same chunks, through files that the source ``webp`` writes and reads."""
+    datasource.register(spark)
+    folder = f"{shared_folder(spark)}/mosaiq-source-{uuid.uuid4().hex}"
+    files = _containers(spark, sf_dir)
+    files.select(F.format_string("%d.webp", "doc_id").alias("name"), "content").write.format("webp").mode("append").save(folder)
+    chunks = spark.read.format("webp").option("rows", "chunk").load(folder)
+    doc_id = F.regexp_extract("path", r"(-?\d+)\.webp$", 1).cast("long").alias("doc_id")
+    return chunks.select(doc_id, "chunk_idx", "four_cc", "size", "offset", F.md5("data").alias("md5"))
+
+
 def riff_build(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunk = F.struct(F.lit("TEXT").alias("four_cc"), F.encode("text", "utf-8").alias("data"))
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where(F.length("text") > 0)
@@ -347,5 +367,6 @@ ORACLES = {
     "quality_indices": "SELECT doc_id, CAST(floor(127 - least(greatest(CAST(strlen(text) % 120 - 10 AS DOUBLE), 0), 100) / 100 * 127 + 0.5) AS INT) AS q_index FROM documents",
 }
 
+ORACLES["source_chunks"] = ORACLES["riff_parse"]
 QUERIES = {name: globals()[name] for name in ORACLES} | lossless.QUERIES | lossy.QUERIES
 ORACLES |= lossless.ORACLES | lossy.ORACLES
