@@ -298,7 +298,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOC
 def keep(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs``, with all columns, in which no benchmark window occurs; no shuffle of texts.
 
-    Whole record batches are gathered into a shard, searched, and passed on without the hit rows. Where the
+    Rows are gathered into a shard of SHARD_WORDS words, searched, and passed on without the hit ones. Where the
     benchmark has several blocks, each leaves the numbers of its hit rows, and those rows go at the end.
     Nulls, empty and repeated rows and tables: as in contamination()."""
     n, blocks = phrase_blocks(benchmark, block_bytes)
@@ -312,13 +312,14 @@ def keep(docs: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, texts, n = [], [], 0
         for b in batches:
-            held.append(b)
-            mine = list(map(words, b.column("text").to_pylist()))
-            texts += mine
-            n += sum(map(len, mine))
-            if n >= SHARD_WORDS:
-                yield from passed(held, texts)
-                held, texts, n = [], [], 0
+            start = 0
+            for i, text in enumerate(b.column("text"), 1):  # a batch may hold several shards
+                texts.append(words(text.as_py()))
+                n += len(texts[-1])
+                if n >= SHARD_WORDS:
+                    yield from passed([*held, b.slice(start, i - start)], texts)
+                    held, texts, n, start = [], [], 0, i
+            held.append(b.slice(start))
         yield from passed(held, texts)
 
     def passed(held: list, texts: list) -> Iterator[pa.RecordBatch]:

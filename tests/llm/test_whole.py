@@ -3,7 +3,7 @@
 import random
 import zlib
 
-from mosaiq.llm import html_text, simhash, toxicity
+from mosaiq.llm import decontaminate, html_text, simhash, toxicity
 
 
 def test_near_copies_against_all_pairs(spark):
@@ -91,3 +91,14 @@ def test_near_copies_in_large_buckets(spark, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert len(set(up)) == 24
     assert {r["doc_id"]: r["component_id"] for r in simhash.near_label(docs).collect()} == dict(enumerate(up))
+
+
+def test_shards_end_within_a_batch(spark, monkeypatch):
+    hit = " ".join(f"q{i}" for i in range(10))
+    rows = [(i, f"{hit} end" if i % 3 == 0 else None if i == 4 else "clean words " * (i % 5), i) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, other int").coalesce(1)
+    items = spark.createDataFrame([(1, hit)], "item_id long, text string")
+    for size in (1, 7, 1 << 20):
+        monkeypatch.setattr(decontaminate, "SHARD_WORDS", size)
+        assert [tuple(r) for r in decontaminate.keep(docs, items).orderBy("doc_id").collect()] == [r for r in rows if r[0] % 3]
+        assert decontaminate.keep(docs.limit(0), items).count() == 0
