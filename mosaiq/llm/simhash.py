@@ -1,5 +1,6 @@
 """SimHash near-duplicates by segment-popcount embedding, grid range-join and exact verification; and the
-pipeline's near copies, by prefix join of word shingles and exact verification."""
+pipeline's near copies: the same grid, verified on word shingles, and after it a prefix join, exact for the links that
+fingerprints miss."""
 
 from __future__ import annotations
 
@@ -255,8 +256,8 @@ def bits_apart(a: bytes, b: bytes) -> int:
 
 
 def shingled(docs: DataFrame) -> DataFrame:
-    """doc_id, h, fp (hash of the shingle set), n (its size), sketch, wide (a longer sketch), first (its prefix,
-    common shingles last)."""
+    """doc_id, h, bits (the SimHash fingerprint), fp (hash of the shingle set), n (its size), sketch, wide (a longer
+    sketch), first (its prefix, common shingles last)."""
     spark = docs.sparkSession
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,8 +273,10 @@ def shingled(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for t in b.column("text"):
-                s = shingle_set(t.as_py())
+            texts = b.column("text").to_pylist()
+            bits = np.array(list(map(fingerprint, texts)), np.uint64).view(np.int64)
+            for t in texts:
+                s = shingle_set(t)
                 late = sorted_has(sent.value, s)
                 first = np.concatenate([s[~late], s[late]])[: prefix_length(len(s))]
                 sketch = np.frombuffer(parity(s, SKETCH), np.int64)
@@ -282,21 +285,39 @@ def shingled(docs: DataFrame) -> DataFrame:
                 for x, y in zip(out, (fp - (fp >> 63 << 64), len(s), sketch, wide, first), strict=True):
                     x.append(y)
             made = [pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())), strict=True)]
-            yield pa.record_batch([b.column("doc_id"), b.column("h"), *made], ["doc_id", "h", "fp", "n", "sketch", "wide", "first"])
+            yield pa.record_batch([b.column("doc_id"), b.column("h"), pa.array(bits), *made], ["doc_id", "h", "bits", "fp", "n", "sketch", "wide", "first"])
 
     kind = dict(read.dtypes)["doc_id"]
-    return read.mapInArrow(run, f"doc_id {kind}, h long, fp long, n long, sketch array<long>, wide binary, first array<long>")
+    return read.mapInArrow(run, f"doc_id {kind}, h long, bits long, fp long, n long, sketch array<long>, wide binary, first array<long>")
+
+
+def grid_pairs(each: DataFrame) -> DataFrame:
+    """Pairs (u, v) of shingle sets ``fp`` whose fingerprints ``bits`` are equal, or that the grid finds and XOR verifies
+    at RADIUS or fewer differing bits: as many as connect all such. Each fingerprint is in the grid once, for the
+    least set that has it."""
+    least = written(each.groupBy("bits").agg(F.min("fp").alias("least")), "near-fingerprints")
+    same = each.join(least, "bits").where("fp <> least").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    a, b = (least.select(F.col("bits").alias(x), F.col("least").alias(y)) for x, y in ("ua", "vb"))
+    apart = links(least.select(F.col("bits").alias("fp"))).join(a, "u").join(b, "v").select("a", "b")
+    return same.unionByName(apart).where("a <> b").select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
+
+
+def grid_roots(each: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, root) of the shingle sets that the grid's pairs connect, each verified on whole sets too."""
+    pairs = written(likely(written(grid_pairs(each), "near-grid"), sets), "near-likely")
+    return components(pairs if pairs.isEmpty() else verified(pairs, sets, docs))
 
 
 def shared(prefixes: DataFrame) -> DataFrame:
-    """The rows (s, fp, lead, others) of the buckets (s) that more than one fp lies in, with root = fp.
+    """The rows (s, fp, root, lead, others) of the buckets (s) that more than one root lies in; others is at most too
+    large here.
 
     Of buckets with the same members one stays: texts that share a passage share many shingles of it. Equal members
     are told by their number and 128 bits of hashes. Buckets are counted, by partial aggregates, before their rows are sent."""
     hashes = [F.bit_xor(F.xxhash64(F.lit(i), "fp")).alias(f"x{i}") for i in range(2)]
-    counts = prefixes.groupBy("s").agg(F.count("*").alias("n"), F.min("fp").alias("lead"), *hashes).where("n > 1")
+    counts = prefixes.groupBy("s").agg(F.count("*").alias("n"), F.min("root").alias("lead"), F.max("root").alias("last"), *hashes).where("lead < last")
     once = counts.groupBy("n", "x0", "x1").agg(F.min(F.struct("s", "lead")).alias("b"))
-    return prefixes.join(once.select("b.*", (F.col("n") - 1).alias("others")), "s").withColumn("root", F.col("fp"))
+    return prefixes.join(once.select("b.*", (F.col("n") - 1).alias("others")), "s")
 
 
 def weighed(live: DataFrame) -> DataFrame:
@@ -364,46 +385,49 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     return found
 
 
-def near_roots(sets: DataFrame, docs: DataFrame) -> DataFrame:
-    """(node, root) of the shingle sets that links at NEAR_PERCENT or more connect: all such links count.
+def near_roots(sets: DataFrame, docs: DataFrame, roots: DataFrame) -> DataFrame:
+    """(node, root) of the shingle sets that the given roots and links at NEAR_PERCENT or more connect: all such links count.
 
     Near sets share a shingle of their prefixes, so they meet in a bucket. A bucket with few members besides
     those of its most frequent root is done at once: these are held against all others. In a larger one some members, its
     hubs, are, and then leave it; a group of near copies is so connected by few rows a member, and what its root
     doesn't hold is few. The rounds end when every bucket is done or connected."""
     own = sets.select("fp", "n", "sketch")
-    live = written(shared(sets.select(F.explode("first").alias("s"), "fp")).join(own, "fp"), "near-buckets")
-    roots, most, live_at = None, HUBS, made()[-1]
+    first = sets.select("fp", "first").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    first = first.select(F.explode("first").alias("s"), "fp", F.coalesce("root", "fp").alias("root"))
+    live = written(shared(first).join(own, "fp"), "near-buckets")
+    most, live_at = HUBS, made()[-1]
     while not live.isEmpty():
         before = len(made())
         met = written(hubs(live, most), "near-hubs")
         pairs = written(hub_pairs(live, met), "near-pairs")
         pairs = written(likely(pairs, sets), "near-likely")
         spent = [live_at, *made()[before:]]
-        if roots is None or not pairs.isEmpty():
-            near = verified(pairs, sets, docs)
-            roots = components(near if roots is None else near.unionByName(roots.selectExpr("node as u", "root as v")))
+        if not pairs.isEmpty():
+            roots = components(verified(pairs, sets, docs).unionByName(roots.selectExpr("node as u", "root as v")))
         left = live.where(F.col("others") > most).join(met.select("s", F.col("hub.fp").alias("fp")), ["s", "fp"], "left_anti")
         left = left.drop("root", "lead", "others").join(roots.withColumnRenamed("node", "fp"), "fp", "left")
         live = written(weighed(left.withColumn("root", F.coalesce("root", "fp"))), "near-buckets")
         live_at = made()[-1]
         clean(docs.sparkSession, spent)  # what this round has read
         most *= HUBS_GROW
-    return components(own.selectExpr("fp as u", "fp as v").limit(0)) if roots is None else roots
+    return roots
 
 
 def near_label(docs: DataFrame) -> DataFrame:
     """Groups of near copies, as ``label`` gives them; fp is the hash of the shingle set.
 
-    Texts are linked when they share NEAR_PERCENT or more of their shingles of NEAR_SHINGLE words. Texts
-    without a word have the same, empty set."""
+    Texts are linked when they share NEAR_PERCENT or more of their shingles of NEAR_SHINGLE words. Operator 5's grid
+    goes first: what it finds is verified on these shingles. Most near copies lie more than RADIUS bits apart, so a prefix
+    join, exact for all, finds the links between the groups that the grid leaves. Texts without a word have the same, empty set."""
     before = len(made())
     fps = written(shingled(docs.select("doc_id", "text")), "shingled")
     by = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
     sets = fps.where("n > 0").groupBy("fp").agg(F.min_by(F.struct("doc_id", "h", "n", "sketch", "wide", "first"), by).alias("r")).select("fp", "r.*")
     sets, rows = written(sets, "near-distinct"), written(fps.select("doc_id", "h", "fp"), "near-rows")
+    each = written(fps.select("fp", "bits").distinct(), "near-bits")
     clean(docs.sparkSession, made()[before : before + 1])  # the prefixes of all rows
-    return grouped(rows, lambda _: near_roots(sets, docs))
+    return grouped(rows, lambda _: near_roots(sets, docs, grid_roots(each, sets, docs)))
 
 
 def keep(docs: DataFrame) -> DataFrame:

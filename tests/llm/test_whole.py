@@ -4,6 +4,7 @@ import random
 import zlib
 
 from mosaiq.llm import decontaminate, html_text, simhash, toxicity
+from pyspark.sql import functions as F
 
 
 def test_near_copies_against_all_pairs(spark):
@@ -102,3 +103,32 @@ def test_shards_end_within_a_batch(spark, monkeypatch):
         monkeypatch.setattr(decontaminate, "SHARD_WORDS", size)
         assert [tuple(r) for r in decontaminate.keep(docs, items).orderBy("doc_id").collect()] == [r for r in rows if r[0] % 3]
         assert decontaminate.keep(docs.limit(0), items).count() == 0
+
+
+def test_near_copies_by_the_grid(spark, monkeypatch):
+    """Without the prefix join the stage has the links that operator 5's grid finds, verified on the stage's shingles;
+    the prefix join gets no bucket that lies within one of their groups."""
+    rng = random.Random(7)
+    tail = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    texts = [f"{'p q r s t ' * 40}{tail(30)}" for _ in range(6)]  # one fingerprint or nearly, not near
+    texts += [f"{t} end" for t in texts[:3]] + [f"{t} {tail(k)}" for t in (tail(400), tail(900)) for k in range(1, 6)] + ["", " "]
+    far = [tail(60)]
+    texts += [*far, f"{far[0]} {tail(6)}"]  # near, by the prefix join only
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in map(str.split, texts)]
+    fps, up, both, bits_only = [simhash.fingerprint(t) for t in texts], list(range(len(texts))), 0, 0
+    for j in range(len(texts)):
+        for i in range(j):
+            bits, near = (fps[i] ^ fps[j]).bit_count() <= simhash.RADIUS, 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])
+            both, bits_only = both + (bits and near), bits_only + (bits and not near)
+            if near:
+                a, b = up[i], up[j]
+                up = [min(a, b) if x in (a, b) else x for x in up]
+    assert both > 10 and bits_only and not (fps[-1] ^ fps[-2]).bit_count() <= simhash.RADIUS
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r["doc_id"]: r["component_id"] for r in simhash.near_label(docs).collect()}
+    assert whole == dict(enumerate(up))
+    buckets, shared = [], simhash.shared
+    monkeypatch.setattr(simhash, "shared", lambda first: buckets.append(shared(first)) or buckets[0].limit(0))
+    grid = {r["doc_id"]: r["component_id"] for r in simhash.near_label(docs).collect()}
+    assert all(up[c] == up[d] for d, c in grid.items()) and len(set(up)) < len(set(grid.values())) < len(texts) - 5
+    assert all(len(r["roots"]) > 1 for r in buckets[0].groupBy("s").agg(F.collect_set("root").alias("roots")).collect())
