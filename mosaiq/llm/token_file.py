@@ -25,7 +25,7 @@ END = 1
 FILE_IDS = 1 << 23
 #: Control bytes whose values are decoded at a time.
 DECODE_AT_ONCE = 1 << 17
-#: Distinct words whose ids a task remembers.
+#: Distinct words whose ids a worker remembers, from one task to the next: so many, and as many older ones.
 CACHE = 500_000
 MAGIC = b"MQTF"
 
@@ -121,27 +121,31 @@ class Words(dict):
         self.apart &= not any(t["normalized"] for t in front["added_tokens"])
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.wide = self.tokenizer.get_vocab_size() > 65536
-        self.plain: dict[str, bytes] = {}
+        self.kind = "I" if self.wide else "H"
+        self.older: dict[str, bytes] = {}
+        self.tokenize = self.tokenizer.model.tokenize
 
     def packed(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'I' if self.wide else 'H'}", *ids)
+        return struct.pack(f"<{len(ids)}{self.kind}", *ids)
 
     def __missing__(self, word: str) -> bytes:
-        if m := self._PLAIN.fullmatch(word):
-            out = self.part(m[1].lower()) + (self.part(m[2]) if m[2] else b"")
-        else:
-            out = self.packed(self.tokenizer.encode(word, add_special_tokens=False).ids) if word else b""
-        if len(self) >= CACHE:
+        if (out := self.older.get(word)) is None:
+            if m := self._PLAIN.fullmatch(word):
+                part, marks = m.groups()
+                if (low := part.lower()) != word:
+                    out = self[low] + (self[marks] if marks else b"")
+                else:
+                    out = self.part(word)
+            else:
+                out = self.packed(self.tokenizer.encode(word, add_special_tokens=False).ids) if word else b""
+        if len(self) >= CACHE:  # what is in use comes back from the older ones
+            self.older = dict(self)
             self.clear()
         self[word] = out
         return out
 
     def part(self, word: str) -> bytes:
-        if (out := self.plain.get(word)) is None:
-            if len(self.plain) >= CACHE:
-                self.plain.clear()
-            out = self.plain[word] = self.packed([t.id for t in self.tokenizer.model.tokenize(word.translate(byte_level()))])
-        return out
+        return self.packed([t.id for t in self.tokenize(word if word.isascii() else word.translate(byte_level()))])
 
     def ids(self, text: str | None) -> bytes:
         text = text or ""
@@ -150,6 +154,12 @@ class Words(dict):
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
 
+@cache
+def words(path: str) -> Words:
+    """The worker's words: a task finds those that the tasks before it have met."""
+    return Words(path)
+
+
 @cache
 def byte_level() -> dict[int, str]:
     """Characters of two UTF-8 bytes as a byte-level model sees them: bytes that aren't printable in
@@ -163,7 +173,7 @@ def tokenise(docs: DataFrame, path: str = TOKENIZER) -> DataFrame:
     """doc_id, ids: the whole text's ids and END, packed (see unpacked()); null and empty texts: END."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Words(path)
+        known = words(path)
         first, end = b"\0" if known.wide else b"", known.packed([END])
         for b in batches:
             ids = [first + known.ids(t) + end for t in b.column("text").to_pylist()]

@@ -3,7 +3,7 @@
 import random
 import zlib
 
-from mosaiq.llm import decontaminate, html_text, simhash, toxicity
+from mosaiq.llm import decontaminate, html_text, simhash, token_file, toxicity
 from pyspark.sql import functions as F
 
 
@@ -132,3 +132,20 @@ def test_near_copies_by_the_grid(spark, monkeypatch):
     grid = {r["doc_id"]: r["component_id"] for r in simhash.near_label(docs).collect()}
     assert all(up[c] == up[d] for d, c in grid.items()) and len(set(up)) < len(set(grid.values())) < len(texts) - 5
     assert all(len(r["roots"]) > 1 for r in buckets[0].groupBy("s").agg(F.collect_set("root").alias("roots")).collect())
+
+
+def test_words_of_earlier_tasks_stay_known(monkeypatch):
+    """A worker's words outlive a task, and those in use outlive a full cache."""
+    text = "Over the straße, AND the wald; the end. 42 it's l'été... " + " ".join(f"wort{chr(97 + i)}" for i in range(20))
+    known, want = token_file.words(token_file.TOKENIZER), token_file.tokenizer(token_file.TOKENIZER).encode(text, add_special_tokens=False).ids
+    assert known is token_file.words(token_file.TOKENIZER)
+    for size in (1, 8, 1000):
+        monkeypatch.setattr(token_file, "CACHE", size)
+        for _ in range(3):
+            assert token_file.unpacked(known.ids(text)).tolist() == want
+            assert len(known) <= max(size, 2) and len(known.older) <= max(size, 1)
+    asked, plain = [], known.tokenize
+    monkeypatch.setattr(known, "tokenize", lambda word: asked.append(word) or plain(word))
+    monkeypatch.setattr(token_file, "CACHE", len(known))
+    known["anew"], known["again"]
+    assert known.older and token_file.unpacked(known.ids(text)).tolist() == want and asked == ["anew", "again"]
