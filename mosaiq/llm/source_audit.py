@@ -16,8 +16,11 @@ kept term has pairs of value 0 and no terms; an empty table has no rows; other c
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from string import ascii_lowercase, ascii_uppercase
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -25,18 +28,41 @@ from pyspark.sql import functions as F
 from mosaiq.llm.common import table, written
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-OTHERS = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"  # what stands between terms
+#: Bytes of a text as terms see them: A-Z lower-cased, what stands between terms as spaces.
+_TERMS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Counts that a task holds at a time.
+HELD = 1 << 18
 SCALE, SMOOTH = 1_000_000_000, 5
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents with it). One pass, in which every term of a text is a row
-    and every distinct one another; counts combine before the shuffle."""
-    text = F.translate(F.coalesce("text", F.lit("")), ascii_uppercase, ascii_lowercase)
-    each = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.array_remove(F.split(text, OTHERS), "").alias("_t"))
-    rows = each.select("lang", "source", F.size("_t").alias("_n"), F.posexplode(F.concat("_t", F.array_distinct("_t"))).alias("_i", "term"))
-    again = F.col("_i") >= F.col("_n")
-    return rows.groupBy("lang", "source", "term").agg(F.sum((~again).cast("long")).alias("n"), F.sum(again.cast("long")).alias("docs"))
+    """lang, source, term, n (occurrences), docs (documents with it). A task counts the terms of whole texts, hands its
+    counts on once it holds HELD of them, and Spark adds them up: no row for each occurrence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = {}, 0
+        for b in batches:
+            for lang, source, text in zip(*(b.column(c).cast(pa.binary()) for c in ("lang", "source", "text")), strict=True):
+                n, with_it = held.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
+                terms, before = text.as_py().translate(_TERMS).split(), len(n)
+                n.update(terms)
+                with_it.update(set(terms))
+                size += len(n) - before
+                if size >= HELD:
+                    yield from counted(held)
+                    held, size = {}, 0
+        yield from counted(held)
+
+    def counted(held: dict) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, with_it) in held.items():
+            texts = ([lang] * len(n), [source] * len(n), list(n))
+            counts = (list(n.values()), [with_it[t] for t in n])
+            columns = [pa.array(x, pa.binary()).cast(pa.string()) for x in texts] + [pa.array(x, pa.int64()) for x in counts]
+            yield pa.record_batch(columns, ["lang", "source", "term", "n", "docs"])
+
+    each = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
+    rows = each.mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return rows.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:

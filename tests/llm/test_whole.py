@@ -3,7 +3,7 @@
 import random
 import zlib
 
-from mosaiq.llm import decontaminate, html_text, simhash, token_file, toxicity
+from mosaiq.llm import decontaminate, html_text, simhash, source_audit, token_file, toxicity
 from pyspark.sql import functions as F
 
 
@@ -149,3 +149,14 @@ def test_words_of_earlier_tasks_stay_known(monkeypatch):
     monkeypatch.setattr(token_file, "CACHE", len(known))
     known["anew"], known["again"]
     assert known.older and token_file.unpacked(known.ids(text)).tolist() == want and asked == ["anew", "again"]
+
+
+def test_terms_are_counted_without_a_row_for_each(spark, monkeypatch):
+    rows = [("de", "a", "Über über ÜBER, a_b\x00c\x85d e 1x2"), (None, None, None), ("de", "a", "a b a"), ("fr", "", "")] * 3
+    docs = spark.createDataFrame(rows, "lang string, source string, text string").coalesce(1)
+    want = {("de", "a", "a"): (9, 6), ("de", "a", "b"): (6, 6), ("de", "a", "c\x85d e"): (3, 3), ("de", "a", "x"): (3, 3), ("de", "a", "über"): (3, 3), ("de", "a", "Über"): (6, 3)}
+    for held in (1, 4, 1 << 18):
+        monkeypatch.setattr(source_audit, "HELD", held)
+        got = source_audit.term_counts(docs)
+        assert {(r["lang"], r["source"], r["term"]): (r["n"], r["docs"]) for r in got.collect()} == want
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
