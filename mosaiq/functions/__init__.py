@@ -8,30 +8,47 @@ import subprocess
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.codec import WebpError, container, lossless, riff
-from mosaiq.codec.alpha import decode_alpha, encode_alpha
+from mosaiq.codec.alpha import decode_alphas, encode_alphas
 
 IMAGE = "data binary, width int, height int, has_alpha boolean, error string"
 MAX_PIXELS = lossless.MAX_SIDE**2  # the format's own limit
 
 
+def _images(data: pd.Series, width: pd.Series, height: pd.Series) -> list[container.Image | None]:
+    return [None if d is None or pd.isna(w) or pd.isna(h) else container.Image(d, int(w), int(h)) for d, w, h in zip(data, width, height, strict=True)]
+
+
+def _filled(there: list[bool], values: list) -> pd.Series:
+    """The values where there are any, nulls elsewhere."""
+    found = iter(values)
+    return pd.Series([next(found) if t else None for t in there], dtype=object)
+
+
 def webp_encode(data: Column, width: Column, height: Column, options: lossless.Options = lossless.Options(), extended: bool = False, failfast: bool = True) -> Column:
     """Lossless file of an RGBA image; null for null, or where the image can't be written and not failfast."""
 
     @F.pandas_udf("binary")
     def run(data: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
-        def one(d, w, h):
+        def one(i):
             try:
-                return None if d is None or pd.isna(w) or pd.isna(h) else container.encode(container.Image(d, int(w), int(h)), options, extended)
+                return container.encode(i, options, extended)
             except WebpError:
-                if failfast:
-                    raise
                 return None
 
-        return pd.Series([one(*x) for x in zip(data, width, height, strict=True)], dtype=object)
+        images = _images(data, width, height)
+        there = [i for i in images if i is not None]
+        try:
+            coded = container.encode_many(there, options, extended)
+        except WebpError:
+            if failfast:
+                raise
+            coded = [one(i) for i in there]
+        return _filled([i is not None for i in images], coded)
 
     return run(data, width, height)
 
@@ -62,15 +79,9 @@ def webp_decode(content: Column, form: str = "rgba", max_pixels: int = MAX_PIXEL
 
     @F.pandas_udf(IMAGE)
     def run(content: pd.Series) -> pd.DataFrame:
-        out = []
-        for c in content:
-            try:
-                if c is None:
-                    raise WebpError("null")
-                i = container.decode(c, form, max_pixels, strict, tables)
-                out.append((i.data, i.width, i.height, i.has_alpha, None))
-            except (WebpError, IndexError) as e:
-                out.append((None, None, None, None, str(e)))
+        found = iter(container.decode_many([c for c in content if c is not None], form, max_pixels, strict, tables))
+        images = [WebpError("null") if c is None else next(found) for c in content]
+        out = [(None, None, None, None, str(i)) if isinstance(i, WebpError) else (i.data, i.width, i.height, i.has_alpha, None) for i in images]
         return pd.DataFrame(out, columns=["data", "width", "height", "has_alpha", "error"]).astype({"width": "Int32", "height": "Int32", "has_alpha": "boolean"})
 
     return run(content)
@@ -82,7 +93,9 @@ def alpha_encode(plane: Column, width: Column, height: Column) -> Column:
 
     @F.pandas_udf("binary")
     def run(plane: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or pd.isna(w) or pd.isna(h) else encode_alpha(np.frombuffer(p, np.uint8), int(w), int(h)) for p, w, h in zip(plane, width, height, strict=True)], dtype=object)
+        there = [p is not None and not pd.isna(w) and not pd.isna(h) for p, w, h in zip(plane, width, height, strict=True)]
+        some = [(np.frombuffer(p, np.uint8), int(w), int(h)) for p, w, h, t in zip(plane, width, height, there, strict=True) if t]
+        return _filled(there, encode_alphas(*map(list, zip(*some, strict=True))) if some else [])
 
     return run(plane, width, height)
 
@@ -92,15 +105,10 @@ def alpha_decode(chunk: Column, width: Column, height: Column) -> Column:
 
     @F.pandas_udf("binary")
     def run(chunk: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
-        def one(c, w, h):
-            if c is None or pd.isna(w) or pd.isna(h):
-                return None
-            try:
-                return decode_alpha(c, int(w), int(h)).tobytes()
-            except (WebpError, IndexError):
-                return None
-
-        return pd.Series([one(*x) for x in zip(chunk, width, height, strict=True)], dtype=object)
+        there = [c is not None and not pd.isna(w) and not pd.isna(h) for c, w, h in zip(chunk, width, height, strict=True)]
+        some = [(c, int(w), int(h)) for c, w, h, t in zip(chunk, width, height, there, strict=True) if t]
+        found = decode_alphas(*map(list, zip(*some, strict=True))) if some else []
+        return _filled(there, [None if isinstance(p, WebpError) else p.tobytes() for p in found])
 
     return run(chunk, width, height)
 
@@ -138,6 +146,32 @@ class AnimationFrames:
             yield i, f.x, f.y, f.width, f.height, f.duration_ms, f.blend, f.dispose, found.loop_count, found.background_argb, data
 
 
+FRAME = "frame_idx int, x int, y int, width int, height int, duration_ms int, blend string, dispose string, loop_count int, background_color bigint, data binary"
+
+
+def animation_frames(files: DataFrame, with_pixels: bool, tables: str | None = None) -> DataFrame:
+    """The rows of LATERAL animation_frames for (image_id, content), with image_id; the frames of a batch are decoded together."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("image_id", pa.int64()), *((n, {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (f.split() for f in FRAME.split(", ")))])
+        for batch in batches:
+            out = []
+            for image_id, content in zip(batch["image_id"].to_pylist(), batch["content"].to_pylist(), strict=True):
+                try:
+                    found = riff.parse_animation(content) if content is not None else None
+                except WebpError:
+                    found = None
+                out += [(image_id, i, f, found) for i, f in enumerate(found.frames if found else ())]
+            for start in range(0, len(out), 2000):
+                some = out[start : start + 2000]
+                data = container.decode_frames([f for _, _, f, _ in some], tables=tables) if with_pixels else [None] * len(some)
+                data = [None if d is None or isinstance(d, WebpError) else d.data for d in data]
+                found = [(k, i, f.x, f.y, f.width, f.height, f.duration_ms, f.blend, f.dispose, a.loop_count, a.background_argb, d) for (k, i, f, a), d in zip(some, data, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), schema.types, strict=True)], schema=schema)
+
+    return files.select(F.col("image_id").cast("long").alias("image_id"), "content").mapInArrow(rows, f"image_id bigint, {FRAME}")
+
+
 def register(spark: SparkSession) -> None:
     spark.udtf.register("riff_chunks", RiffChunks)
     spark.udtf.register("animation_frames", AnimationFrames)
