@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.codec import WebpError, container, lossless, riff
+from mosaiq.codec import WebpError, batch, container, lossless, riff
 from mosaiq.codec.alpha import decode_alphas, encode_alphas
 
 IMAGE = "data binary, width int, height int, has_alpha boolean, error string"
@@ -53,6 +53,30 @@ def webp_encode(data: Column, width: Column, height: Column, options: lossless.O
     return run(data, width, height)
 
 
+def stream_encode(data: Column, width: Column, height: Column, options: lossless.Options = lossless.Options()) -> Column:
+    """A lossless chunk's payload of an RGBA image; null for null."""
+
+    @F.pandas_udf("binary")
+    def run(data: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+        images = _images(data, width, height)
+        return _filled([i is not None for i in images], batch.encode([i for i in images if i is not None], options))
+
+    return run(data, width, height)
+
+
+def stream_decode(content: Column, max_pixels: int = MAX_PIXELS) -> Column:
+    """struct(data, width, height) of a lossless chunk's payload; nulls for what can't be read."""
+
+    @F.pandas_udf("data binary, width int, height int")
+    def run(content: pd.Series) -> pd.DataFrame:
+        found = iter(batch.decode([c for c in content if c is not None], max_pixels))
+        images = [None if c is None else next(found) for c in content]
+        out = [(None, None, None) if i is None or isinstance(i, WebpError) else (i.data, i.width, i.height) for i in images]
+        return pd.DataFrame(out, columns=["data", "width", "height"]).astype({"width": "Int32", "height": "Int32"})
+
+    return run(content)
+
+
 def webp_encode_lossy(data: Column, width: Column, height: Column, quality: float, tables: str, backend: str = "auto", external: str = "cwebp") -> Column:
     """Lossy file of an RGBA image; null for null. ``backend``: "own", "external", or "auto", which takes the
     external encoder where the executor has it and it succeeds. ``tables``: see codec.lossy_stream."""
@@ -154,9 +178,9 @@ def animation_frames(files: DataFrame, with_pixels: bool, tables: str | None = N
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("image_id", pa.int64()), *((n, {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[t]) for n, t in (f.split() for f in FRAME.split(", ")))])
-        for batch in batches:
+        for table in batches:
             out = []
-            for image_id, content in zip(batch["image_id"].to_pylist(), batch["content"].to_pylist(), strict=True):
+            for image_id, content in zip(table["image_id"].to_pylist(), table["content"].to_pylist(), strict=True):
                 try:
                     found = riff.parse_animation(content) if content is not None else None
                 except WebpError:

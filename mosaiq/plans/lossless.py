@@ -5,12 +5,16 @@ package-merge over lists, lengths of matches by comparing pixel after pixel, dis
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaiq import functions as fn
 from mosaiq import operators as op
-from mosaiq.codec import lz
-from mosaiq.operators import codes, copies, inverse, reading
+from mosaiq.codec import batch, lz
+from mosaiq.codec.lossless import Options
+from mosaiq.operators import batched, codes, copies, inverse, reading
 from mosaiq.plans.grey import GREY, IMAGES, PIXELS, grey, images
 from mosaiq.sources.scratch import checkpointed
 
@@ -27,17 +31,31 @@ def canonical_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.groupBy("image_id", "tree").agg(F.sum(F.col("code") * (F.col("symbol") + 1)).cast("long").alias("sum_code"), F.sum(F.col("len") * (F.col("symbol") + 1)).cast("long").alias("sum_len"))
 
 
+def _through(all_images: DataFrame, options: Options, operators: Callable[[DataFrame], DataFrame], largest: int) -> DataFrame:
+    """Images written as streams and read again: those of up to ``largest`` pixels many at a time, each in one task; larger ones by
+    operators that divide an image among tasks."""
+    size = F.col("width").cast("long") * F.col("height")
+    coded = all_images.where(size <= largest).select("image_id", fn.stream_encode(F.col("data"), F.col("width"), F.col("height"), options).alias("content"))
+    out = coded.select("image_id", fn.stream_decode(F.col("content")).alias("i")).select("image_id", "i.data", "i.width", "i.height")
+    large = all_images.where(size > largest)
+    return out if large.isEmpty() else out.unionByName(operators(large).select("image_id", "data", "width", "height"))
+
+
 def lossless_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's image written as a stream of literals and read again by stretches."""
     files = checkpointed(codes.literal_stream(images(spark, sf_dir)))
     return reading.literal_images(files).select("image_id", F.md5("data").alias("md5"), "width", "height")
 
 
-def lossless_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def lossless_copies(spark: SparkSession, sf_dir: str, largest: int = batch.LARGEST) -> DataFrame:
     """The same with copies, colour cache and subtract-green, followed back to literals by pointer jumping."""
-    files = checkpointed(copies.stream(images(spark, sf_dir), subtract_green=True))
-    px = reading.pixels_of(reading.placed(checkpointed(reading.tokens(files))))
-    return reading.images_of(px).select("image_id", F.md5("data").alias("md5"), "width", "height")
+
+    def operators(large: DataFrame) -> DataFrame:
+        files = checkpointed(copies.stream(large, subtract_green=True))
+        return reading.images_of(reading.pixels_of(reading.placed(checkpointed(reading.tokens(files)))))
+
+    back = _through(images(spark, sf_dir), Options(predictor=False, color_index=False), operators, largest)
+    return back.select("image_id", F.md5("data").alias("md5"), "width", "height")
 
 
 def copy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
