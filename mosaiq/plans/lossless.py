@@ -41,10 +41,11 @@ def _through(all_images: DataFrame, options: Options, operators: Callable[[DataF
     return out if large.isEmpty() else out.unionByName(operators(large).select("image_id", "data", "width", "height"))
 
 
-def lossless_streams(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's image written as a stream of literals and read again by stretches."""
-    files = checkpointed(codes.literal_stream(images(spark, sf_dir)))
-    return reading.literal_images(files).select("image_id", F.md5("data").alias("md5"), "width", "height")
+def lossless_streams(spark: SparkSession, sf_dir: str, largest: int = batch.LARGEST) -> DataFrame:
+    """Every document's image written as a stream of literals and read again, large ones by stretches."""
+    plain = Options(subtract_green=False, predictor=False, color_index=False, lz77=False, color_cache=False)
+    back = _through(images(spark, sf_dir), plain, lambda large: reading.literal_images(checkpointed(codes.literal_stream(large))), largest)
+    return back.select("image_id", F.md5("data").alias("md5"), "width", "height")
 
 
 def lossless_copies(spark: SparkSession, sf_dir: str, largest: int = batch.LARGEST) -> DataFrame:
