@@ -61,13 +61,8 @@ def lossless_copies(spark: SparkSession, sf_dir: str, largest: int = batch.LARGE
 
 def copy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per image the places that could be copied, how far back and how long, and their coded distances."""
-    each = codes.strips(images(spark, sf_dir)).select("image_id", "width", "strip", F.posexplode("px").alias("_i", "argb"))
-    px = each.select("image_id", "width", (F.col("strip").cast("long") * codes.STRIP + F.col("_i")).alias("pos"), "argb")
-    found = copies.matched(px.select("image_id", "pos", "argb")).where("back is not null")
-    found = found.join(images(spark, sf_dir).select("image_id", "width"), "image_id").withColumn("near", copies.near_of(F.col("width")))
-    code = copies.cheapest_distance(F.col("back").cast("int"), F.col("near"))
-    at = F.col("pos") + 1
-    return found.groupBy("image_id").agg(F.count("*").alias("n"), F.sum(at * F.col("back")).alias("sum_back"), F.sum(at * F.col("length")).cast("long").alias("sum_length"), F.sum(at * code).cast("long").alias("sum_code"))
+    found = batched.copy_sums(images(spark, sf_dir))
+    return found.groupBy("image_id").agg(*(F.sum(c).alias(c) for c in ("n", "sum_back", "sum_length", "sum_code")))
 
 
 def token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:

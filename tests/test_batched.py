@@ -32,8 +32,34 @@ def sums(px, *names):
     return rows(px.groupBy("image_id").agg(*(F.sum(F.col(c) * (F.col("pos") + 1)).cast("long").alias(f"sum_{c}") for c in names)))
 
 
+@pytest.mark.parametrize("largest, piece", [(1 << 20, 1 << 19), (200, 90)])
+def test_copies_in_pieces(images, largest, piece):
+    there = images.where("data is not null and image_id is not null")
+    px = op.pixels(there).select("image_id", F.col("pos").cast("long").alias("pos"), F.expr("a * 16777216L + r * 65536 + g * 256 + b").alias("argb"))
+    found = copies.matched(px).where("back is not null").join(there.select("image_id", "width"), "image_id").withColumn("near", copies.near_of(F.col("width")))
+    at = F.col("pos") + 1
+    code = copies.cheapest_distance(F.col("back").cast("int"), F.col("near"))
+    want = found.groupBy("image_id").agg(F.count("*").alias("n"), F.sum(at * F.col("back")).alias("sum_back"), F.sum(at * F.col("length")).cast("long").alias("sum_length"), F.sum(at * code).cast("long").alias("sum_code"))
+    got = batched.copy_sums(images.where("image_id is not null"), largest, piece).groupBy("image_id").agg(*(F.sum(c).alias(c) for c in ("n", "sum_back", "sum_length", "sum_code")))
+    assert rows(got) == rows(want)
+
+
 def test_large_images_are_divided_among_tasks(spark):
     """Some images together, some by the operators: as all together, and as SQL has it (tests of queries)."""
     for query in (lossless.lossless_streams, lossless.lossless_copies):
         docs = "/root/testdata/sf0.001"
         assert rows(query(spark, docs, largest=1500)) == rows(query(spark, docs))
+
+
+def test_pieces():
+    import pyarrow as pa
+
+    table = pa.RecordBatch.from_pylist([{"image_id": i, "data": d, "width": w, "height": h} for i, d, w, h in pictures()])
+    for most in (20, 500, batch.CHUNK):
+        seen = {}
+        for p in batched.pieces(table, 1, 2, most):
+            assert len(p.x) <= max(most, 20 * 64) + 6 * 64
+            for k in range(len(p.row)):
+                on = (p.owner == k) & p.core
+                seen[int(p.row[k])] = seen.get(int(p.row[k]), b"") + p.rgba[on].tobytes()
+        assert seen == {i: d for i, (_, d, _, _) in enumerate(pictures()) if d}
