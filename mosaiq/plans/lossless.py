@@ -21,7 +21,7 @@ from mosaiq.sources.scratch import checkpointed
 
 def code_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The bits that each image's channels take under their best codes."""
-    lengths = codes.code_lengths(codes.literal_histogram(codes.strips(images(spark, sf_dir))))
+    lengths = batched.literal_codes(images(spark, sf_dir))
     return lengths.groupBy("image_id", "tree").agg(F.count("*").alias("symbols"), F.sum(F.col("n") * F.col("len")).cast("long").alias("bits"))
 
 

@@ -40,6 +40,16 @@ def test_samples_in_pieces(images, most):
     assert rows(got) == sums(op.chroma_upsample(px, chroma), "v")
 
 
+@pytest.mark.parametrize("most", [None, 300])
+def test_codes_in_pieces(images, most):
+    there = images.where("data is not null and image_id is not null")
+    lengths = codes.code_lengths(codes.literal_histogram(codes.strips(there)))
+    want = op.canonical_codes(lengths).join(lengths.select("image_id", "tree", "symbol", "n"), ["image_id", "tree", "symbol"]) if "n" not in op.canonical_codes(lengths).columns else op.canonical_codes(lengths)
+    columns = ["image_id", "tree", "symbol", "n", "len", "code"]
+    as_long = lambda df: rows(df.select("image_id", "tree", *(F.col(c).cast("long").alias(c) for c in columns[2:])))
+    assert as_long(batched.literal_codes(images.where("image_id is not null"), most)) == as_long(want)
+
+
 @pytest.mark.parametrize("largest, piece", [(1 << 20, 1 << 19), (200, 90)])
 def test_copies_in_pieces(images, largest, piece):
     there = images.where("data is not null and image_id is not null")
