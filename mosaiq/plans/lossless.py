@@ -26,8 +26,7 @@ def code_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def canonical_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lengths = codes.code_lengths(codes.literal_histogram(codes.strips(images(spark, sf_dir))))
-    coded = op.canonical_codes(lengths.select("image_id", "tree", "symbol", "len"))
+    coded = batched.literal_codes(images(spark, sf_dir))
     return coded.groupBy("image_id", "tree").agg(F.sum(F.col("code") * (F.col("symbol") + 1)).cast("long").alias("sum_code"), F.sum(F.col("len") * (F.col("symbol") + 1)).cast("long").alias("sum_len"))
 
 
