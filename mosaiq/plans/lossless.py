@@ -66,8 +66,7 @@ def copy_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Symbols of the five alphabets over all images, cached colours by their slot."""
-    rows = copies.fields(copies.tokens(images(spark, sf_dir), copies=False))
-    return copies.histogram(rows).groupBy("tree", "symbol").agg(F.sum("n").alias("n"))
+    return batched.cached_symbols(images(spark, sf_dir)).groupBy("tree", "symbol").agg(F.sum("n").alias("n"))
 
 
 def _at_places(rows: DataFrame) -> DataFrame:

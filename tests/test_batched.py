@@ -50,6 +50,14 @@ def test_codes_in_pieces(images, most):
     assert as_long(batched.literal_codes(images.where("image_id is not null"), most)) == as_long(want)
 
 
+@pytest.mark.parametrize("most", [None, 50, 800])
+def test_cached_symbols_in_pieces(images, most):
+    there = images.where("data is not null and image_id is not null")
+    want = copies.histogram(copies.fields(copies.tokens(there, copies=False))).groupBy("tree", "symbol").agg(F.sum("n").alias("n"))
+    got = batched.cached_symbols(images.where("image_id is not null"), most).groupBy("tree", "symbol").agg(F.sum("n").alias("n"))
+    assert rows(got) == rows(want)
+
+
 @pytest.mark.parametrize("largest, piece", [(1 << 20, 1 << 19), (200, 90)])
 def test_copies_in_pieces(images, largest, piece):
     there = images.where("data is not null and image_id is not null")
