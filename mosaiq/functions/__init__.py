@@ -53,6 +53,18 @@ def webp_encode(data: Column, width: Column, height: Column, options: lossless.O
     return run(data, width, height)
 
 
+def webp_encode_both(data: Column, width: Column, height: Column, options: lossless.Options = lossless.Options()) -> Column:
+    """struct(plain, extended): the lossless files of an RGBA image without and with an extended header; nulls for null."""
+
+    @F.pandas_udf("plain binary, extended binary")
+    def run(data: pd.Series, width: pd.Series, height: pd.Series) -> pd.DataFrame:
+        images = _images(data, width, height)
+        found = iter(container.encode_both([i for i in images if i is not None], options))
+        return pd.DataFrame([(None, None) if i is None else next(found) for i in images], columns=["plain", "extended"], dtype=object)
+
+    return run(data, width, height)
+
+
 def stream_encode(data: Column, width: Column, height: Column, options: lossless.Options = lossless.Options()) -> Column:
     """A lossless chunk's payload of an RGBA image; null for null."""
 

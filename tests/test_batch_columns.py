@@ -39,3 +39,15 @@ def test_alpha_columns(spark):
     assert [None if r["b"] is None else bytes(r["b"]) for r in got] == [bytes(range(240)), None, b"\7" * 12, None]
     bad = spark.createDataFrame([(b"",), (b"\3x",), (None,)], "c binary").select(fn.alpha_decode(F.col("c"), F.lit(2), F.lit(2)).alias("b")).collect()
     assert [r["b"] for r in bad] == [None] * 3
+
+
+def test_both_files_from_one_encoding(spark, monkeypatch):
+    table = spark.createDataFrame([r for r in rows() if r[1] is None or len(r[1]) >= 64], "i int, data binary, width int, height int").coalesce(1)
+    got = table.select("i", fn.webp_encode_both(F.col("data"), F.col("width"), F.col("height")).alias("f")).select("i", "f.*").collect()
+    by_kernel = {i: [container.encode(lossless.Image(d, w, h), extended=e) if d is not None and w else None for e in (False, True)] for i, d, w, h in rows() if i != 29}
+    assert len(got) == 32 and all([None if c is None else bytes(c) for c in r[1:]] == by_kernel[r["i"]] for r in got)
+    from mosaiq.codec import batch
+
+    calls, real = [], batch.encode
+    monkeypatch.setattr(batch, "encode", lambda *a: calls.append(a) or real(*a))
+    assert len(container.encode_both([lossless.Image(bytes(64), 4, 4)])) == len(calls) == 1
