@@ -7,8 +7,10 @@
 from __future__ import annotations
 
 import io
+import math
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fnmatch import fnmatch
@@ -29,6 +31,8 @@ SCHEMAS = {
 #: Bytes of files that one task reads, about, and what opening a file counts for.
 SPLIT_BYTES, OPEN_BYTES = 128 << 20, 1 << 20
 KINDS = {"VP8X": "extended", "VP8L": "lossless", "VP8 ": "lossy"}
+#: Files that the driver names one by one; of folders beyond that, tasks list what they read themselves.
+MANY = 100_000
 #: Bytes of a chunk's payload that tell an image's facts.
 FACTS = 16
 
@@ -37,7 +41,16 @@ _COMPARED = {EqualTo: "__eq__", GreaterThan: "__gt__", GreaterThanOrEqual: "__ge
 
 @dataclass
 class Split(InputPartition):
+    """Files, or the files of a folder whose path's hash falls to one of ``parts``."""
+
     files: list[tuple[str, int]]
+    folder: str = ""
+    part: int = 0
+    parts: int = 1
+
+
+def bucket(name: str, of: int) -> int:
+    return zlib.crc32(name.encode()) % of
 
 
 def meets(value: object, conditions: list[tuple[str, object]]) -> bool:
@@ -87,27 +100,46 @@ class WebpReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[Split]:
-        """Files in the order of their paths, dealt to tasks by size; none of a hidden folder or name."""
+        """Files in the order of their paths, dealt to tasks by size; none of a hidden folder or name. Folders are listed one at a time;
+        once MANY files are named, those of a further folder are only counted, and each of its tasks takes its share of them."""
         fs, at = pyarrow.fs.FileSystem.from_uri(self.path)
-        found = fs.get_file_info(pyarrow.fs.FileSelector(at, recursive=True, allow_not_found=True))
-        hidden = lambda p: any(x[:1] in "._" for x in p[len(at) :].strip("/").split("/"))
-        files = sorted((x.path, x.size) for x in found if x.is_file and fnmatch(x.base_name, self.pattern) and not hidden(x.path) and meets(x.size, self.sizes))
+        files: list[tuple[str, int]] = []
+        shares: list[Split] = []
+        folders = [at]
+        while folders:
+            folder = folders.pop()
+            inner, own = self.listed(fs, folder)
+            folders += inner
+            if len(files) + len(own) <= MANY:
+                files += own
+            elif own:
+                parts = math.ceil(sum(size + OPEN_BYTES for _, size in own) / self.split)
+                shares += [Split([], folder, k, parts) for k in range(parts)]
         out, held = [], 0
-        for path, size in files:
+        for path, size in sorted(files):
             cost = size + OPEN_BYTES
             if not out or held + cost > self.split:
                 out.append(Split([]))
                 held = 0
             out[-1].files.append((path, size))
             held += cost
-        return out or [Split([])]
+        return out + shares or [Split([])]
+
+    def listed(self, fs: pyarrow.fs.FileSystem, folder: str) -> tuple[list[str], list[tuple[str, int]]]:
+        """A folder's folders, and its files that are asked for with their sizes."""
+        found = [x for x in fs.get_file_info(pyarrow.fs.FileSelector(folder, allow_not_found=True)) if x.base_name[:1] not in (".", "_")]
+        files = [(x.path, x.size) for x in found if x.is_file and fnmatch(x.base_name, self.pattern) and meets(x.size, self.sizes)]
+        return sorted(x.path for x in found if x.type == pyarrow.fs.FileType.Directory), files
 
     def read(self, split: Split) -> Iterator[pa.RecordBatch]:
         names = [f.name for f in self.schema.fields]
         kinds = {"string": pa.string(), "long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "binary": pa.binary()}
         schema = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in self.schema.fields])
         fs, _ = pyarrow.fs.FileSystem.from_uri(self.path)
-        for path, size in split.files:
+        files = split.files
+        if split.folder:
+            files = sorted(f for f in self.listed(fs, split.folder)[1] if bucket(f[0], split.parts) == split.part)
+        for path, size in files:
             try:
                 rows = list(getattr(self, self.rows)(fs, path, size))
             except (WebpError, struct.error) as e:
@@ -150,21 +182,29 @@ class Placed(WriterCommitMessage):
 class WebpWriter(DataSourceWriter):
     """Rows (name, content) as files. Each task fills a folder of its own beside the result; the driver moves the
     files of the tasks that count when all have ended, so tasks may fail and run again, and an aborted job
-    leaves nothing. Null names or contents raise; of equal names one file stays."""
+    leaves nothing. Null names or contents raise; of equal names one file stays. With ``folders`` over 1, files lie in so many folders by
+    their names' hash, so that no listing holds them all; the driver lists one task's share of one folder at a time."""
 
-    def __init__(self, path: str, schema: StructType, overwrite: bool):
+    def __init__(self, path: str, schema: StructType, overwrite: bool, folders: int = 1):
         if not {"name", "content"} <= set(schema.names):
             raise ValueError("the source webp writes the columns name and content")
-        self.path, self.overwrite, self.job = path, overwrite, f"_temporary-{uuid.uuid4().hex}"
+        self.path, self.overwrite, self.folders, self.job = path, overwrite, folders, f"_temporary-{uuid.uuid4().hex}"
 
     def write(self, rows) -> Placed:
         fs, at = pyarrow.fs.FileSystem.from_uri(self.path)
         own = f"{at}/{self.job}/{uuid.uuid4().hex}"
         fs.create_dir(own, recursive=True)
+        made = set()
         for r in rows:
             if r["name"] is None or r["content"] is None or "/" in r["name"]:
                 raise ValueError(f"no file can be made of the row named {r['name']!r}")
-            with fs.open_output_stream(f"{own}/{r['name']}") as f:
+            to = own
+            if self.folders > 1:
+                to = f"{own}/{bucket(r['name'], self.folders):05d}"
+                if to not in made:
+                    fs.create_dir(to)
+                    made.add(to)
+            with fs.open_output_stream(f"{to}/{r['name']}") as f:
                 f.write(r["content"])
         return Placed(own)
 
@@ -174,9 +214,17 @@ class WebpWriter(DataSourceWriter):
             for x in fs.get_file_info(pyarrow.fs.FileSelector(at)):
                 if x.base_name != self.job:
                     (fs.delete_file if x.is_file else fs.delete_dir)(x.path)
+        made = set()
         for m in messages:
             for x in fs.get_file_info(pyarrow.fs.FileSelector(m.folder)) if m else ():
-                fs.move(x.path, f"{at}/{x.base_name}")
+                if x.is_file:
+                    fs.move(x.path, f"{at}/{x.base_name}")
+                    continue
+                if x.base_name not in made:
+                    fs.create_dir(f"{at}/{x.base_name}")
+                    made.add(x.base_name)
+                for y in fs.get_file_info(pyarrow.fs.FileSelector(x.path)):
+                    fs.move(y.path, f"{at}/{x.base_name}/{y.base_name}")
         self.abort(messages)
 
     def abort(self, messages: list[Placed | None]) -> None:
@@ -186,7 +234,7 @@ class WebpWriter(DataSourceWriter):
 
 
 class WebpSource(DataSource):
-    """Options: rows (file, chunk, frame), pattern, splitBytes, content (false: not read, null)."""
+    """Options: rows (file, chunk, frame), pattern, splitBytes, content (false: not read, null); for writing, folders."""
 
     @classmethod
     def name(cls) -> str:
@@ -205,7 +253,7 @@ class WebpSource(DataSource):
         return WebpReader(self.options, self._rows(), schema)
 
     def writer(self, schema: StructType, overwrite: bool) -> WebpWriter:
-        return WebpWriter(self.options["path"], schema, overwrite)
+        return WebpWriter(self.options["path"], schema, overwrite, int(self.options.get("folders", 1)))
 
 
 def register(spark: SparkSession) -> None:
